@@ -23,14 +23,13 @@ def sketch(text: Column, n: int = 5, fraction: float = FRACTION) -> Column:
     only a text without words has an empty sketch. Equal texts have equal sketches.
     """
     limit = int(fraction * 2**63)
-    hashed = F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
     # get() reads one element; slice() would copy the whole array for each shingle.
     run = lambda h, i: F.xxhash64(*[F.get(h, i + k) for k in range(n)])
     shingles = lambda h: F.when(F.size(h) < n, F.array(F.xxhash64(h))).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: run(h, i)))
     low = lambda s: bind(F.filter(s, lambda x: F.shiftrightunsigned(x, 1) < F.lit(limit)), lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.array_min(s))))
     empty = F.array().cast("array<long>")
-    kept = bind(hashed, lambda h: F.when(F.size(h) == 0, empty).otherwise(bind(shingles(h), low)))
-    return F.array_sort(F.array_distinct(kept))
+    kept = bind(words(F.lower(text)), lambda h: F.when(F.size(h) == 0, empty).otherwise(bind(shingles(h), low)))
+    return F.sort_array(F.array_distinct(kept))
 
 
 def resemblance(a: Column, b: Column) -> Column:

@@ -139,12 +139,12 @@ def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = BASE + MORE, threshold:
     more = [x for x, k in zip(each, kinds, strict=True) if not k.base]
     first = F.concat(*base) if base else None
     if first is None:
-        spans = F.array_sort(F.concat(*more))
+        spans = F.sort_array(F.concat(*more))
     elif not more:
-        spans = F.array_sort(first)
+        spans = F.sort_array(first)
     else:
         clear = lambda b: lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))
-        spans = bind(first, lambda b: F.array_sort(F.concat(b, F.filter(F.concat(*more), clear(b)))))
+        spans = bind(first, lambda b: F.sort_array(F.concat(b, F.filter(F.concat(*more), clear(b)))))
     return unpacked(rows.withColumn("td_spans", spans), docs.columns, {"spans": F.col("td_spans")})
 
 
