@@ -1,0 +1,223 @@
+"""The native operators against plain Python."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import fingerprints, licenses, line_dedup, mixing, pii, queries
+from tidemark.llm.license_texts import KNOWN
+
+from .conftest import EDGE, SCHEMA
+
+WS = " \t\n\x0b\f\r"
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+# Personal data
+
+RULES = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(RULES):
+        for m in re.finditer(pattern, text, re.A):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+    return sorted(out)
+
+
+TRICKY = [
+    "a@b.co%x@y.zz and ..@-.- a@b a@b. x@y..z q%+-@a-b.c-d.e",
+    "1.2.3.4.5.6.7.8 999.1.1.1 0.0.0.0 00255.255.255.255 256.1.1.1 1.2.3",
+    "4111 1111 1111 1111 4111-1111-1111-1111 4111  1111 41111111111111112 5 5 " + "4" * 3000,
+    "+1 (555) 010-9999 ext +12 +123456789 +1234567890 ++49 30 123456-78. +49((((((((((( +1234567890123456",
+    "\U0001f600 mail ä@x.org é.b@x.org \U0001f600 +4930 1234567 \n 10.0.0.1\nn@m.o",
+    "x" * 20_000 + "@" + "y." * 5_000,
+    "1." * 5_000,
+    "+1" * 3_000,
+    "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, ssn 123-45-6789, call 555-123-4567",
+]
+
+
+def test_base_spans_match_plain_regular_expressions(spark, edge):
+    rows = [(i, t) for i, t in enumerate(TRICKY)] + [(100 + i, r[1]) for i, r in enumerate(EDGE)]
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    names = [k for k, _ in RULES]
+    for r in got:
+        mine = [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"] if s["kind"] in names]
+        assert mine == [s for *_, s in base_spans(r["text"] or "")], r["doc_id"]
+        assert all((r["text"])[s["start"] : s["end"]] == s["match"] for s in r["spans"])
+
+
+def test_whole_table_agrees(spark, small):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in queries.op1_pii(spark, small).collect():
+        spans = base_spans(docs[r["doc_id"]])
+        assert r["base_sha256"] == sha(",".join(s for *_, s in spans))
+        assert [r[f"n_{k}"] for k, _ in RULES] == [sum(s.startswith(k) for *_, s in spans) for k, _ in RULES]
+
+
+def test_more_kinds_need_checks_and_context(spark):
+    rows = [(0, TRICKY[-1]), (1, "GB83WEST12345698765432 123-45-6789 999-123-4567")]
+    kinds = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kinds[0] == ["iban", "iban", "ssn", "local_phone"]
+    assert kinds[1] == []
+
+
+def test_many_matches_in_one_text(spark):
+    text = "n@m.io " * 3000
+    (r,) = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [s["start"] for s in r["spans"]] == list(range(0, 7 * 3000, 7))
+
+
+def test_redaction(spark):
+    rows = spark.createDataFrame([(1, "to n@m.io or 10.0.0.1!"), (2, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in pii.redact(rows).collect()} == {1: "to [EMAIL] or [IP]!", 2: None}
+
+
+# Fingerprints
+
+
+def test_edited_texts_and_order(spark, small):
+    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
+    got = {r["doc_id"]: r for r in queries.op2_fingerprint(spark, small).collect()}
+    assert len(got) == len(docs)
+    for (i, text), (_, after) in zip(docs, docs[1:] + docs[:1]):
+        cut = len(text) // 4
+        assert got[i]["n_chars"] == len(text)
+        assert got[i]["edited_sha256"] == sha(text[: len(text) - cut] + after[:cut])
+    by_text = {}
+    for i, text in docs:
+        assert by_text.setdefault(text, got[i]["fingerprint"]) == got[i]["fingerprint"]
+
+
+def test_sketch_estimates_jaccard_and_containment(spark):
+    words = [f"w{i}" for i in range(4000)]
+    a, b = " ".join(words), " ".join(words[:1000])
+    rows = spark.createDataFrame([(a, b), ("", ""), ("one two", "ONE  two"), (a, "")], "a string, b string")
+    s = rows.select(fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b"))
+    r = s.select(fingerprints.resemblance(F.col("a"), F.col("b")).alias("j"), fingerprints.containment(F.col("b"), F.col("a")).alias("c")).collect()
+    assert abs(r[0]["j"] - 0.25) < 0.06 and r[0]["c"] == 1.0
+    assert r[1]["j"] == 1.0 and r[2]["j"] == 1.0 and r[3]["j"] == 0.0
+
+
+def test_fingerprint_edge_rows(spark, edge, empty):
+    rows = fingerprints.edited_pairs(edge).collect()
+    assert len(rows) == len(EDGE)
+    assert not fingerprints.edited_pairs(empty).collect()
+    one = spark.createDataFrame([(9, "lone text of some words")], "doc_id long, text string")
+    (r,) = fingerprints.edited_pairs(one).collect()
+    assert r["next_sketch"] == r["sketch"]
+
+
+def test_merged_sketch_is_the_union(spark):
+    rows = spark.createDataFrame([("g", [1, 2]), ("g", [2, 3]), ("h", [5])], "grp string, sketch array<long>")
+    assert sorted(map(tuple, fingerprints.merged(rows, "grp").collect())) == [("g", 1), ("g", 2), ("g", 3), ("h", 5)]
+
+
+# Licenses
+
+
+def test_equivalent_texts_share_a_digest(spark):
+    mit = KNOWN["MIT"]
+    other = "Copyright (c) 2020 Somebody\n\n" + mit.replace("sublicense", "sublicence").replace('"', "'").upper().replace(" ", "  ")
+    rows = spark.createDataFrame([(1, other), (2, mit + " and more"), (3, "text\n" + KNOWN["MIT short notice"] + "\nmore"), (4, None), (5, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(rows).collect()}
+    assert got[1]["license"] == "MIT" and got[2]["license"] is None
+    assert got[3]["license"] is None and got[3]["parts"] == ["MIT short notice"]
+    assert got[4]["license"] is None and got[5]["parts"] == []
+
+
+def test_known_digests_are_distinct(spark):
+    assert licenses.known_digests(spark).count() == len(KNOWN)
+
+
+# Line dedup
+
+
+def brute_lines(rows, least):
+    key = lambda s: s.strip(WS).translate({c: c + 32 for c in range(65, 91)})
+    seen = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if key(line):
+                seen.setdefault(key(line), set()).add(i if i is not None else t)
+    gone = {k for k, v in seen.items() if len(v) >= least}
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if key(x) not in gone]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_lines_on_edge_rows(edge, least):
+    got = line_dedup.dedup_lines(edge, min_docs=least).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == brute_lines([(r[0], r[1]) for r in EDGE], least)
+
+
+def test_lines_on_whole_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = line_dedup.dedup_lines(docs, min_docs=3).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == brute_lines([(r["doc_id"], r["text"]) for r in docs.collect()], 3)
+
+
+# Mixing
+
+
+def test_mix_meets_targets(spark):
+    rows = [(i, "w " * (1 + i % 40), ["a", "b", "c", None][0 if i % 2 else i // 2 % 4], None) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 4000
+    total = sum(r["size"] for r in got)
+    by = {}
+    for r in got:
+        assert r["taken"] <= 2 * r["size"] and r["taken"] % r["size"] == 0
+        b = by.setdefault(r["source"], [r["source_size"], r["target"], 0, 0])
+        b[2] += r["taken"]
+        b[3] += r["size"]
+    for size, target, taken, own in by.values():
+        assert size == own and target <= 2 * size and abs(taken - target) <= 0.02 * target
+    assert abs(sum(b[1] for b in by.values()) - 1.5 * total) < 1e-6 * total
+    assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_mix_edge_rows(edge, empty):
+    got = mixing.mix(edge).collect()
+    assert len(got) == len(EDGE) and all(r["taken"] == 0 for r in got if r["size"] == 0)
+    assert not mixing.mix(empty).collect()
+    corpus = mixing.mixed_corpus(edge)
+    assert corpus.columns == [*edge.columns, "copies", "taken"]
+    assert sum(r["taken"] for r in corpus.collect()) == sum(r["taken"] for r in got)
+
+
+# All of them
+
+
+def test_clashing_columns_and_empty_tables(spark, clashing, empty):
+    assert pii.find_pii(clashing).count() == len(EDGE)
+    assert {"td_row", "a.b"} <= set(line_dedup.dedup_lines(clashing).columns)
+    for f in (pii.find_pii, licenses.scan_licenses, line_dedup.dedup_lines, mixing.mixed_corpus):
+        assert f(clashing).count() > 0
+        assert f(empty).count() == 0
+    nothing = spark.createDataFrame([], SCHEMA)
+    assert fingerprints.sketches(nothing).count() == 0
