@@ -79,6 +79,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly. A join by key then shuffles both of its sides, and Spark can split a key that has very many rows on the other one."""
+    return df.repartition(shuffle_partitions(df.sparkSession))
+
+
 def ranged(df: DataFrame, order: list[str]) -> DataFrame:
     """df dealt by range of ``order``, with the range's number in ``td_range``; saved, so that every reader sees the same ranges."""
     n = shuffle_partitions(df.sparkSession)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, packed, row_key, saved, shuffle_partitions, unpacked
+from .common import KEY, packed, row_key, saved, shuffle_partitions, spread, unpacked
 from .components import connected
 
 SEED = 42
@@ -146,10 +146,17 @@ def near_groups(docs: DataFrame, bits: int = 3, n: int = 3, doc_id: str = "doc_i
 
     Null and empty texts have fingerprint 0 and link like any other. Every row is in exactly one group.
     """
+    return _components(*_rows_and_groups(docs, bits, n, doc_id, text))
+
+
+def _rows_and_groups(docs: DataFrame, bits: int, n: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     rows = saved(fingerprints(docs, n, doc_id, text))
-    groups = connected(close_links(rows, bits))
+    return rows, connected(close_links(rows, bits))
+
+
+def _components(rows: DataFrame, groups: DataFrame) -> DataFrame:
     # Only linked fingerprints have a row in groups; the others name themselves.
-    return rows.join(groups.select(F.col("node").alias("fp"), F.col("label")), "fp", "left").withColumn("component", F.coalesce("label", "fp")).drop("label")
+    return rows.join(groups.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("component", F.coalesce("label", "fp")).drop("label")
 
 
 def label_groups(docs: DataFrame, bits: int = 3, n: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,9 +165,13 @@ def label_groups(docs: DataFrame, bits: int = 3, n: int = 3, doc_id: str = "doc_
     Rows without a doc_id take part, and a component without any doc_id has a null component_id.
     Repeated rows return repeated rows; columns other than doc_id and text are not used.
     """
-    rows = near_groups(docs, bits, n, doc_id, text)
-    least = rows.groupBy("component").agg(F.min(F.when(F.col("td_known"), F.col("td_id"))).alias("component_id"))
-    return rows.join(least, "component", "left").select(
+    rows, groups = _rows_and_groups(docs, bits, n, doc_id, text)
+    # From here to the last join there is one row for each distinct fingerprint, however many documents share it.
+    fps = rows.groupBy("fp").agg(F.min(F.when(F.col("td_known"), F.col("td_id"))).alias("least"))
+    named = _components(fps, groups)
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    names = named.select("fp", "component").join(spread(least), "component", "left").select("fp", "component_id")
+    return rows.join(names, "fp", "left").select(
         F.when(F.col("td_known"), F.col("td_id")).alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
