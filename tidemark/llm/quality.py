@@ -70,8 +70,8 @@ class QualityModel:
         return _sigmoid(v @ self.weights[at] - self.thresholds)
 
 
-def fit_sample(sample: list[tuple[str, int]], grades: int, epochs: int = 6, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.5, l2: float = 0.1, seed: int = 7) -> QualityModel:
-    """The model of (text, grade) rows; same rows, same model. Grades weigh alike, however many rows each has. No rows: every tail is one half."""
+def fit_sample(sample: list[tuple[str, int]], grades: int, epochs: int = 10, alpha: float = 1.0, beta: float = 1.0, l1_rate: float = 1 / 400, l2: float = 0.01, seed: int = 7) -> QualityModel:
+    """The model of (text, grade) rows; same rows, same model. The L1 penalty is ``l1_rate`` for each row, so that words without a steady effect weigh nothing and long texts do not add up noise. Grades weigh alike, however many rows each has. No rows: every tail is one half."""
     model = QualityModel(np.zeros(DIMS + SHAPES), np.zeros(grades - 1))
     rows = [(features(t), y) for t, y in sorted(sample, key=lambda r: (r[0] or "", r[1]))]
     if not rows:
@@ -83,7 +83,7 @@ def fit_sample(sample: list[tuple[str, int]], grades: int, epochs: int = 6, alph
         seen[at] += 1
     common = seen >= max(3, len(rows) // 1000)  # rarer words tell nothing about other documents
     rows = [((at[common[at]], v[common[at]]), y) for (at, v), y in rows]
-    learner = Ftrl(DIMS + SHAPES, 1, alpha, beta, l1, l2)
+    learner = Ftrl(DIMS + SHAPES, 1, alpha, beta, max(0.5, l1_rate * len(rows)), l2)
     cuts = np.linspace(-1, 1, grades - 1) if grades > 2 else np.zeros(1)
     gaps = np.ones(grades - 1)
     rng = np.random.default_rng(seed)
