@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, WHITE, ascii_lower, bind, packed, unpacked
+from .common import KEY, WHITE, ascii_lower, bind, packed, spread, unpacked
 
 
 def line_key(line: Column) -> Column:
@@ -39,7 +39,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id:
         .filter(F.col("n") >= min_docs)
         .select("h1", "h2")
     )
-    drops = lines.join(shared, ["h1", "h2"]).groupBy(*KEY).agg(F.collect_set("pos").alias("dropped"))
+    drops = lines.join(spread(shared), ["h1", "h2"]).groupBy(*KEY).agg(F.collect_set("pos").alias("dropped"))
     parts = F.split("td_text", "\n", -1)
     joined = rows.join(drops, KEY, "left")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped"))
