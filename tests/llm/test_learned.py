@@ -242,8 +242,8 @@ def test_quality_edge_rows(spark, edge, empty):
     rows = quality.score(edge, model).collect()
     assert len(rows) == len(EDGE) and all(len(r["tails"]) == 2 for r in rows)
     assert quality.score(empty, model).count() == 0
-    rated = edge.select("doc_id", "text", F.lit(None).cast("int").alias("grade"))
-    assert quality.train(rated, 3).thresholds.tolist() == [0, 0]
+    ratings = edge.select("doc_id", F.lit(None).cast("int").alias("grade"))
+    assert quality.train(edge, ratings, 3).thresholds.tolist() == [0, 0]
 
 
 # Pipeline

@@ -102,17 +102,20 @@ def fit_sample(sample: list[tuple[str, int]], grades: int, epochs: int = 10, alp
     return model
 
 
-def train(rated: DataFrame, grades: int, max_docs: int = 9000, max_chars: int = 20_000) -> QualityModel:
-    """Learns from ``rated`` (doc_id, text, grade), grade 0 to grades - 1, other rows ignored.
+def train(docs: DataFrame, ratings: DataFrame, grades: int, max_docs: int = 9000, max_chars: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> QualityModel:
+    """Learns from the texts of ``docs`` and ``ratings`` (doc_id, grade), grade 0 to grades - 1; other ratings are ignored.
 
-    The sample is at most ``max_docs`` rows, in equal parts by grade as far as there are rows, of
-    texts of at most ``max_chars`` characters, chosen by a hash of the id.
+    The sample is about ``max_docs`` ratings (twice that at most), in equal parts by grade as far as
+    there are any, chosen by a hash of the id; those whose text is longer than ``max_chars``
+    characters are left out. Only the sample's ids are broadcast, so no text is shuffled.
     """
-    rows = rated.filter(F.col("grade").between(0, grades - 1) & (F.length("text") <= max_chars))
+    rows = ratings.select(F.col(doc_id).alias("id"), "grade").filter(F.col("grade").between(0, grades - 1))
     sizes = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     part = F.coalesce(*[F.when(F.col("grade") == g, F.lit(min(1.0, max_docs / grades / n))) for g, n in sizes.items()], F.lit(0.0)) if sizes else F.lit(0.0)
-    even = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = rows.filter(even < part).select("text", "grade").limit(2 * max_docs).collect()
+    even = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    chosen = rows.filter(even < part).limit(2 * max_docs)
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).filter(F.length("text") <= max_chars)
+    sample = texts.join(F.broadcast(chosen), "id").select("text", "grade").limit(2 * max_docs).collect()
     return fit_sample([(r["text"], r["grade"]) for r in sample], grades)
 
 

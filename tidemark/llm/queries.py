@@ -76,13 +76,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
-def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select("doc_id", quality.rating(F.col("quality"), F.col("toxic")).alias("grade"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
-
-
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality.train(rated(spark, sf_dir), grades=3)
+    ratings = table(spark, sf_dir, "labels").select("doc_id", quality.rating(F.col("quality"), F.col("toxic")).alias("grade"))
+    model = quality.train(table(spark, sf_dir, "documents"), ratings, grades=3)
     got = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     clean: Column = F.get("tails", F.lit(0))
     return got.select(doc_id(), "expected_grade", clean.alias("p_clean"), F.get("tails", F.lit(1)).alias("p_good"), (clean >= 0.5).alias("keep"))
