@@ -38,7 +38,7 @@ def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
     p = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     r = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
-    return c.select("n", F.round((F.col("n") - F.col("fp") - F.col("fn")) / F.col("n"), 4).alias("accuracy"), F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f1, 4).alias("f1"))
+    return c.select("n", F.round(F.try_divide(F.col("n") - F.col("fp") - F.col("fn"), F.col("n")), 4).alias("accuracy"), F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f1, 4).alias("f1"))
 
 
 def churn_scores(features: DataFrame, seed: int = 42) -> tuple[DataFrame, str]:

@@ -119,11 +119,11 @@ def evaluate(df: DataFrame, rules: list[Rule], as_of: str | None = None) -> Data
             simple.append((r.id, missing))
             limits[r.id] = (1 - r.params.get("min_ratio", 1.0)) * len(cols)
         elif r.type == "unique":
-            g = df.filter(F.col(f"`{r.column}`").isNotNull()).groupBy(f"`{r.column}`").agg(n.alias("n"))
-            frames.append(_counted(df, g.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("failures")), r.id))
+            g = df.filter(F.col(f"`{r.column}`").isNotNull()).groupBy(f"`{r.column}`").agg(n.alias("_n"))
+            frames.append(_counted(df, g.agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("failures")), r.id))
         elif r.type == "duplicate":
             cols = [f"`{c}`" for c in r.params.get("subset") or df.columns]
-            frames.append(_counted(df, df.groupBy(*cols).agg(n.alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("failures")), r.id))
+            frames.append(_counted(df, df.groupBy(*cols).agg(n.alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("failures")), r.id))
         elif r.type == "referential":
             ref = r.params["frame"].select(F.col(r.params["key"]).cast("string").alias("_ref")).distinct()
             lost = df.filter(F.col(f"`{r.column}`").isNotNull()).join(ref, text(r.column) == F.col("_ref"), "left_anti")
@@ -133,16 +133,16 @@ def evaluate(df: DataFrame, rules: list[Rule], as_of: str | None = None) -> Data
             simple.append((r.id, F.when(F.max(day(r.column)) >= F.date_sub(ref, int(r.params["max_age_days"])), F.lit(0)).otherwise(count_if(day(r.column).isNull() | (day(r.column) < F.date_sub(ref, int(r.params["max_age_days"])))))))
         elif r.type == "consistency":
             v = number(r.column)
-            q = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(v).alias("k"))
-            q = q.select(F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"), "k")
-            spread = F.col("q3") - F.col("q1")
-            out = (F.col("k") >= 8) & (spread != 0) & ((v < F.col("q1") - 1.5 * spread) | (v > F.col("q3") + 1.5 * spread))
+            q = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.count(v).alias("_k"))
+            q = q.select(F.get("_q", F.lit(0)).alias("_q1"), F.get("_q", F.lit(1)).alias("_q3"), "_k")
+            spread = F.col("_q3") - F.col("_q1")
+            out = (F.col("_k") >= 8) & (spread != 0) & ((v < F.col("_q1") - 1.5 * spread) | (v > F.col("_q3") + 1.5 * spread))
             frames.append(df.crossJoin(F.broadcast(q)).agg(count_if(out).alias("failures"), n.alias("rows")).select(F.lit(r.id).alias("rule_id"), "failures", "rows"))
             limits[r.id] = r.params.get("max_ratio", 0.05)
         elif r.type == "anomaly_ref":
             v = number(r.column)
-            m = df.agg(F.avg(v).alias("m"), F.stddev_samp(v).alias("s"), F.count(v).alias("k"))
-            out = (F.col("k") >= 3) & (F.col("s") > 0) & (F.abs((v - F.col("m")) / F.col("s")) > r.params.get("sensitivity", 3.0))
+            m = df.agg(F.avg(v).alias("_m"), F.stddev_samp(v).alias("_s"), F.count(v).alias("_k"))
+            out = (F.col("_k") >= 3) & (F.col("_s") > 0) & (F.abs(F.try_divide(v - F.col("_m"), F.col("_s"))) > r.params.get("sensitivity", 3.0))
             frames.append(df.crossJoin(F.broadcast(m)).agg(count_if(out).alias("failures"), n.alias("rows")).select(F.lit(r.id).alias("rule_id"), "failures", "rows"))
             limits[r.id] = r.params.get("max_ratio", 0.05)
     if simple:
@@ -199,20 +199,20 @@ def import_score(df: DataFrame) -> DataFrame:
         if any(k in low for k in ("price", "harga", "revenue", "amount", "cost", "total")):
             invalid = invalid + unread
     numeric = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "decimal")]
-    dup = df.groupBy(*[f"`{c}`" for c in cols]).agg(n.alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), zero).alias("dup"))
+    dup = df.groupBy(*[f"`{c}`" for c in cols]).agg(n.alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), zero).alias("dup"))
     row = df.agg(n.alias("n"), nulls.alias("nulls"), invalid.alias("invalid")).crossJoin(dup)
     if numeric:
-        q = df.agg(*[F.percentile(number(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(numeric)], *[F.count(number(c)).alias(f"k{i}") for i, c in enumerate(numeric)])
+        q = df.agg(*[F.percentile(number(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q{i}") for i, c in enumerate(numeric)], *[F.count(number(c)).alias(f"_k{i}") for i, c in enumerate(numeric)])
 
         def out(i: int, c: str) -> Column:
-            q1, q3 = F.get(f"q{i}", F.lit(0)), F.get(f"q{i}", F.lit(1))
-            return count_if((F.col(f"k{i}") >= 8) & (q3 != q1) & ((number(c) < q1 - 1.5 * (q3 - q1)) | (number(c) > q3 + 1.5 * (q3 - q1))))
+            q1, q3 = F.get(f"_q{i}", F.lit(0)), F.get(f"_q{i}", F.lit(1))
+            return count_if((F.col(f"_k{i}") >= 8) & (q3 != q1) & ((number(c) < q1 - 1.5 * (q3 - q1)) | (number(c) > q3 + 1.5 * (q3 - q1))))
 
         row = row.crossJoin(df.crossJoin(F.broadcast(q)).agg(sum((out(i, c) for i, c in enumerate(numeric)), zero).alias("odd")))
     else:
         row = row.withColumn("odd", zero)
     cells = F.col("n") * len(cols)
-    part = lambda x, of: F.round(F.greatest(F.lit(0.0), 1 - F.col(x) / of), 4)
+    part = lambda x, of: F.round(F.greatest(F.lit(0.0), 1 - F.try_divide(F.col(x), of)), 4)
     out_row = row.select(part("nulls", cells).alias("completeness"), part("dup", F.col("n")).alias("uniqueness"), part("invalid", cells).alias("validity"), part("odd", cells).alias("consistency"))
     four = [F.coalesce(F.col(c), F.lit(0.0)) for c in ("completeness", "uniqueness", "validity", "consistency")]
     out_row = out_row.select(*[c.alias(k) for c, k in zip(four, ("completeness", "uniqueness", "validity", "consistency"), strict=True)])

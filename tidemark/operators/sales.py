@@ -120,13 +120,14 @@ def sales_trend(df: DataFrame, granularity: str = "daily") -> DataFrame:
     )
 
 
-_ALL = Window.partitionBy()
+def _all():
+    return Window.partitionBy()
 
 
 def shares(df: DataFrame, dimension: str) -> DataFrame:
     """label, revenue, orders, units, share_pct of the whole frame's revenue, by any column."""
     g = df.groupBy(F.col(dimension).cast("string").alias("label")).agg(F.sum("revenue").alias("r"), F.count(F.lit(1)).alias("orders"), F.round(F.sum("quantity"), 2).alias("units"))
-    return g.select("label", F.round("r", 2).cast("double").alias("revenue"), "orders", "units", pct(F.col("r"), F.sum("r").over(_ALL)).alias("share_pct"))
+    return g.select("label", F.round("r", 2).cast("double").alias("revenue"), "orders", "units", pct(F.col("r"), F.sum("r").over(_all())).alias("share_pct"))
 
 
 def branch_kpi(df: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def abc_analysis(df: DataFrame, key: str = "product_name") -> DataFrame:
     """product, revenue, share_pct, cumulative_pct, grade: A up to 80 % of cumulated revenue, B up to 95 %, else C, the product itself included."""
     g = df.groupBy(F.col(key).alias("product")).agg(F.sum("revenue").alias("r"))
     run = F.sum("r").over(Window.orderBy(F.desc("r"), "product").rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum("r").over(_ALL)
+    whole = F.sum("r").over(_all())
     cum = F.when(whole != 0, run.cast("double") / whole.cast("double") * 100).otherwise(F.lit(0.0))
     return g.select(
         "product", F.round("r", 2).cast("double").alias("revenue"), pct(F.col("r"), whole).alias("share_pct"), F.round(cum, 2).alias("cumulative_pct"),

@@ -37,7 +37,7 @@ def inventory_change(df: DataFrame, pct: float) -> DataFrame:
     days = df.groupBy("transaction_date").agg(F.sum("revenue").cast("double").alias("r")).agg(F.coalesce(F.stddev_samp("r"), F.lit(0.0)).alias("s"))
     j = totals(df).crossJoin(days)
     ok = (F.col("revenue") > 0) & (F.col("units") > 0) & (F.col("n") >= 5)
-    delta = F.col("units") * pct / 100 * F.col("revenue") / F.col("units")
+    delta = F.try_divide(F.col("units") * pct / 100 * F.col("revenue"), F.col("units"))
     half = 1.28 * F.col("s")
     return j.select(F.lit("inventory_change_pct").alias("type"), F.coalesce(ok, F.lit(False)).alias("supported"), R(delta).alias("revenue_delta"), R(F.col("units") * pct / 100).alias("units_delta"), R(delta - half).alias("revenue_lower"), R(delta + half).alias("revenue_upper"), F.round(F.least(F.lit(0.7), 0.3 + F.col("n") / 50), 3).alias("confidence"))
 

@@ -49,6 +49,12 @@ def sniff_delimiter(sample: bytes, encoding: str = "UTF-8") -> str:
     return best[2]
 
 
+def _bad_lines(whole: DataFrame, columns: list[str]) -> DataFrame:
+    """Lines that did not parse. The condition looks at the parsed columns too: Spark fills the bad-line column only in scans that read others."""
+    parsed = F.to_json(F.struct(*columns)) >= ""
+    return whole.filter(F.col(f"`{BAD}`").isNotNull() & parsed).select(F.col(f"`{BAD}`").alias("line"))
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, bad rows): delimiter and encoding detected, all-blank rows dropped, malformed lines in ``bad`` as text."""
     sample = head(spark, path)
@@ -61,7 +67,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> tuple
         schema = T._parse_datatype_string(schema)
     whole = reader.schema(T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])).csv(path)
     good = whole.filter(F.col(f"`{BAD}`").isNull()).drop(BAD).dropna("all")
-    return good, whole.select(BAD, *[f"`{f.name}`" for f in schema.fields]).filter(F.col(f"`{BAD}`").isNotNull()).select(F.col(f"`{BAD}`").alias("line"))
+    return good, _bad_lines(whole, [f"`{f.name}`" for f in schema.fields])
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +76,7 @@ def read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, D
     s = T._parse_datatype_string(schema)
     whole = spark.read.schema(T.StructType([*s.fields, T.StructField(BAD, T.StringType())])).option("multiLine", multi).option("columnNameOfCorruptRecord", BAD).json(path)
     cols = [f"`{f.name}`" for f in s.fields]
-    return whole.filter(F.col(f"`{BAD}`").isNull()).select(*cols), whole.select(F.col(f"`{BAD}`").alias("line"), *cols).filter("line is not null").select("line")
+    return whole.filter(F.col(f"`{BAD}`").isNull()).select(*cols), _bad_lines(whole, cols)
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str | None = None) -> DataFrame:
@@ -180,14 +186,15 @@ def write_csv(df: DataFrame, path: str) -> None:
 def csv_lines(df: DataFrame):
     """Small results as CSV lines, streamed partition by partition."""
     cell = lambda v: "" if v is None else str(v).lower() if isinstance(v, bool) else str(v)
-    for row in [df.columns, *[]]:
+
+    def line(values: list[str]) -> str:
         out = io.StringIO()
-        csv.writer(out, lineterminator="\r\n").writerow(row)
-        yield out.getvalue()
+        csv.writer(out, lineterminator="\r\n").writerow(values)
+        return out.getvalue()
+
+    yield line(df.columns)
     for r in df.toLocalIterator():
-        out = io.StringIO()
-        csv.writer(out, lineterminator="\r\n").writerow([cell(v) for v in r])
-        yield out.getvalue()
+        yield line([cell(v) for v in r])
 
 
 def append_job(df: DataFrame, path: str, job: int) -> None:
