@@ -48,3 +48,11 @@ def test_dashboards(spark, sf, name):
     got = dashboards.resolve(name, frames, date_from="1996-01-01", granularity="monthly")
     assert set(got) == set(dashboards.DASHBOARDS[name])
     assert all(df.limit(1).count() == 1 for df in got.values())
+
+
+def test_acknowledging_only_open_alerts(spark):
+    from tidemark.operators import alerts
+
+    df = spark.createDataFrame([(1, "open"), (2, "resolved"), (3, "open")], "alert_id int, status string")
+    got = {r["alert_id"]: (r["status"], r["acknowledged_by"]) for r in alerts.acknowledge(df, [1, 2], "2025-01-01", "me").collect()}
+    assert got == {1: ("acknowledged", "me"), 2: ("resolved", None), 3: ("open", None)}

@@ -43,3 +43,12 @@ def listing(alerts: DataFrame, status: str | None = None, rule: str | None = Non
         if value is not None:
             alerts = alerts.filter(F.col(name) == value)
     return alerts.orderBy(F.desc("at"), "rule").limit(max(1, min(200, limit)))
+
+
+def acknowledge(alerts: DataFrame, ids: list[int], at: str, by: str) -> DataFrame:
+    """alerts (alert_id, status, ...) with the named open ones acknowledged; they still count as open for their rule, so no second one opens."""
+    mine = F.col("alert_id").isin(*ids) & (F.col("status") == "open")
+    for name, kind, value in (("acknowledged_at", "timestamp", at), ("acknowledged_by", "string", by)):
+        old = F.col(name) if name in alerts.columns else F.lit(None).cast(kind)
+        alerts = alerts.withColumn(name, F.when(mine, F.lit(value).cast(kind)).otherwise(old))
+    return alerts.withColumn("status", F.when(mine, "acknowledged").otherwise(F.col("status")))
