@@ -81,6 +81,33 @@ def promote(versions: DataFrame, model: str, version: str) -> DataFrame:
     return versions.withColumn("stage", stage)
 
 
+def rollback(versions: DataFrame, model: str) -> DataFrame:
+    """versions (model, version, stage, archived_at) with the model's newest archived version in production again and the present one archived; without an archived version nothing changes."""
+    mine = F.col("model") == model
+    old = versions.filter(mine & (F.col("stage") == "ARCHIVED")).agg(F.max_by("version", F.struct("archived_at", "version")).alias("_back"))
+    j = versions.crossJoin(F.broadcast(old))  # one row
+    back = mine & (F.col("version") == F.col("_back"))
+    stage = F.when(back, "PRODUCTION").when(mine & F.col("_back").isNotNull() & (F.col("stage") == "PRODUCTION"), "ARCHIVED").otherwise(F.col("stage"))
+    return j.withColumn("stage", stage).drop("_back")
+
+
+def deployment_status(versions: DataFrame, events: DataFrame) -> DataFrame:
+    """(model, version, status, n_events): the newest event's ``to_status``, PENDING where there is none. events: event_id, model, version, to_status."""
+    last = events.groupBy("model", "version").agg(F.max_by("to_status", "event_id").alias("status"), F.count(F.lit(1)).alias("n_events"))
+    return versions.select("model", "version").join(last, ["model", "version"], "left").select("model", "version", F.coalesce("status", F.lit("PENDING")).alias("status"), F.coalesce("n_events", F.lit(0)).alias("n_events"))
+
+
+def event_trail(events: DataFrame, model: str) -> DataFrame:
+    """A model's events, oldest first."""
+    return events.filter(F.col("model") == model).orderBy("event_id")
+
+
+def status_counts(datasets: DataFrame) -> DataFrame:
+    """One row: datasets, rows and mean score in all, and the number of datasets by status."""
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return datasets.agg(F.count(F.lit(1)).alias("datasets"), *[count(s) for s in ("pending", "running", "committed", "failed")], F.round(F.avg("score"), 4).alias("mean_score"))
+
+
 def rank_experiments(runs: DataFrame, metric: str, higher_is_better: bool = True) -> DataFrame:
     """runs with rank 1.. by a metric, unmeasured ones last; ties by run_id."""
     order = F.desc_nulls_last(metric) if higher_is_better else F.asc_nulls_last(metric)

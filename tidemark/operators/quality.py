@@ -278,3 +278,12 @@ def schema_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     j = old.select("column", F.col("dtype").alias("a")).join(new.select("column", F.col("dtype").alias("b")), "column", "full")
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "type_changed")
     return j.select("column", change.alias("change")).filter("change is not null")
+
+
+def merge_scores(parts: DataFrame, passing: float = 0.8) -> DataFrame:
+    """One row from parts (n, completeness, uniqueness, validity, consistency): each score weighted by rows (4 digits), their mean as ``score``, and ``passed``. No rows at all: zeros, not passed."""
+    names = ("completeness", "uniqueness", "validity", "consistency")
+    n = F.sum("n")
+    means = parts.agg(*[F.coalesce(F.round(F.try_divide(F.sum(F.col(c) * F.col("n")), n), 4), F.lit(0.0)).alias(c) for c in names])
+    mean = F.round(sum((F.col(c) for c in names[1:]), F.col(names[0])) / len(names), 4)
+    return means.withColumn("score", mean).withColumn("passed", F.col("score") >= passing)

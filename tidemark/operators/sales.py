@@ -183,3 +183,11 @@ def employee_analytics(df: DataFrame, column: str | None = None) -> DataFrame:
     if name is None:
         raise ValueError("unsupported: no employee column in the frame")
     return shares(df, name).select(F.col("label").alias("employee"), "revenue", "orders", "share_pct")
+
+
+def enrich(df: DataFrame, products: DataFrame, columns: list[str]) -> DataFrame:
+    """df with ``columns`` of products looked up by product name, white space collapsed and case folded; unknown names give nulls. Where products share a name, the least values count, so rows are never repeated."""
+    folded = F.lower(F.trim(F.regexp_replace("product_name", r"\s+", " ")))
+    known = products.groupBy(folded.alias("_name")).agg(F.min(F.struct(*columns)).alias("_known"))
+    kept = [c for c in df.columns if c not in columns]
+    return df.withColumn("_name", folded).join(known, "_name", "left").select(*kept, *[F.col("_known")[c].alias(c) for c in columns])

@@ -30,3 +30,28 @@ def match(questions: DataFrame, column: str = "text", most: int = 4) -> DataFram
     """questions with ``metrics``: names of up to ``most`` metrics that the text mentions, in glossary order."""
     hits = F.array_compact(F.array(*[F.when(mentions(F.col(column), a), F.lit(m)) for m, a in METRICS.items()]))
     return questions.withColumn("metrics", F.slice(hits, 1, most))
+
+
+#: Words of a question and the tool that answers it, in the order in which tools run.
+INTENTS = {
+    "get_kpi": ("kpi", "ringkas", "summary", "pendapatan", "revenue", "omzet"),
+    "query_sales": ("tren", "trend", "penjualan", "sales", "grafik"),
+    "query_inventory": ("stok", "stock", "inventory", "gudang"),
+    "query_customer": ("customer", "pelanggan", "rfm", "churn"),
+    "query_product": ("produk", "product", "abc", "kategori"),
+    "query_finance": ("keuangan", "finance", "margin", "laba", "profit"),
+    "get_forecast": ("forecast", "prediksi", "ramal", "proyeksi"),
+    "get_anomaly": ("anomali", "anomaly", "janggal", "outlier"),
+    "get_customer_segment": ("segmen", "segment", "cluster"),
+    "generate_report": ("laporan", "report", "eksekutif", "mingguan", "bulanan"),
+    "query_sql": ("sql", "select "),
+}
+DEFAULT_TOOLS = ("get_kpi", "query_sales")
+
+
+def route(questions: DataFrame, column: str = "text", most: int = 8) -> DataFrame:
+    """questions with ``tools``, array of at most ``most`` tool names; a question that names none gets the defaults."""
+    low = F.lower(F.coalesce(F.col(column), F.lit("")))
+    named = [F.when(low.rlike("|".join(words)), F.lit(tool)) for tool, words in INTENTS.items()]
+    tools = F.slice(F.array_compact(F.array(*named)), 1, most)
+    return questions.withColumn("tools", F.when(F.size(tools) > 0, tools).otherwise(F.array(*[F.lit(t) for t in DEFAULT_TOOLS])))
