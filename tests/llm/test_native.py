@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,19 @@ def test_known_digests_are_distinct(spark):
     assert licenses.known_digests(spark).count() == len(KNOWN)
 
 
+def test_creative_commons_lines_and_long_licenses_are_known(spark):
+    rows = [(1, "text\nLicensed under CC BY-NC 4.0.\nmore"), (2, "This work is licensed under CC-BY-NC-ND 3.0"), (3, "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.")]
+    folder = Path(licenses.__file__).parent / "texts"
+    long = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    rows += [(10 + i, (folder / f"{name}.txt").read_text()) for i, name in enumerate(long)]
+    rows += [(20, rows[3][1].split("END OF TERMS")[0])]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["parts"] == ["CC-BY-NC-4.0 short notice"] and got[1]["license"] is None
+    assert got[2]["license"] == "CC-BY-NC-ND-3.0 short work notice" and got[3]["license"] == "CC-BY-NC-ND-3.0 notice"
+    assert [got[10 + i]["license"] for i in range(len(long))] == long
+    assert got[20]["license"] == "Apache-2.0, terms without end"
+
+
 # Line dedup
 
 

@@ -1,5 +1,7 @@
 """Texts of well-known licenses and the notices by which files declare them."""
 
+from pathlib import Path
+
 _MIT_GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal "
     "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
@@ -54,6 +56,44 @@ _GPL_NOTICE = (
     "with this program. If not, see <https://www.gnu.org/licenses/>."
 )
 
+#: Creative Commons licenses with a choice of terms: short name and title. Versions before 4.0 say NoDerivs.
+_CC_TERMS = (
+    ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+_CC_VERSIONS = (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International"))
+
+
+def _cc_notices() -> dict[str, str]:
+    """The sentences that name a Creative Commons license by its short name or title, for each choice of terms and version."""
+    out = {}
+    for terms, title in _CC_TERMS:
+        for version, scope in _CC_VERSIONS:
+            titled = f"Creative Commons {title if version == '4.0' else title.replace('NoDerivatives', 'NoDerivs')} {version}"
+            forms = {
+                "short": f"CC {terms} {version}", "short a": f"a CC {terms} {version} License", "short the": f"the CC {terms} {version} License",
+                "titled": f"{titled} {scope}", "titled a": f"a {titled} {scope} License", "titled the": f"the {titled} {scope} License",
+                "unscoped": titled, "unscoped a": f"a {titled} License", "unscoped the": f"the {titled} License",
+            }
+            for form, named in forms.items():
+                out[f"CC-{terms}-{version} {form} notice"] = f"Licensed under {named}."
+                # The form that Creative Commons itself proposes is the plain notice.
+                out[f"CC-{terms}-{version} {'' if form == 'titled a' else f'{form} work '}notice"] = f"This work is licensed under {named}."
+    return out
+
+
+def _whole_texts() -> dict[str, str]:
+    """The long licenses of the folder ``texts``, each also without the instructions that follow its terms."""
+    out = {}
+    for path in sorted((Path(__file__).parent / "texts").glob("*.txt")):
+        out[path.stem] = text = path.read_text("utf-8")
+        terms, end, rest = text.partition("END OF TERMS AND CONDITIONS")
+        if rest.strip():
+            out[f"{path.stem}, terms"] = terms + end
+            out[f"{path.stem}, terms without end"] = terms
+    return out
+
+
 #: Name of the license and text; names with "notice" are declarations, the others whole licenses.
 KNOWN = {
     "MIT": _MIT_GRANT,
@@ -76,7 +116,7 @@ KNOWN = {
     "MIT licensed notice": "Licensed under the MIT License.",
     "BSD short notice": "Licensed under the BSD License.",
     "CC0-1.0 notice": "This work is released into the public domain under the CC0 1.0 license.",
-    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    **_cc_notices(),
+    **_whole_texts(),
 }
