@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from pathlib import Path
 
 import pytest
@@ -163,6 +164,34 @@ def test_creative_commons_lines_and_long_licenses_are_known(spark):
     assert got[20]["license"] == "Apache-2.0, terms without end"
 
 
+def test_known_texts_survive_wrapping(spark):
+    def wrapped(text, width):
+        blocks = [[]]
+        for line in text.split("\n"):
+            if not line.strip() or re.match(r"\s*copyright \W*(c\)|year|yyyy|\d{4})", line, re.I):
+                blocks += [[line], []]
+            else:
+                blocks[-1].append(line)
+        return "\n".join("\n".join(textwrap.wrap(" ".join(b), width, break_on_hyphens=False, break_long_words=False)) for b in blocks)
+
+    texts = [(f"{name}|{width}", wrapped(text, width)) for name, text in KNOWN.items() for width in range(60, 81)]
+    rows = spark.createDataFrame(texts, "name string, text string").select("name", licenses.digest(F.col("text")).alias("digest"))
+    found = rows.join(licenses.known_digests(spark), "digest", "left").collect()
+    assert [r["name"] for r in found if r["license"] != r["name"].split("|")[0]] == []
+
+
+def test_notices_go_and_license_words_stay(spark):
+    notices = ["Copyright (c) 2020 A", "copyright 2020 a", "(c) 2020 A", "© A", "Copyright: 2020, A", "Portions copyright (C) A", " * Copyright Jane Doe <j@x.org>", "Copyright The Foo Authors.", "COPYRIGHT JANE DOE", "(c) Jane Doe", "All rights reserved.", "Copyright [yyyy] [name of copyright owner]", "Copyright by A", "\u00c4 x"]
+    kept = ["copyright notice and this", "COPYRIGHT HOLDERS BE LIABLE", "Copyright Holder", "copyright license to reproduce,", "(c) You must retain, in the Source form of any Derivative Works", "copyrighted work", "copyright law.", "copyright interest in"]
+    rows = spark.createDataFrame([(f"head\n\n{x}\n\ntail",) for x in notices + kept] + [(f"head\n{x}\ntail",) for x in kept + ["copyright the foo"]], "text string")
+    got = [r[0] for r in rows.select(licenses.canonical(F.col("text"))).collect()]
+    assert got[: len(notices)] == ["head tail"] * (len(notices) - 1) + ["head ä x tail"]
+    assert "head tail" not in got[len(notices) :]
+    isc = KNOWN["ISC"].replace("above copyright notice", "above\ncopyright notice")
+    (r,) = licenses.scan_licenses(spark.createDataFrame([(1, "ISC License\n\nCopyright (c) 2020 A\n\n" + isc)], "doc_id long, text string")).collect()
+    assert r["license"] == "ISC, titled"
+
+
 # Line dedup
 
 

@@ -15,12 +15,25 @@ SPELLINGS = (
     ("noncommercial", "non commercial"), ("fulfil", "fulfill"), ("labour", "labor"), ("honour", "honor"), ("https", "http"), ("copyright owner", "copyright holder"),
     ("initialise", "initialize"), ("modernise", "modernize"), ("recognise", "recognize"), ("realise", "realize"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
 )
-COPYRIGHT = r"(?im)^[\W_]*(?:(?:portions\s+)?copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+_MARKS = r"[^\p{L}\p{N}\n]*"
+#: Words after "copyright" that make it a word of the license, not the start of a notice.
+_NO_NAME = r"(?:notices?|holders?|owners?|ownership|laws?|licen[cs]es?|acts?|interests?|statements?|treat(?:y|ies)|protections?|permissions?|rights?|infringements?|disclaimers?|status|claims?|doctrines?|and|or|in|on|to|of|for|is|are|as|under|that|which|if|has|have|may|can|shall|will|does|with|not|from|this|these)\b"
+_YEAR = r"(?:19|20)\d\d\b|[\[<{(]+(?:yyyy|xxxx|year)\b"
+#: Notices: "copyright" or "(c)" with a year, "(c)", "by" or a name (and a next line that is only an address), a line that begins with the sign, and reserved
+#: rights. A line of a wrapped license may begin with "copyright" too, so a bare name counts only at the start of a
+#: paragraph or if capitalised names fill the line. "(c) Name" looks like a list item and must be a short paragraph.
+COPYRIGHT = (
+    rf"(?im)^{_MARKS}(?:"
+    rf"(?:portions\s+)?copyright\b[ \t:,]*(?:\(c\)|©|&copy;|{_YEAR}|by\b)|\(c\)[ \t]*(?:copyright\b[ \t:,]*)?(?:{_YEAR})|©|all rights reserved"
+    rf"|(?:portions\s+)?(?-i:Copyright)[ \t:]+(?!{_NO_NAME})(?-i:\p{{Lu}}[\p{{L}}\p{{N}}.&'’-]*(?:[ \t,]+(?:\p{{Lu}}[\p{{L}}\p{{N}}.&'’-]*|and|of|the|et|de|van|von)){{0,8}})(?:[ \t]*<[^>\n]*>)?[ \t\r.,]*$"
+    r")[^\n]*$(?:\n[ \t*#/]*<[^>\n]+>[ \t\r]*$)?"
+    rf"|(?:\A|^{_MARKS}\n){_MARKS}(?:(?:portions\s+)?copyright[ \t:]+(?!{_NO_NAME})[\p{{L}}\p{{N}}][^\n]*$|\(c\)[ \t]+[^\n]{{1,45}}(?=\n{_MARKS}(?:\n|\z)|\z))"
+)
 
 
 def canonical(text: Column) -> Column:
     """A text without copyright lines, in lower case, words parted by one space, variant spellings replaced."""
-    plain = F.regexp_replace(text, COPYRIGHT, " ")
+    plain = F.regexp_replace(text, COPYRIGHT, "\n")
     plain = F.btrim(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}]+", " "))
     some = "|".join(variant for variant, _ in SPELLINGS)
 
