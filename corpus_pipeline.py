@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, line_dedup, mixing, simhash
+from tidemark.llm import decontaminate, jaccard, language, line_dedup, mixing
 from tidemark.llm.common import shared_folder
 
 #: Below this calibrated probability a text is in no language that the model knows. Clean short texts lie above.
@@ -33,8 +33,8 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies."""
-    return simhash.keep_one(docs)
+    """Keeps the document with the smallest doc_id of each group of near copies: five-word shingles, Jaccard similarity of at least 0.8."""
+    return jaccard.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

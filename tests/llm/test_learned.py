@@ -249,6 +249,37 @@ def test_quality_edge_rows(spark, edge, empty):
 # Pipeline
 
 
+def brute_jaccard_groups(texts, least=0.8, n=5):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))})
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    return label
+
+
+def test_near_dedup_stage_links_jaccard_of_four_fifths(spark):
+    import random
+
+    import corpus_pipeline
+
+    rng, texts = random.Random(5), ["", None, "short", "short", "Short text"]
+    for _ in range(60):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(20, 200))]
+        for _ in range(rng.randrange(1, 6)):
+            rate = rng.choice([0.0, 0.005, 0.01, 0.02, 0.05])
+            texts.append(" ".join(f"x{rng.randrange(9999)}" if rng.random() < rate else w for w in base))
+    want = brute_jaccard_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect())
+    assert kept == [want.index(x) for x in sorted(set(want), key=want.index)]
+    assert len(set(texts)) - len(kept) > 20
+
+
 def test_pipeline_runs_and_every_stage_takes_effect(spark, small):
     import corpus_pipeline
 

@@ -178,7 +178,11 @@ def label_groups(docs: DataFrame, bits: int = 3, n: int = 3, doc_id: str = "doc_
 
 def keep_one(docs: DataFrame, bits: int = 3, n: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input rows of one document of each group: the one with the smallest doc_id (rows without one last; then by text hash)."""
-    rows = near_groups(docs, bits, n, doc_id, text)
+    return kept_of(docs, near_groups(docs, bits, n, doc_id, text), doc_id, text)
+
+
+def kept_of(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of docs that ``keep_one`` keeps, given the ``component`` of each row's key."""
     order = F.struct((~F.col("td_known")).alias("unknown"), "td_id", "td_hash")
     best = rows.groupBy("component").agg(F.min(order).alias("best"))
     best = best.select((~F.col("best.unknown")).alias("td_known"), F.col("best.td_id").alias("td_id"), F.col("best.td_hash").alias("td_hash"))
