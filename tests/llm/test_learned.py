@@ -180,39 +180,123 @@ def test_gram_counts_do_not_depend_on_slabs(monkeypatch):
 # Token counts
 
 
+def counted(spark, rows, version="v1"):
+    return token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), version)
+
+
+def totals_of(rows):
+    """{(source, lang, version): [documents, characters, tokens]} of collected rows of count_tokens."""
+    want = {}
+    for r in rows:
+        t = want.setdefault((r["source"], r["lang"], r["version"]), [0, 0, 0])
+        t[0], t[1], t[2] = t[0] + 1, t[1] + r["n_chars"], t[2] + r["n_tokens"]
+    return want
+
+
+def ledger_totals(ledger):
+    return {(r["source"], r["lang"], r["version"]): [r["n_docs"], r["n_chars"], r["n_tokens"]] for r in ledger.totals().collect()}
+
+
+FIRST = [(1, "one two three", "a", "en"), (2, "four", "a", None), (3, None, "b", "en"), (4, "", None, "en"), (None, "no id", "a", "en")]
+
+
 def test_ledger_follows_inserts_revisions_and_deletes(spark, tmp_path):
-    count = lambda rows: token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), "v1")
-    first = [(1, "one two three", "a", "en"), (2, "four", "a", None), (3, None, "b", "en"), (4, "", None, "en"), (None, "no id", "a", "en")]
     ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
-    ledger.commit(1, count(first))
-    once = sorted(map(str, ledger.totals().collect()))
-    ledger.commit(1, count(first))
-    assert sorted(map(str, ledger.totals().collect())) == once
+    ledger.commit(1, counted(spark, FIRST))
+    once = ledger_totals(ledger)
+    ledger.commit(1, counted(spark, FIRST))
+    assert ledger_totals(ledger) == once == totals_of(counted(spark, FIRST).collect())
     second = [(1, "one two three four five", "b", "en"), (5, "new text", "a", "en")]
-    gone = spark.createDataFrame([(2, "v1"), (99, "v1")], "doc_id long, version string")
+    gone = spark.createDataFrame([(2, "v1"), (99, "v1"), (5, "v1")], "doc_id long, version string")
     for _ in range(2):
-        token_counts.TokenLedger(spark, str(tmp_path / "ledger")).commit(2, count(second), gone)
-    left = [*second, *(r for r in first if r[0] in (3, 4, None))]
-    want = {}
-    for r in count(left).collect():
-        t = want.setdefault((r["source"], r["lang"], "v1"), [0, 0, 0])
-        t[0], t[1], t[2] = t[0] + 1, t[1] + r["n_chars"], t[2] + r["n_tokens"]
-    got = {(r["source"], r["lang"], r["version"]): [r["n_docs"], r["n_chars"], r["n_tokens"]] for r in ledger.totals().collect()}
-    assert got == want
+        token_counts.TokenLedger(spark, str(tmp_path / "ledger")).commit(2, counted(spark, second), gone)
+    left = [*second, *(r for r in FIRST if r[0] in (3, 4, None))]
+    assert ledger_totals(ledger) == totals_of(counted(spark, left).collect())
 
 
-def test_tokens_round_trip(spark):
+def test_ledger_replaces_the_last_batch_whole_and_refuses_earlier_ones(spark, tmp_path):
+    ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
+    ledger.commit(1, counted(spark, [(1, "one two three", "a", "en")]))
+    before = ledger_totals(ledger)
+    ledger.commit(2, counted(spark, [(1, "one two three four", "a", "en"), (2, "more", "a", "en")]))
+    with pytest.raises(ValueError):
+        ledger.commit(1, counted(spark, [(1, "one", "a", "en")]))
+    ledger.commit(2)  # the batch is empty after all
+    assert ledger_totals(ledger) == before
+    ledger.commit(2, counted(spark, []))
+    assert ledger_totals(ledger) == before
+    ledger.commit(2, deletes=spark.createDataFrame([(1, "v1")], "doc_id long, version string"))
+    assert ledger_totals(ledger) == {}
+    # A document in both is revised once; two rows of one document are two copies.
+    both = spark.createDataFrame([(1, "v1"), (1, "v1")], "doc_id long, version string")
+    ledger.commit(2, counted(spark, [(1, "one", "a", "en"), (1, "one", "a", "en")]), both)
+    ledger.commit(3, counted(spark, [(1, "now one", "c", None)]), both)
+    assert ledger_totals(ledger) == totals_of(counted(spark, [(1, "now one", "c", None)]).collect())
+
+
+def test_ledger_of_many_batches_is_compacted_and_right(spark, tmp_path):
+    rng, ledger, now = random.Random(4), token_counts.TokenLedger(spark, str(tmp_path / "ledger"), compact_every=2), {}
+    for batch in range(1, 8):
+        rows = [(i, "word " * rng.randrange(5), rng.choice("ab"), "en") for i in rng.sample(range(12), 4)]
+        gone = rng.sample(range(12), 3)
+        frame = spark.createDataFrame([(i, "v1") for i in gone], "doc_id long, version string")
+        for _ in range(1 + (batch % 3 == 0)):
+            ledger.commit(batch, counted(spark, rows), frame)
+        for i in gone:
+            now.pop(i, None)
+        now |= {r[0]: r for r in rows}
+    assert ledger._log("state") and ledger_totals(ledger) == totals_of(counted(spark, list(now.values())).collect())
+
+
+def test_ledger_of_empty_tables_and_clashing_names(spark, tmp_path, empty, clashing):
+    ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
+    assert ledger.totals().count() == 0
+    ledger.commit(1, token_counts.count_tokens(empty, "v1"), empty.select("doc_id", F.lit("v1").alias("version")))
+    assert ledger.totals().count() == 0
+    odd = clashing.select("*", F.lit(1).alias("version"), F.lit(2).alias("n_tokens"), F.lit(3).alias("sign"), F.lit(4).alias("batch"))
+    ledger.commit(2, token_counts.count_tokens(odd, "v1"))
+    assert sum(v[0] for v in ledger_totals(ledger).values()) == len(EDGE)
+
+
+def vocabulary():
     with open(token_counts.DEFAULT_RANKS, "rb") as f:
-        enc = token_counts.encoder(f.read(), token_counts.PATTERN)
+        return token_counts.encoder(f.read(), token_counts.PATTERN)
+
+
+def test_tokens_round_trip(spark):
+    enc = vocabulary()
     for _, text, *_ in EDGE[:7]:
-        assert enc.decode(enc.encode_ordinary(text or "")) == (text or "")
+        assert enc.decode(token_counts.encode(enc, text or "")) == (text or "")
+
+
+def test_cutting_at_long_white_space_changes_no_id(monkeypatch):
+    import re
+
+    enc, rng = vocabulary(), random.Random(6)
+    monkeypatch.setattr(token_counts, "LONG_RUN", re.compile(token_counts.LONG_RUN.pattern.replace("10000", "3")))
+    for _ in range(500):
+        text = "".join(rng.choice([" ", " ", "\n", "\t", "\x1c", "\u2003", "a", "Bc", "1", "!", "'s"]) * rng.choice([1, 1, 3, 7]) for _ in range(rng.randrange(12)))
+        assert token_counts.encode(enc, text) == enc.encode_ordinary(text), repr(text)
+
+
+@pytest.mark.parametrize("unit", [" ", "\n \t", "a", "é", "!"])
+def test_texts_of_five_million_characters(unit):
+    enc, n = vocabulary(), 5_000_000
+    text = "start " + (unit * n)[:n] + "x end"
+    assert enc.decode(token_counts.encode(enc, text)) == text
 
 
 def test_token_counts_of_whole_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
-    with open(token_counts.DEFAULT_RANKS, "rb") as f:
-        enc = token_counts.encoder(f.read(), token_counts.PATTERN)
-    assert sum(r["n_tokens"] for r in queries.op9_token_counts(spark, small).collect()) == sum(len(enc.encode_ordinary(r["text"])) for r in docs)
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{small}/labels.parquet").filter("toxic = 1").collect()}
+    enc, want = vocabulary(), {}
+    for r in docs:
+        if r["doc_id"] not in toxic:
+            text = " ".join(w for w in r["text"].translate({c: 32 for c in (9, 10, 11, 12, 13)}).split(" ") if w)
+            t = want.setdefault((r["source"], r["lang"], "byte_bpe_50k"), [0, 0, 0])
+            t[0], t[1], t[2] = t[0] + 1, t[1] + len(text), t[2] + len(enc.encode_ordinary(text))
+    got = {(r["source"], r["lang"], r["version"]): [r["n_docs"], r["n_chars"], r["n_tokens"]] for r in queries.op9_token_counts(spark, small).collect()}
+    assert toxic and got == want
 
 
 # Quality

@@ -71,8 +71,15 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches over the whole table: all documents as they came, revised counts of every text that changes when runs of white space become one space, and the removal of toxic documents; the last is committed twice."""
+    docs, version = table(spark, sf_dir, "documents"), "byte_bpe_50k"
+    tidy = F.trim(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " "))
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id", F.lit(version).alias("version"))
     ledger = token_counts.TokenLedger(spark, f"{shared_folder(spark)}/token-ledger-{uuid.uuid4().hex}")
-    ledger.commit(1, token_counts.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k"))
+    ledger.commit(1, token_counts.count_tokens(docs, version))
+    ledger.commit(2, token_counts.count_tokens(docs.filter(tidy != F.col("text")).withColumn("text", tidy), version))
+    for _ in range(2):
+        ledger.commit(3, deletes=toxic)
     return ledger.totals()
 
 
