@@ -106,26 +106,43 @@ def test_myers_distance_is_the_edit_distance():
         assert decontaminate.best_match(item, text, len(item))[0] == brute_distance(item, text)
 
 
+def brute_hits(items, text, least=24, rate=0.06):
+    """(long items with their distances, short items) of a text, by tables of edit distances and word borders."""
+    n, long, short = decontaminate.normal(text), {}, set()
+    for k, item in items:
+        x = decontaminate.normal(item)
+        if len(x) >= least:
+            d = brute_distance(x, n)
+            if d <= int(len(x) * rate):
+                long[k] = min(d, long.get(k, d))
+        elif x and f" {x} " in f" {n} ":
+            short.add(k)
+    return long, short
+
+
 def test_every_match_within_the_budget_is_found(spark):
     rng = random.Random(2)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
-    items = [" ".join(word() for _ in range(rng.randrange(8, 40))) for _ in range(12)]
-    docs, want = [], {}
-    for i in range(80):
-        item = rng.choice(items)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 8)))
+    sizes = [1, 1, 2, 3, 3, 5, 8, 12, 16, 17, 20, 23, 24, 25, 30, 40, 50, 80, 120, 200, 300, 500]
+    items = [(k, (" ".join(word() for _ in range(n)))[:n].strip() or "a") for k, n in enumerate(sizes)]
+    items += [(3, "same id, another text that is long enough"), (50, " -- "), (51, None)]
+    docs = []
+    for i in range(70):
+        item = rng.choice(items)[1] or ""
         budget, t = int(len(item) * 0.06), list(item)
         for _ in range(rng.randrange(2 * budget + 1)):
             k = rng.randrange(len(t))
             t[k] = rng.choice(["", "z", t[k] + "q"])
-        text = " ".join(word() for _ in range(30)) + ". " + "".join(t) + " " + " ".join(word() for _ in range(30))
-        docs.append((i, text))
-        n = decontaminate.normal(text)
-        want[i] = {k: d for k, x in enumerate(items) if (d := brute_distance(x, n)) <= int(len(x) * 0.06)}
+        docs.append((i, " ".join(word() for _ in range(20)) + ". " + "".join(t) + " " + " ".join(word() for _ in range(20))))
+    docs += [(70, None), (71, ""), (72, items[-5][1]), (72, items[-5][1])]
+    want = {i: brute_hits(items, text) for i, text in docs}
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    for block in (4_000_000, 700):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (2_000_000, 400):
         got = decontaminate.contamination(frame, bench, block_chars=block).collect()
-        assert {r["td_id"]: {h["item"]: h["distance"] for h in r["hits"]} for r in got} == want
+        assert len(got) == len(docs)
+        assert {r["td_id"]: ({h["item"]: h["distance"] for h in r["hits"]}, set(r["short_hits"])) for r in got} == want
+    assert sum(len(w[0]) for w in want.values()) > 15 and any(w[1] for w in want.values())
 
 
 def test_decontamination_edge_rows(spark, edge, empty, clashing):

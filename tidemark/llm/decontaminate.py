@@ -3,8 +3,8 @@
 An item within k edits of some stretch of a document, cut into k + 1 pieces, has at least one piece
 there unchanged. Each task finds all piece hits of a whole text with one automaton and verifies
 them with Myers' bit-parallel edit distance around the place that the hit implies. The benchmark
-is the query set: it is broadcast in blocks of a bounded number of characters, and every block
-passes over every document.
+is the query set: it is broadcast in blocks of a bounded number of characters, one at a time, and
+every block passes over every document.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, packed, row_key, unpacked, whole_text
+from .common import KEY, packed, row_key, saved, unpacked, whole_text
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -63,24 +64,38 @@ def best_match(item: str, text: str, budget: int) -> tuple[int, int]:
 
 
 class Matcher:
-    """Finds items of one block in texts."""
+    """Finds the items of one block in normalised texts: long ones within their budgets, short ones as whole words, letter by letter."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
-        self.items = [(i, t, int(len(t) * error_rate)) for i, t in items]
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int):
+        self.items = [(i, t, int(len(t) * error_rate)) for i, t in items if len(t) >= min_chars]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, budget) in enumerate(self.items):
             for at, piece in pieces(t, budget):
                 found.setdefault(piece, []).append((k, at))
-        self.automaton = ahocorasick.Automaton()
-        for piece, where in found.items():
-            self.automaton.add_word(piece, (len(piece), where))
-        if found:
-            self.automaton.make_automaton()
+        self.automaton = self._automaton({piece: (len(piece), where) for piece, where in found.items()})
+        whole: dict[str, list[int]] = {}
+        for i, t in items:
+            if len(t) < min_chars:
+                whole.setdefault(f" {t} ", []).append(i)
+        self.short = self._automaton(whole)
+
+    @staticmethod
+    def _automaton(words: dict) -> ahocorasick.Automaton | None:
+        out = ahocorasick.Automaton()
+        for word, value in words.items():
+            out.add_word(word, value)
+        if not words:
+            return None
+        out.make_automaton()
+        return out
+
+    def find_short(self, text: str) -> list[int]:
+        return sorted({i for _, ids in self.short.iter(f" {text} ") for i in ids}) if self.short else []
 
     def find(self, text: str) -> dict[int, int]:
-        """{item id: least distance} of the items within their budgets in the normalised text."""
+        """{item id: least distance} of the long items within their budgets in the normalised text."""
         hits: dict[int, int] = {}
-        if not self.items:
+        if not self.automaton:
             return hits
         seen: dict[int, int] = {}
         for end, (size, where) in self.automaton.iter(text):
@@ -104,45 +119,69 @@ class Matcher:
         return hits
 
 
-def read_blocks(benchmark: DataFrame, item_id: str, text: str, min_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items, normalised, in blocks of about ``block_chars`` characters; items shorter than ``min_chars`` are left out."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("id"), whole_text(text).alias("t")).filter("id is not null")
-    total = items.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
-    n = -(-total // block_chars) or 1
-    for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == k)
-        yield sorted({(r["id"], t) for r in part.collect() if len(t := normal(r["t"])) >= min_chars})
+def read_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's normalised items that are not empty, in blocks of about ``block_chars`` characters; the driver holds one block and one partition of the table at a time."""
+    block, size = [], 0
+    for r in benchmark.select(F.col(item_id).cast("long").alias("id"), whole_text(text).alias("t")).filter("id is not null").toLocalIterator():
+        if t := normal(r["t"]):
+            block.append((r["id"], t))
+            size += len(t)
+            if size >= block_chars:
+                yield sorted(set(block))
+                block, size = [], 0
+    yield sorted(set(block))
+
+
+FOUND = "hits array<struct<item:long,distance:int>>, short_hits array<long>"
+
+
+def _scan(rows: DataFrame, shared: Broadcast, error_rate: float, min_chars: int) -> DataFrame:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(shared.value, error_rate, min_chars)
+        for b in batches:
+            texts = [normal(t) for t in b.pop("text")]
+            yield b.assign(hits=[[{"item": i, "distance": d} for i, d in sorted(matcher.find(t).items())] for t in texts], short_hits=[matcher.find_short(t) for t in texts])
+
+    return rows.mapInPandas(scan, "td_known boolean, td_id long, td_hash long, " + FOUND)
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, min_chars: int = 24, block_chars: int = 4_000_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, min_chars: int = 24, block_chars: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """td_known, td_id, td_hash (each row's key) and ``hits``, array of (item, distance): items with at most ``error_rate`` x length edits somewhere in the whole text.
+    """td_known, td_id, td_hash (each row's key), ``hits``, array of (item, distance): items with at most ``error_rate`` x length edits somewhere in the whole text, and ``short_hits``, array of items.
+
+    Both sides are lower-cased and reduced to letters, digits and single spaces first; items of fewer
+    than 1 / error_rate characters match exactly. Items that have fewer than ``min_chars`` characters
+    then are common words and phrases, so they are told apart: ``short_hits`` has those that the text
+    holds exactly and as whole words. Null and empty texts and an empty benchmark give no hits; items
+    without an id or a letter or digit are not searched; items with the same id count as one, by the
+    best of them. One row for each input row, repeated rows included; other columns are not used.
 
-    Both sides are lower-cased and reduced to letters, digits and single spaces first. Items that
-    have fewer than ``min_chars`` characters then are not searched, since they would match by chance;
-    items of fewer than 1 / error_rate match exactly. Null and empty texts and an empty benchmark
-    give no hits; items with the same id count as one, by the best of them.
+    Every block of the benchmark passes over all documents. With several blocks each is a job of its
+    own that leaves only the rows with hits, and its broadcast is destroyed before the next.
     """
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(*row_key(doc_id, text), F.col(text).cast("string").alias("text"), F.array().cast("array<struct<item:long,distance:int>>").alias("hits"))
-    found = "hits array<struct<item:long,distance:int>>"
-    blocks = [sc.broadcast(b) for b in read_blocks(benchmark, item_id, item_text, min_chars, block_chars) if b]
-    for k, shared in enumerate(blocks, 1):
-        more = k < len(blocks)  # a later block needs the text again
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared, more=more) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shared.value, error_rate)
-            for b in batches:
-                texts = b["text"] if more else b.pop("text")
-                by_row = [matcher.find(normal(t)) for t in texts]
-                yield b.assign(hits=[[*h, *({"item": i, "distance": d} for i, d in sorted(f.items()))] for h, f in zip(b["hits"], by_row, strict=True)])
-
-        rows = rows.mapInPandas(scan, "td_known boolean, td_id long, td_hash long, " + "text string, " * more + found)
-    return rows.select(*KEY, "hits")
+    rows = docs.select(*row_key(doc_id, text), F.col(text).cast("string").alias("text"))
+    blocks = read_blocks(benchmark, item_id, item_text, block_chars)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return _scan(rows, sc.broadcast(block), error_rate, min_chars)
+    found = None
+    while block is not None:
+        shared = sc.broadcast(block)
+        part = saved(_scan(rows, shared, error_rate, min_chars).filter("size(hits) > 0 or size(short_hits) > 0"))
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+        block, after = after, next(blocks, None)
+    best = found.select(*KEY, F.explode("hits").alias("h")).groupBy(*KEY, F.col("h.item").alias("item")).agg(F.min("h.distance").alias("distance"))
+    long = best.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("item", "distance"))).alias("hits"))
+    short = found.select(*KEY, F.explode("short_hits").alias("item")).groupBy(*KEY).agg(F.sort_array(F.collect_set("item")).alias("short_hits"))
+    none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    keys = rows.select(*KEY).join(long, KEY, "left").join(short, KEY, "left")
+    return keys.select(*KEY, none("hits", "array<struct<item:long,distance:int>>"), none("short_hits", "array<long>"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The input rows in which no benchmark item is found."""
+    """The input rows in which no benchmark item of ``min_chars`` characters or more is found; shorter ones occur by chance and remove nothing. Null and empty texts stay, repeated rows stay or go alike."""
     bad = contamination(docs, benchmark, doc_id=doc_id, text=text, **options).filter(F.size("hits") > 0).select(*KEY)
     return unpacked(packed(docs, doc_id, text).join(bad, KEY, "left_anti"), docs.columns, {})

@@ -46,7 +46,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select(
         doc_id(), (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), F.array_join(F.transform("hits", lambda h: h["item"].cast("string")), ",").alias("items"),
-        F.array_min(F.transform("hits", lambda h: h["distance"])).cast("long").alias("least_distance"),
+        F.array_min(F.transform("hits", lambda h: h["distance"])).cast("long").alias("least_distance"), F.array_join(F.col("short_hits").cast("array<string>"), ",").alias("short_items"),
     )
 
 
