@@ -23,6 +23,8 @@ from .ngram_lr import Ftrl, softmax, temperature
 UNKNOWN = "und"
 #: Characters hashed at a time.
 SLAB = 1 << 18
+#: Part of the training documents in which an n-gram counts as common, n-grams of a text from which its share of common ones is steady, and how far that may lie below the hundredth part of the texts with the lowest.
+COMMON, LONG, SLACK = 0.02, 600, 0.05
 
 
 @cache
@@ -80,34 +82,41 @@ class LanguageModel:
     weights: np.ndarray
     bias: np.ndarray
     heat: float = 1.0
+    common: np.ndarray | None = None
+    usual: float = 0.0
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        found = gram_counts(text, len(self.idf))
-        if found is None:
-            return None
+    def vector(self, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, TF-IDF values of length 1) of the result of gram_counts."""
         v = np.log1p(found[1]) * self.idf[found[0]]
         return found[0], v / (np.sqrt(v @ v) or 1.0)
 
-    def logits(self, text: str | None) -> np.ndarray | None:
-        x = self.vector(text)
-        return None if x is None else x[1] @ self.weights[x[0]] + self.bias
+    def learned(self, found: tuple[np.ndarray, np.ndarray]) -> bool:
+        """Whether a text could be in a language that the model has seen: the share of its n-grams that are common among training texts is not far below what is usual there, chance in short texts allowed for. Any number of labels gives the same answer."""
+        n = found[1].sum()
+        share = found[1][self.common[found[0]]].sum() / n
+        chance = np.sqrt(self.usual * (1 - self.usual) / n)
+        return bool(share + 4 * chance >= self.usual - SLACK)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        logits = self.logits(text) if self.labels else None
-        if logits is None:
-            return UNKNOWN, 0.0
-        p = softmax(logits / self.heat)
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """(label, calibrated probability, learned)."""
+        found = gram_counts(text, len(self.idf)) if self.labels else None
+        if found is None:
+            return UNKNOWN, 0.0, False
+        at, v = self.vector(found)
+        p = softmax((v @ self.weights[at] + self.bias) / self.heat)
         k = int(p.argmax())
-        return self.labels[k], float(p[k])
+        return self.labels[k], float(p[k]), self.learned(found)
 
 
 def fit_sample(sample: list[tuple[str, str]], n_docs: int, df: np.ndarray, epochs: int = 3, alpha: float = 0.6, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 7) -> LanguageModel:
-    """The model of (text, label) rows; a fifth of them calibrates the temperature. Same rows, same model."""
+    """The model of (text, label) rows; a fifth of them, which training does not see, sets the temperature and the usual share of common n-grams. Same rows, same model, in any order."""
     labels = sorted({y for _, y in sample})
     idf = np.log((1 + n_docs) / (1 + df)) + 1.0
     dims, k = len(idf), len(labels)
-    model = LanguageModel(labels, idf, np.zeros((dims, k)), np.zeros(k))
-    rows = [(x, labels.index(y)) for t, y in sorted(sample) if (x := model.vector(t)) is not None]
+    model = LanguageModel(labels, idf, np.zeros((dims, k)), np.zeros(k), common=df >= COMMON * n_docs)
+    place = {y: i for i, y in enumerate(labels)}
+    counts = [(c, place[y]) for t, y in sorted(sample) if (c := gram_counts(t, dims)) is not None]
+    rows = [(model.vector(c), y) for c, y in counts]
     order = np.random.default_rng(seed).permutation(len(rows))
     held, used = order[: len(order) // 5], order[len(order) // 5 :]
     learner = Ftrl(dims + 1, k, alpha, beta, l1, l2)
@@ -125,6 +134,8 @@ def fit_sample(sample: list[tuple[str, str]], n_docs: int, df: np.ndarray, epoch
     if len(held):
         logits = np.array([rows[i][0][1] @ model.weights[rows[i][0][0]] + model.bias for i in held])
         model.heat = temperature(logits, np.array([rows[i][1] for i in held]))
+        shares = [c[1][model.common[c[0]]].sum() / c[1].sum() for c in (counts[i][0] for i in held) if c[1].sum() >= LONG]
+        model.usual = float(np.quantile(shares, 0.01)) if shares else 0.0
     return model
 
 
@@ -136,47 +147,55 @@ def held_out(doc_id: str) -> Column:
 def train(docs: DataFrame, dims: int = 1 << 15, max_docs: int = 4000, max_chars: int = 20_000, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> LanguageModel:
     """Learns from text and label of the rows that are not held out and have an id and a label.
 
-    Document frequencies come from all of them. The classifier's sample is at most ``max_docs`` rows,
-    in equal parts by label as far as there are rows, of texts of at most ``max_chars`` characters,
-    chosen by a hash of the id. No such rows: a model that answers ``und``.
+    Document frequencies come from all of them. The classifier's sample is about ``max_docs`` rows
+    (twice that at most), in equal parts by label as far as there are rows, of texts of at most
+    ``max_chars`` characters, chosen by a hash of the id; its ids are broadcast, its texts collected.
+    Rows alike in id and label count once, by the least text. Reruns agree. Each label that has a
+    text in the sample can be predicted; the model has ``dims`` x labels weights. No such rows: a
+    model that answers ``und``.
     """
     rows = docs.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     rows = rows.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label"))
     n_docs, df = document_frequencies(rows, dims)
     short = rows.filter(F.length("text") <= max_chars)
-    sizes = {r["label"]: r["n"] for r in short.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(max_docs).collect()}
-    quota = max_docs / max(1, len(sizes))
-    part = F.coalesce(*[F.when(F.col("label") == y, F.lit(min(1.0, quota / n))) for y, n in sizes.items()], F.lit(0.0)) if sizes else F.lit(0.0)
+    sizes = short.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    quota = max_docs / max(1, sizes.count())
     even = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = short.filter(even < part).select("text", "label").limit(2 * max_docs).collect()
+    chosen = short.select("id", "label").join(sizes, "label").filter(even < F.lit(quota) / F.col("n")).select("id", "label").distinct()
+    chosen = chosen.orderBy(even, "id", "label").limit(2 * max_docs)
+    sample = short.join(F.broadcast(chosen), ["id", "label"]).groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label").collect()
     return fit_sample([(r["text"], r["label"]) for r in sample], n_docs, df)
 
 
 def scores(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """td_known, td_id, td_hash (each row's key), ``lang_pred`` and ``score``, the calibrated probability; only the text is used."""
+    """td_known, td_id, td_hash (each row's key), ``lang_pred``, ``score``, the calibrated probability, and ``learned``; only the text is used.
+
+    Null texts and texts without a letter are ``und`` with score 0. Rows are neither dropped nor
+    merged: equal texts are scored alike, repeated rows return repeated rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # dims x labels numbers
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
             got = [m.predict(t) for t in b.pop("text")]
-            yield b.assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got])
+            yield b.assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got], learned=[g[2] for g in got])
 
     rows = docs.select(*row_key(doc_id, text), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(predict, "td_known boolean, td_id long, td_hash long, lang_pred string, score double")
+    return rows.mapInPandas(predict, "td_known boolean, td_id long, td_hash long, lang_pred string, score double, learned boolean")
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Input columns plus ``lang_pred`` and ``score``; input columns of these names are replaced.
+    """Input columns plus ``lang_pred``, ``score`` and ``learned``, whether the text looks like any language that the model has seen; input columns of these names are replaced.
 
     Null texts and texts without a letter are ``und`` with score 0. Rows are neither dropped nor merged.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, learned boolean")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
-            yield pd.DataFrame([shared.value.predict(x) for x in t], columns=["lang_pred", "score"])
+            yield pd.DataFrame([shared.value.predict(x) for x in t], columns=["lang_pred", "score", "learned"])
 
     rows = packed(docs, docs.columns[0], text).withColumn("td_lang", predict(F.col("td_row").getField(text).cast("string")))
-    return unpacked(rows, docs.columns, {"lang_pred": F.col("td_lang.lang_pred"), "score": F.col("td_lang.score")})
+    return unpacked(rows, docs.columns, {"lang_pred": F.col("td_lang.lang_pred"), "score": F.col("td_lang.score"), "learned": F.col("td_lang.learned")})
