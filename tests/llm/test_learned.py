@@ -174,16 +174,37 @@ def test_temperature_makes_scores_honest():
     assert 0.85 < language.temperature(logits * 5, truth) / 5 < 1.2
 
 
+@pytest.mark.parametrize("labels", [["en"], ["en", "de"], ["en", "de", "fr", "es"]])
+def test_unlearned_languages_and_junk_are_told_apart_for_any_number_of_labels(spark, labels):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mine = F.col("lang").isin(labels)
+    model = language.train(docs.filter(mine))
+    clean = [model.predict(r["text"])[2] for r in docs.filter(mine & language.held_out("doc_id")).collect()]
+    assert len(clean) > 100 and np.mean(clean) > 0.98
+    rng = random.Random(8)
+    other = ["Tämä on suomenkielinen lause, jota malli ei ole oppinut. Kissat istuvat.", "Ez egy magyar mondat, amelyet a modell soha nem látott korábban.", "Это предложение написано на русском языке."]
+    junk = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(2, 9))) for _ in range(n)) for n in (8, 20, 100)]
+    others = [r["text"] for r in docs.filter(~mine & (F.col("n_chars") > 200)).limit(50).collect()]
+    assert not any(model.predict(t)[2] for t in [*other, *junk]) and sum(model.predict(t)[2] for t in others) <= len(others) / 10
+
+
+def test_language_sample_is_the_same_in_any_order_and_of_every_label(spark):
+    rows = [(i, f"{chr(97 + i % 26) * 3} text {i} words", f"l{i % 30}") for i in range(120)] + [(7, "aaa one more", "l7"), (7, "aaa one more", "l7")]
+    models = [language.train(spark.createDataFrame(x, "doc_id long, text string, lang string"), dims=1 << 10, max_docs=20) for x in (rows, rows[::-1])]
+    assert models[0].labels == models[1].labels and (models[0].weights == models[1].weights).all()
+    assert len(models[0].labels) > 10
+
+
 def test_language_edge_rows(edge, empty, clashing):
     model = language.train(edge)
     got = language.identify(clashing, model)
     rows = got.collect()
     assert len(rows) == len(EDGE)
-    assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in rows if r["doc_id"] in (1, 2, 3, 6))
-    assert set(clashing.columns) == set(got.columns)
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 and not r["learned"] for r in rows if r["doc_id"] in (1, 2, 3, 6))
+    assert {*clashing.columns, "learned"} == set(got.columns)
     nothing = language.train(empty)
     assert {r["lang_pred"] for r in language.scores(edge, nothing).collect()} == {"und"}
-    assert language.scores(empty, model).count() == 0
+    assert language.scores(empty, model).count() == 0 and language.scores(clashing, model).count() == len(EDGE)
 
 
 def test_gram_counts_do_not_depend_on_slabs(monkeypatch):
@@ -380,23 +401,24 @@ def test_quality_edge_rows(spark, edge, empty, clashing):
 # Pipeline
 
 
-def brute_jaccard_groups(texts, least=0.8, n=5):
-    sets = []
+def brute_jaccard_groups(texts, least=0.8, n=5, bits=3):
+    """Group of each text: pairs of Jaccard similarity or of close fingerprints are linked."""
+    sets, label = [], list(range(len(texts)))
     for t in texts:
         w = (t or "").encode().lower().split()
         sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))})
-    label = list(range(len(texts)))
+    fps = [brute_fingerprint(t) for t in texts]
     for i in range(len(texts)):
         for j in range(i):
-            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) and label[i] != label[j]:
+            near = len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) or bin(fps[i] ^ fps[j]).count("1") <= bits
+            if near and label[i] != label[j]:
                 label = [label[j] if x == label[i] else x for x in label]
     return label
 
 
-def test_near_dedup_stage_links_jaccard_of_four_fifths(spark):
-    import random
-
-    import corpus_pipeline
+@pytest.mark.parametrize("tile", [1000, 3])
+def test_near_dedup_stage_links_jaccard_of_four_fifths(spark, tile):
+    from tidemark.llm import jaccard
 
     rng, texts = random.Random(5), ["", None, "short", "short", "Short text"]
     for _ in range(60):
@@ -404,11 +426,27 @@ def test_near_dedup_stage_links_jaccard_of_four_fifths(spark):
         for _ in range(rng.randrange(1, 6)):
             rate = rng.choice([0.0, 0.005, 0.01, 0.02, 0.05])
             texts.append(" ".join(f"x{rng.randrange(9999)}" if rng.random() < rate else w for w in base))
+    # One large group of near copies, of which some are near others only.
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    texts += [" ".join(f"y{rng.randrange(9999)}" if rng.random() < 0.02 else w for w in base) for _ in range(60)]
     want = brute_jaccard_groups(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = sorted(r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect())
+    groups = {r["td_id"]: r["component"] for r in jaccard.near_groups(docs, tile=tile).collect()}
+    got = [groups[i] for i in range(len(texts))]
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) < len(set(texts)) - 20
+    kept = sorted(r["doc_id"] for r in jaccard.keep_one(docs).collect())
     assert kept == [want.index(x) for x in sorted(set(want), key=want.index)]
-    assert len(set(texts)) - len(kept) > 20
+
+
+def test_common_counts_are_sizes_of_intersections():
+    from tidemark.llm import jaccard
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(25)] + [np.array([10**15])]
+    want = [[len(np.intersect1d(a, b)) if a is not b else None for b in sets] for a in sets]
+    for slab in (4096, 7):
+        got = jaccard.common_counts(sets, slab)
+        assert all(w is None or got[i, j] == w for i, r in enumerate(want) for j, w in enumerate(r))
 
 
 def test_pipeline_runs_and_every_stage_takes_effect(spark, small):
