@@ -13,37 +13,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, language, line_dedup, mixing
-from tidemark.llm.common import shared_folder
-
-#: Below this calibrated probability a text is in no language that the model knows. Clean short texts lie above.
-LEAST_SCORE = 0.3
+from tidemark.llm.common import discard, shared_folder
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those that no known language explains; learns from the rows' own labels."""
+    """Drops documents without letters (null and empty texts too) and those that look like no language of the rows' own labels, from which it learns. Repeated rows stay or go alike."""
     model = language.train(docs)
     found = language.identify(docs, model)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & F.col("learned")).select(*docs.columns)
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that at least 10 documents share; ``n_chars`` follows the text."""
+    """Drops lines that at least 10 documents share; ``n_chars`` follows the text. No row goes: null and empty texts become empty ones, repeated rows stay."""
     kept = line_dedup.dedup_lines(docs).withColumn("text", F.col("kept_text"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies: five-word shingles, Jaccard similarity of at least 0.8."""
+    """Keeps the document with the smallest doc_id of each group of near copies: SimHash fingerprints within 3 bits, or five-word shingles of Jaccard similarity of at least 0.8. Empty texts are one group; of repeated rows one stays."""
     return jaccard.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark table."""
+    """Drops documents that hold an item of the benchmark table, of 24 or more letters, digits and spaces. Empty texts and those of an empty benchmark stay."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the number of copies of each."""
+    """The documents that the mix takes, with the number of copies of each. Texts without words are not taken; repeated rows become one with all their copies; null sources are one source."""
     return mixing.mixed_corpus(docs)
 
 
@@ -60,10 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Each stage's folder goes when the next one is written; the last one's stays, as the result is read from it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
