@@ -191,18 +191,48 @@ GUARD = {"fact_sales", "dim_product"}
 
 
 @pytest.mark.parametrize("sql, reason", [
-    ("", "empty"), ("SELECT 1; SELECT 2", "multi_statement"), ("DELETE FROM fact_sales", "not_select"), ("WITH x AS (SELECT 1) SELECT * FROM x", "blocked_table"), ("SELECT * FROM users", "blocked_table"),
-    ("SELECT 1", "no_table"), ("SELECT * FROM fact_sales LIMIT 0", "bad_limit"), ("SELECT * FROM fact_sales WHERE drop = 1", "blocked_keyword"), ("SELECT 'x' INTO OUTFILE 'f' FROM fact_sales", "file_access"), ("SELECT * FROM fact_sales" + " " * 8000, "too_long"),
+    ("", "empty"), (None, "empty"), ("SELECT * FROM fact_sales" + " " * 8000, "too_long"), ("SELECT 1; SELECT 2", "multi_statement"), ("SELECT * FROM fact_sales; DROP TABLE dim_product", "multi_statement"),
+    ("SELECT * FROM fact_sales LIMIT 1; SELECT * FROM dim_branch", "multi_statement"), ("DELETE FROM fact_sales", "not_select"), ("DROP TABLE fact_sales", "not_select"), ("EXPLAIN SELECT * FROM fact_sales", "not_select"),
+    ("INSERT INTO fact_sales (revenue) VALUES (1)", "not_select"), ("UPDATE fact_sales SET revenue = 0", "not_select"), ("TABLE fact_sales", "not_select"), ("VALUES (1)", "not_select"), ("SELECT * FROM users", "blocked_table"),
+    ("SELECT 1", "no_table"), ("WITH x AS (SELECT 1) SELECT * FROM x", "no_table"), ("SELECT * FROM fact_sales LIMIT 0", "bad_limit"), ("SELECT * FROM fact_sales LIMIT 5 + 5", "bad_limit"), ("SELECT * FROM fact_sales WHERE drop = 1", "blocked_keyword"),
+    ("SELECT * FROM fact_sales INTO OUTFILE '/tmp/x.csv'", "file_access"), ("SELECT a b c d FROM fact_sales", "not_parsed"),
+    # Every way of reading another table.
+    ("SELECT * FROM fact_sales, secret", "blocked_table"), ("SELECT * FROM fact_sales JOIN `secret` s ON 1 = 1", "blocked_table"), ("SELECT * FROM fact_sales, LATERAL (TABLE secret)", "blocked_table"),
+    ("WITH fact_sales AS (TABLE secret) SELECT * FROM fact_sales", "blocked_table"), ("SELECT * FROM other.fact_sales", "blocked_table"), ("SELECT * FROM parquet.`/tmp/fact_sales`", "blocked_table"),
+    ("SELECT (SELECT max(a) FROM secret) FROM fact_sales", "blocked_table"), ("SELECT * FROM fact_sales WHERE a IN (SELECT b FROM secret)", "blocked_table"), ("SELECT * FROM fact_sales WHERE EXISTS (FROM secret)", "blocked_table"),
+    ("SELECT * FROM fact_sales UNION TABLE secret", "blocked_table"), ("WITH x AS (WITH secret AS (SELECT 1 FROM fact_sales) SELECT * FROM secret) SELECT * FROM x, secret", "blocked_table"),
+    ("WITH x AS (SELECT * FROM y), y AS (SELECT * FROM fact_sales) SELECT * FROM x", "blocked_table"),
+    ("SELECT * FROM IDENTIFIER('sec' || 'ret')", "blocked_node"), ("SELECT * FROM fact_sales, read_files('/tmp')", "blocked_node"), ("SELECT TRANSFORM(a) USING 'cat' FROM fact_sales", "blocked_node"),
+    ("SELECT reflect('java.lang.System', 'getenv') FROM fact_sales", "blocked_keyword"), ("SELECT * FROM fact_sales WHERE upper(java_method('a', 'b')) = 'c'", "blocked_keyword"),
 ])
-def test_guard_refuses(sql, reason):
-    assert guard.check(sql, GUARD).reason == f"refused:{reason}"
+def test_guard_refuses(spark, sql, reason):
+    verdict = guard.check(spark, sql, GUARD)
+    assert verdict.reason == f"refused:{reason}" and not verdict.allowed and verdict.sql == ""
 
 
-def test_guard_limits():
-    v = guard.check("SELECT ';', '-- drop' FROM fact_sales s JOIN dim_product p ON 1=1;", GUARD)
-    assert v.allowed and v.limited and v.sql.endswith("LIMIT 200") and v.tables == ["fact_sales", "dim_product"]
-    assert guard.check("SELECT updated_at FROM public.fact_sales LIMIT 99999", GUARD).sql.endswith("LIMIT 5000")
-    assert guard.check("SELECT 'limit 7' FROM fact_sales LIMIT 7", GUARD).limit == 7
+@pytest.mark.parametrize("sql, limit, limited", [
+    ("SELECT revenue FROM fact_sales LIMIT 10", 10, False), ("select a from fact_sales where a > 1 limit 5;", 5, False), ("SELECT * FROM fact_sales WHERE a = 'drop table users; --' LIMIT 3", 3, False),
+    ("SELECT p.n, sum(f.r) FROM fact_sales f JOIN dim_product p ON f.i = p.i GROUP BY p.n LIMIT 20", 20, False), ("SELECT revenue FROM fact_sales", 200, True), ("SELECT revenue FROM fact_sales LIMIT 999999", 5000, True),
+    ("SELECT * FROM (SELECT * FROM fact_sales LIMIT 1) x", 200, True), ("(SELECT a FROM fact_sales LIMIT 3) UNION ALL SELECT b FROM dim_product", 200, True), ("SELECT a FROM fact_sales LIMIT ALL", 200, True),
+    ("SELECT a FROM fact_sales OFFSET 3", 200, True), ("SELECT a FROM fact_sales LIMIT 10 OFFSET 3", 10, False), ("WITH x AS (SELECT a FROM fact_sales), y AS (SELECT * FROM x) SELECT * FROM y LIMIT 6", 6, False),
+    ("/* c; */ SELECT ';', '-- drop' FROM fact_sales s JOIN dim_product p ON 1=1; -- end;", 200, True),
+])
+def test_guard_limits(spark, sql, limit, limited):
+    v = guard.check(spark, sql, GUARD)
+    assert (v.reason, v.allowed, v.limit, v.limited) == ("ok", True, limit, limited) and set(v.tables) <= GUARD
+    if limited and "LIMIT ALL" not in sql:
+        assert v.sql.endswith(f"LIMIT {limit}") and guard.check(spark, v.sql, GUARD).limit == limit
+
+
+def test_guarded_statements_run_with_their_limits(spark):
+    spark.range(6000).createOrReplaceTempView("guarded_numbers")
+    count = lambda sql: guard.run(spark, sql, {"guarded_numbers"}).count()
+    assert count("SELECT * FROM guarded_numbers -- all;") == 200
+    assert count("SELECT * FROM guarded_numbers ORDER BY id LIMIT 5999;") == 5000
+    assert count("SELECT * FROM (SELECT * FROM guarded_numbers LIMIT 1) UNION ALL SELECT * FROM guarded_numbers") == 200
+    assert count("SELECT * FROM guarded_numbers OFFSET 5990") == 10
+    with pytest.raises(PermissionError):
+        guard.run(spark, "SELECT * FROM guarded_numbers, other", {"guarded_numbers"})
 
 
 @pytest.mark.parametrize("dataset", mapping.FIELDS)

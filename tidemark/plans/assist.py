@@ -224,10 +224,20 @@ def decision_scores(spark, sf_dir):
     return scenarios.decisions(spark.createDataFrame([(-12.0, "crit", 30, 6, 0.4, 8, 2, 100.0, 97.0, 0.8, 0.5, 0.4, 0.6)], cols))
 
 
-@register("guarded_sql_limit", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1 LIMIT 200")
+@register("guarded_sql_limit", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ORDER BY o_orderkey LIMIT 200")
 def guarded_sql_limit(spark, sf_dir):
+    """No limit of its own (the inner one does not count): the default is added."""
+    for t in ("orders", "customer"):
+        table(spark, sf_dir, t).createOrReplaceTempView(f"guarded_{t}")
+    sql = """WITH good AS (SELECT c_custkey FROM guarded_customer WHERE c_acctbal > 0 LIMIT 100000000)
+             SELECT o_orderkey, o_orderstatus FROM guarded_orders WHERE o_custkey IN (SELECT c_custkey FROM good) ORDER BY o_orderkey; -- drop"""
+    return guard.run(spark, sql, {"guarded_orders", "guarded_customer"})
+
+
+@register("guarded_sql_lowered_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5000")
+def guarded_sql_lowered_limit(spark, sf_dir):
     table(spark, sf_dir, "orders").createOrReplaceTempView("guarded_orders")
-    return guard.run(spark, "SELECT o_orderstatus, count(*) AS n FROM guarded_orders -- drop\nGROUP BY 1;", {"guarded_orders"})
+    return guard.run(spark, "SELECT o_orderkey, o_totalprice FROM guarded_orders ORDER BY o_orderkey LIMIT 999999", {"guarded_orders"})
 
 
 @register(

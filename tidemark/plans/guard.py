@@ -1,16 +1,33 @@
-"""A guard for read-only SQL: one SELECT over allowed tables, with a bounded number of rows."""
+"""A guard for read-only SQL: one SELECT over allowed tables, with a bounded number of rows.
+
+Spark's own parser reads the statement; the guard walks the unresolved plan, subqueries and common
+table expressions included, and refuses every node, relation and function that it does not know to
+be harmless. Nothing is decided on the text but the first word and the code of a refusal.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-#: Fixed values of the guard.
+# Fixed values of the guard: limits, and keywords that name a refusal.
 DEFAULT_LIMIT, MAX_LIMIT, MAX_CHARS = 200, 5000, 8000
-WRITES = "insert update delete drop alter create truncate grant revoke exec execute call merge copy vacuum attach detach pragma".split()
-_LITERAL_OR_COMMENT = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|--[^\n]*|/\*.*?\*/", re.S)
+WRITES = {
+    "insert", "update", "delete", "drop", "alter", "create", "truncate", "grant", "revoke", "exec", "execute", "call", "merge", "copy", "vacuum", "attach", "detach", "pragma",
+}
+#: Plan nodes that only read what their children hold.
+READS = {
+    "Project", "Filter", "Join", "LateralJoin", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "LimitAll", "Offset", "Distinct", "Union", "Except", "Intersect", "SubqueryAlias", "UnresolvedWith", "UnresolvedHaving",
+    "UnresolvedSubqueryColumnAliases", "WithWindowDefinition", "Generate", "Pivot", "Unpivot", "LocalRelation", "UnresolvedInlineTable", "OneRowRelation", "UnresolvedHint", "Sample",
+}
+#: Built-in functions that run any code.
+CALLS = {"reflect", "try_reflect", "java_method"}
 
 
 @dataclass
@@ -23,50 +40,120 @@ class Verdict:
     tables: list[str] = field(default_factory=list)
 
 
-def _bare(sql: str) -> str:
-    """The statement with literals and comments blanked out, of the same length."""
-    return _LITERAL_OR_COMMENT.sub(lambda m: " " * len(m[0]) if m[0][0] in "-/" else m[0][0] + " " * (len(m[0]) - 2) + m[0][-1], sql)
-
-
-def check(sql: str, tables: set[str]) -> Verdict:
-    """Whether a statement may run, and the statement with its limit added or lowered. Common table names are refused unless they are allowed tables."""
-    no = lambda why: Verdict(False, f"refused:{why}")
-    if not (sql or "").strip():
-        return no("empty")
-    if len(sql) > MAX_CHARS:
-        return no("too_long")
-    bare = _bare(sql)
-    end = len(bare.rstrip().rstrip(";").rstrip())
-    sql, bare = sql[:end], bare[:end]
-    if ";" in bare:
-        return no("multi_statement")
-    if not re.match(r"\s*(select|with)\b", bare, re.I):
-        return no("not_select")
-    if re.search(rf"\b({'|'.join(WRITES)})\b", bare, re.I):
-        return no("blocked_keyword")
-    if re.search(r"\binto\s+(outfile|dumpfile)\b|\bload\s+data\b", bare, re.I):
-        return no("file_access")
-    found = [t.split(".")[-1].lower() for t in re.findall(r"\b(?:from|join)\s+([A-Za-z_][\w.]*)", bare, re.I)]
-    if not found:
-        return no("no_table")
-    if any(t not in tables for t in found):
-        return no("blocked_table")
-    out = Verdict(True, "ok", sql, tables=found)
-    hit = re.search(r"\blimit\s+(\d+)", bare, re.I)
-    if not hit:
-        out.sql, out.limited = f"{sql}\nLIMIT {DEFAULT_LIMIT}", True
-    elif int(hit[1]) < 1:
-        return no("bad_limit")
-    elif int(hit[1]) > MAX_LIMIT:
-        out.sql, out.limit, out.limited = f"{sql[: hit.start()]}LIMIT {MAX_LIMIT}{sql[hit.end() :]}", MAX_LIMIT, True
-    else:
-        out.limit = int(hit[1])
-    return out
+class Refused(Exception):
+    pass
+
+
+def _each(seq: JavaObject) -> Iterator[JavaObject]:
+    return (seq.apply(i) for i in range(seq.size()))
+
+
+def _kind(node: JavaObject) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _parse(spark: SparkSession, sql: str) -> JavaObject | None:
+    try:
+        return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except (PySparkException, Py4JJavaError):
+        return None
+
+
+def _blank(sql: str) -> bool:
+    return not re.sub(r"--[^\n]*|/\*.*?\*/|[\s;]", "", sql, flags=re.S)
+
+
+def _single(spark: SparkSession, sql: str) -> tuple[str, JavaObject]:
+    """The statement without its closing semicolon, and its plan."""
+    for at in (m.start() for m in re.finditer(";", sql)):
+        # A semicolon ends a statement if what stands before it is one; otherwise it is part of a literal or comment.
+        if not _blank(sql[:at]) and (plan := _parse(spark, sql[:at])) is not None:
+            if not _blank(sql[at:]):
+                raise Refused("multi_statement")
+            return sql[:at], plan
+    plan = _parse(spark, sql)
+    if plan is None:
+        words = set(re.findall("[a-z]+", sql.lower()))
+        raise Refused("file_access" if words & {"outfile", "dumpfile", "load"} else "blocked_keyword" if words & WRITES else "not_parsed")
+    return sql, plan
+
+
+def _names(expression: JavaObject) -> None:
+    """Refuses an expression that calls or names what is blocked."""
+    kind = _kind(expression)
+    if kind in ("UnresolvedFunction", "UnresolvedAttribute"):
+        parts = {p.lower() for p in _each(expression.nameParts())}
+        if parts & (WRITES | CALLS if kind == "UnresolvedFunction" else WRITES):
+            raise Refused("blocked_keyword")
+    for child in _each(expression.children()):
+        _names(child)
+
+
+def _relations(plan: JavaObject, known: frozenset[str]) -> Iterator[str]:
+    """Names of the tables that a plan reads; ``known`` are the common table expressions in scope."""
+    kind = _kind(plan)
+    if kind == "UnresolvedRelation":
+        parts = [p.lower() for p in _each(plan.multipartIdentifier())]
+        if len(parts) > 1 or parts[0] not in known:
+            yield ".".join(parts)
+    elif kind not in READS:
+        raise Refused("blocked_node")
+    for e in _each(plan.expressions()):
+        _names(e)
+    if kind == "UnresolvedWith":
+        # Each expression sees those before it, the statement sees all.
+        for cte in _each(plan.innerChildren()):
+            yield from _relations(cte, known | {cte.alias().lower()} if plan.allowRecursion() else known)
+            known |= {cte.alias().lower()}
+    for inner in (*_each(plan.children()), *_each(plan.subqueries())):
+        yield from _relations(inner, known)
+
+
+def _outer_limit(plan: JavaObject) -> tuple[int | None, bool]:
+    """(the statement's own limit, whether LIMIT can be written after it)."""
+    while _kind(plan) in ("UnresolvedWith", "LimitAll"):
+        plan = plan.child()
+    if _kind(plan) != "GlobalLimit":
+        return None, _kind(plan) != "Offset"
+    text = plan.limitExpr().sql()
+    if not re.fullmatch("[0-9]+", text) or int(text) < 1:
+        raise Refused("bad_limit")
+    return int(text), False
+
+
+def check(spark: SparkSession, sql: str | None, tables: set[str]) -> Verdict:
+    """Whether a statement may run, and the statement with its own limit, one that is lowered, or a default one.
+
+    ``tables`` are lower-case names as the statement must write them, with a schema if it must name
+    one. Common table expressions may have any name; a table of the same name is not reached
+    through them. A limit within the statement does not count as its own.
+    """
+    try:
+        if not (sql or "").strip():
+            raise Refused("empty")
+        if len(sql) > MAX_CHARS:
+            raise Refused("too_long")
+        if not re.match(r"(?:\s|\(|--[^\n]*\n|/\*.*?\*/)*(?:select|with)\b", sql, re.I | re.S):
+            raise Refused("not_select")
+        statement, plan = _single(spark, sql.strip())
+        found = list(dict.fromkeys(_relations(plan, frozenset())))
+        if not found:
+            raise Refused("no_table")
+        if not tables.issuperset(found):
+            raise Refused("blocked_table")
+        asked, appendable = _outer_limit(plan)
+    except Refused as e:
+        return Verdict(False, f"refused:{e}")
+    limit = min(asked or DEFAULT_LIMIT, MAX_LIMIT)
+    if asked == limit:
+        return Verdict(True, "ok", statement, limit, tables=found)
+    limited = f"{statement}\nLIMIT {limit}" if appendable else f"SELECT * FROM (\n{statement}\n) LIMIT {limit}"
+    return Verdict(True, "ok", limited, limit, True, found)
 
 
 def run(spark: SparkSession, sql: str, tables: set[str]) -> DataFrame:
     """The result of a statement that the guard lets pass; PermissionError otherwise."""
-    verdict = check(sql, tables)
+    verdict = check(spark, sql, tables)
     if not verdict.allowed:
         raise PermissionError(verdict.reason)
     return spark.sql(verdict.sql)
