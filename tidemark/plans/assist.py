@@ -100,7 +100,18 @@ def term_offsets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", retrieval.offsets(F.col("text"), QUERY).alias("char_start"))
 
 
-@register("chunk_text")
+@register(
+    "chunk_text",
+    f"""WITH RECURSIVE body AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{retrieval.ANY_SPACE}', ' ', 'g')) AS b FROM documents), texts AS (SELECT * FROM body WHERE b <> ''),
+    windows AS (
+      SELECT doc_id, b, 0 AS pos, CASE WHEN 800 >= length(b) THEN length(b) ELSE 800 END AS lim FROM texts
+      UNION ALL
+      SELECT doc_id, b, next AS pos, least(next + 800, length(b)) AS lim FROM (SELECT doc_id, b, lim, greatest(stop - 120, pos + 1) AS next, stop FROM (
+        SELECT *, CASE WHEN lim < length(b) AND dot > 0 AND lim - pos - dot - 1 > 400 THEN lim - dot ELSE lim END AS stop FROM (SELECT *, strpos(reverse(substr(b, pos + 1, lim - pos)), ' .') AS dot FROM windows))) WHERE stop < length(b)
+    ),
+    cut AS (SELECT *, CASE WHEN lim < length(b) AND dot > 0 AND lim - pos - dot - 1 > 400 THEN lim - dot ELSE lim END AS stop FROM (SELECT *, strpos(reverse(substr(b, pos + 1, lim - pos)), ' .') AS dot FROM windows))
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INTEGER AS chunk_no, trim(substr(b, pos + 1, stop - pos)) AS content FROM cut WHERE trim(substr(b, pos + 1, stop - pos)) <> ''""",
+)
 def chunk_text(spark, sf_dir):
     return retrieval.chunk(table(spark, sf_dir, "documents"))
 
