@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import finance, inventory, sales
+
 #: Spellings of conditions: fixed values.
 CONDITIONS = {">": ">", "gt": ">", "above": ">", ">=": ">=", "gte": ">=", "<": "<", "lt": "<", "below": "<", "<=": "<=", "lte": "<=", "==": "==", "=": "==", "eq": "==", "!=": "!=", "ne": "!="}
 
@@ -22,6 +24,50 @@ def fires(value: Column, condition: Column, threshold: Column) -> Column:
     return F.coalesce(by & ~F.isnan(value) & ~F.isnan(threshold), F.lit(False))
 
 
+#: Metrics of rules, and the severity of an alert on each: fixed values.
+METRICS = {
+    "sales.revenue": "high", "sales.orders": "medium", "sales.units": "medium", "sales.aov": "low", "sales.growth_pct": "medium", "branch.revenue_max": "high", "branch.count": "low",
+    "inventory.stockout_count": "critical", "inventory.dead_stock_count": "medium", "inventory.min_days_of_stock": "high", "finance.net_profit": "high", "finance.margin_pct": "high",
+}
+
+
+def trailing(frame: DataFrame, days: int = 1, today: str | None = None) -> DataFrame:
+    """Rows of the civil days from ``days`` before today to today, both included; ``today`` defaults to the frame's last date."""
+    if today is not None:
+        return frame.filter(F.col("transaction_date").between(F.date_sub(F.to_date(F.lit(today)), days), F.to_date(F.lit(today))))
+    last = F.broadcast(frame.agg(F.max("transaction_date").alias("_last")))
+    return frame.crossJoin(last).filter(F.col("transaction_date") >= F.date_sub("_last", days)).drop("_last")
+
+
+def metric_values(frame: DataFrame, stock: DataFrame | None = None) -> DataFrame:
+    """(metric, value) of every metric over a sales frame, which the caller has cut to the window, and the newest stock; without stock its counts are 0."""
+    kpi = sales.sales_kpi(frame)
+    branches = sales.branch_kpi(frame).agg(F.coalesce(F.max("revenue"), F.lit(0.0)).alias("top"), F.count(F.lit(1)).cast("double").alias("branches"))
+    money = finance.finance_summary(frame).select("net_profit", F.col("margin_pct").alias("net_margin"))
+    row = kpi.crossJoin(branches).crossJoin(money)  # one row each
+    if stock is not None:
+        health = inventory.inventory_health(stock, frame)
+        low = F.count_if(F.col("stockout_risk").isin("critical", "high")).cast("double")
+        row = row.crossJoin(health.agg(low.alias("low"), F.count_if("dead_stock").cast("double").alias("dead"), F.coalesce(F.min("days_of_stock"), F.lit(0.0)).alias("least")))
+    else:
+        row = row.select("*", *[F.lit(0.0).alias(c) for c in ("low", "dead", "least")])
+    columns = ("revenue", "orders", "units", "aov", "growth_pct", "top", "branches", "low", "dead", "least", "net_profit", "net_margin")
+    pairs = ", ".join(f"'{m}', cast({c} as double)" for m, c in zip(METRICS, columns, strict=True))
+    return row.select(F.expr(f"stack({len(METRICS)}, {pairs}) as (metric, value)"))
+
+
+def evaluate(rules: DataFrame, values: DataFrame) -> DataFrame:
+    """rules (rule, metric, condition, threshold, is_active) that are active, with value, fires, severity and ``error``: an unknown metric or condition or a threshold that is no number spoils its own rule only, which then does not fire."""
+    spelled = F.create_map(*[F.lit(x) for pair in CONDITIONS.items() for x in pair])
+    condition = F.try_element_at(spelled, F.lower(F.trim("condition")))
+    threshold = F.expr("try_cast(threshold as double)")
+    severity = F.create_map(*[F.lit(x) for pair in METRICS.items() for x in pair])
+    j = rules.filter("is_active").join(F.broadcast(values), "metric", "left")  # a row a metric
+    error = F.when(F.col("value").isNull(), "unknown metric").when(condition.isNull(), "unknown condition").when(threshold.isNull() | F.isnan(threshold), "threshold is no number")
+    fired = error.isNull() & fires(F.col("value"), condition, threshold)
+    return j.select("rule", "metric", "value", fired.alias("fires"), F.try_element_at(severity, F.col("metric")).alias("severity"), error.alias("error"))
+
+
 def transitions(observations: DataFrame, rule: str = "rule", order: str = "at") -> DataFrame:
     """observations (rule, at, fires) with ``action``: open, keep, resolve or none. An alert stays open while the rule fires, so one rule never has two open alerts."""
     before = F.coalesce(F.lag("fires").over(Window.partitionBy(rule).orderBy(order)), F.lit(False))
@@ -52,3 +98,10 @@ def acknowledge(alerts: DataFrame, ids: list[int], at: str, by: str) -> DataFram
         old = F.col(name) if name in alerts.columns else F.lit(None).cast(kind)
         alerts = alerts.withColumn(name, F.when(mine, F.lit(value).cast(kind)).otherwise(old))
     return alerts.withColumn("status", F.when(mine, "acknowledged").otherwise(F.col("status")))
+
+
+def with_history(alerts: DataFrame, events: DataFrame) -> DataFrame:
+    """alerts (alert_id, ...) with ``events``, array of (event_id, event_type) of each, oldest first; none: empty."""
+    trail = events.groupBy("alert_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("events"))
+    none = F.array().cast("array<struct<event_id:bigint,event_type:string>>")
+    return alerts.join(trail, "alert_id", "left").withColumn("events", F.coalesce("events", none))

@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import ranks
 from tidemark.functions.money import pct
 
 
-def quintile(values: DataFrame, key: str, column: str, out: str, reverse: bool = False) -> DataFrame:
-    """(key, out): 1 to 5 by the average-rank percentile of a column, cut at .2, .4, .6, .8 (right-closed); all values equal: 5.
+def quintile_cuts(values: DataFrame, column: str, out: str) -> DataFrame:
+    """One row ``out``, array<column's type>: the greatest values of average-rank percentile up to .2, .4, .6 and .8 (null where there is none), and an empty array if all values are equal.
 
-    Ranks come from a histogram of distinct values, so one value may hold any share of the rows.
+    Ranks come from a histogram of distinct values in range partitions, so one value may hold any
+    share of the rows and the number of distinct values any size.
     """
     hist = values.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    run = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    hist = hist.select(column, F.col("n"), F.sum("n").over(run).alias("upto"), F.sum("n").over(whole).alias("total"), F.count(F.lit(1)).over(whole).alias("kinds"))
+    ranked = ranks.running(hist, [column], sums={"upto": "n"})
     p = (F.col("upto") - F.col("n") + 1 + (F.col("n") - 1) / 2) / F.col("total")
-    band = F.when(p <= 0.2, 1).when(p <= 0.4, 2).when(p <= 0.6, 3).when(p <= 0.8, 4).otherwise(5)
-    band = F.when(F.col("kinds") <= 1, 5).otherwise(6 - band if reverse else band)
-    scores = hist.select(F.col(column).alias("value"), band.alias(out))
-    return values.select(key, column).join(scores, F.col(column).eqNullSafe(F.col("value"))).select(key, out)
+    cuts = ranked.crossJoin(ranks.one_row(values, F.count(F.lit(1)).alias("total"))).agg(*[F.max(F.when(p <= q, F.col(column))).alias(f"c{i}") for i, q in enumerate((0.2, 0.4, 0.6, 0.8))], F.count(F.lit(1)).alias("kinds"))
+    four = F.array(*[F.col(f"c{i}") for i in range(4)])
+    return F.broadcast(cuts.select(F.when(F.col("kinds") > 1, four).otherwise(F.slice(four, 1, 0)).alias(out)))
+
+
+def quintile(value: Column, cuts: Column, reverse: bool = False) -> Column:
+    """1 to 5 by the cuts of ``quintile_cuts`` (right-closed), reversed on demand; all values equal: 5."""
+    band = F.lit(5)
+    for i in (3, 2, 1, 0):
+        band = F.when(value <= F.get(cuts, F.lit(i)), i + 1).otherwise(band)
+    return F.when(F.size(cuts) == 0, 5).otherwise(6 - band if reverse else band)
 
 
 def segment(r: Column, f: Column, m: Column) -> Column:
@@ -33,14 +40,15 @@ def rfm(df: DataFrame, ref_date: str | None = None) -> DataFrame:
     """customer, recency_days, frequency, monetary, r_score, f_score, m_score, segment. Undated rows are left out; ``ref_date`` defaults to the last date there is."""
     d = df.filter(F.col("transaction_date").isNotNull())
     g = d.groupBy(F.col("customer_name").alias("customer")).agg(F.max("transaction_date").alias("last"), F.count(F.lit(1)).alias("frequency"), F.sum("revenue").alias("money"))
-    ref = F.to_date(F.lit(ref_date)) if ref_date else F.max("last").over(Window.partitionBy())
-    g = g.select("customer", F.greatest(F.datediff(ref, "last"), F.lit(0)).alias("recency_days"), "frequency", "money")
+    g = ranks.saved(g)  # a row a customer, read for each of the three scores
+    ref = F.broadcast(g.agg((F.to_date(F.lit(ref_date)) if ref_date else F.max("last")).alias("ref")))
+    g = g.crossJoin(ref).select("customer", F.greatest(F.datediff("ref", "last"), F.lit(0)).alias("recency_days"), "frequency", "money")
     out = g
-    for column, name, reverse in (("recency_days", "r_score", True), ("frequency", "f_score", False), ("money", "m_score", False)):
-        out = out.join(quintile(g, "customer", column, name, reverse), "customer")
-    return out.select(
-        "customer", "recency_days", "frequency", F.round("money", 2).cast("double").alias("monetary"), "r_score", "f_score", "m_score", segment(F.col("r_score"), F.col("f_score"), F.col("m_score")).alias("segment")
-    )
+    for column, name in (("recency_days", "r"), ("frequency", "f"), ("money", "m")):
+        out = out.crossJoin(quintile_cuts(g, column, f"cuts_{name}"))
+    r, f, m = quintile(F.col("recency_days"), F.col("cuts_r"), True), quintile(F.col("frequency"), F.col("cuts_f")), quintile(F.col("money"), F.col("cuts_m"))
+    out = out.select("customer", "recency_days", "frequency", F.round("money", 2).cast("double").alias("monetary"), r.alias("r_score"), f.alias("f_score"), m.alias("m_score"))
+    return out.withColumn("segment", segment(F.col("r_score"), F.col("f_score"), F.col("m_score")))
 
 
 def clv(df: DataFrame, ref_date: str | None = None) -> DataFrame:
@@ -64,9 +72,10 @@ def cohort_retention(df: DataFrame) -> DataFrame:
 def customer_features(df: DataFrame) -> DataFrame:
     """customer_name, total_orders, total_spending, recency, frequency, monetary, aov, tenure; days count back from the last date there is."""
     g = df.groupBy("customer_name").agg(F.count(F.lit(1)).alias("n"), F.sum("revenue").alias("r"), F.max("transaction_date").alias("last"), F.min("transaction_date").alias("first"))
-    ref = F.max("last").over(Window.partitionBy())
+    ref = F.col("ref")
     money = F.round("r", 2).cast("double")
-    return g.select(
+    g = ranks.saved(g)
+    return g.crossJoin(ranks.one_row(g, F.max("last").alias("ref"))).select(
         "customer_name", F.col("n").alias("total_orders"), money.alias("total_spending"), F.datediff(ref, "last").alias("recency"), F.col("n").alias("frequency"), money.alias("monetary"),
         F.round(F.col("r").cast("double") / F.col("n"), 4).alias("aov"), F.datediff(ref, "first").alias("tenure"),
     )

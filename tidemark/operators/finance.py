@@ -22,17 +22,51 @@ def line_cost(quantity: str, cost: str) -> Column:
     return floored(F.col(quantity).cast("decimal(12,2)") * F.coalesce(F.col(cost).cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)")))
 
 
+#: Columns with the cost of a whole line, by priority: fixed values.
+LINE_TOTALS = ("cogs", "cost_of_goods_sold", "total_cost", "line_total", "total")
+
+
+def net_revenue(columns: list[str]) -> Column:
+    """Revenue of a row: as stated, else quantity x price - discount; not below 0."""
+    n = lambda c, t: F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)) if c in columns else F.lit(0).cast(t)
+    derived = n("quantity", "decimal(12,2)") * n("selling_price", "decimal(12,2)") - n("discount", "decimal(18,4)")
+    return floored(F.coalesce(F.col("revenue").cast(WIDE), floored(derived)) if "revenue" in columns else derived)
+
+
+def line_costs(columns: list[str], cost: str, total_first: bool) -> Column:
+    """Cost of a row, not below 0: quantity x unit cost or a stated line total, whichever comes first and is there; 0 with neither."""
+    total = next((c for c in LINE_TOTALS if c in columns), None)
+    by_unit = {"quantity", cost} <= set(columns)
+    stated = floored(F.coalesce(F.col(total).cast(WIDE), F.lit(0).cast(WIDE))) if total else None
+    if stated is not None and (total_first or not by_unit):
+        return stated
+    return line_cost("quantity", cost) if by_unit else F.lit(0).cast(WIDE)
+
+
+def windowed_sum(fact: DataFrame, value: str, date: str, sales: DataFrame | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """One row ``total``: the sum of a fact's column over the days from ``start`` to ``end``, both included; without either bound, over the span of the sales frame; without dates there, over all rows."""
+    if start is None and end is None and sales is not None:
+        span = F.broadcast(sales.agg(F.min("transaction_date").alias("_lo"), F.max("transaction_date").alias("_hi")))
+        fact = fact.crossJoin(span).filter(F.col("_lo").isNull() | F.col(date).between(F.col("_lo"), F.col("_hi")))
+    if start is not None:
+        fact = fact.filter(F.col(date) >= F.to_date(F.lit(start)))
+    if end is not None:
+        fact = fact.filter(F.col(date) <= F.to_date(F.lit(end)))
+    return fact.agg(F.round(F.coalesce(F.sum(F.col(value).cast(WIDE)), F.lit(0).cast(WIDE)), 2).cast("double").alias("total"))
+
+
 def finance_summary(sales: DataFrame, purchases: DataFrame | None = None, expenses: DataFrame | None = None) -> DataFrame:
     """One row: total_revenue, total_cogs, total_expenses, gross_profit, net_profit, margin_pct (net on revenue).
 
-    Revenue and costs are floored at 0 row by row, expenses keep their sign. Costs come from the
-    sales rows; purchases count only where these have none.
+    Revenue and costs are floored at 0 row by row, expenses keep their sign. A row without a stated
+    revenue counts quantity x price - discount. Costs come from the sales rows, by unit or as line
+    totals; purchases (line totals first) count only where these have none. The caller cuts the
+    frames to one window, as ``windowed_sum`` does for a single fact.
     """
-    has_cost = {"cost_price", "quantity"} <= set(sales.columns)
-    cost = line_cost("quantity", "cost_price") if has_cost else F.lit(0).cast(WIDE)
-    row = sales.agg(F.coalesce(F.sum(floored(F.col("revenue"))), F.lit(0).cast(WIDE)).cast(WIDE).alias("rev"), F.coalesce(F.sum(cost), F.lit(0).cast(WIDE)).cast(WIDE).alias("own"))
+    cost = line_costs(sales.columns, "cost_price", total_first=False)
+    row = sales.agg(F.coalesce(F.sum(net_revenue(sales.columns)), F.lit(0).cast(WIDE)).cast(WIDE).alias("rev"), F.coalesce(F.sum(cost), F.lit(0).cast(WIDE)).cast(WIDE).alias("own"))
     zero = F.lit(0).cast(WIDE)
-    bought = _one(purchases, line_cost("quantity", "cost"), "bought") if purchases is not None else None
+    bought = _one(purchases, line_costs(purchases.columns, "cost", total_first=True), "bought") if purchases is not None else None
     row = row.crossJoin(bought) if bought is not None else row.withColumn("bought", zero)
     spent = _one(expenses, F.col("amount").cast(WIDE), "spent")
     row = row.crossJoin(spent) if spent is not None else row.withColumn("spent", zero)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import ranks
+
 
 def estimate_tokens(text: Column) -> Column:
     """A quarter of the characters, at least 1; no text: 0."""
@@ -38,9 +40,10 @@ def budget_gate(usage: DataFrame, budget: float, as_of: str, days: int = 30) ->
 
 
 def last_turns(conversations: DataFrame, n: int = 10) -> DataFrame:
-    """The last n turns of each conversation."""
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"))
-    return conversations.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+    """The last n turns of each conversation, with ``place``, 1 for the oldest of them; oldest first."""
+    w = Window.partitionBy("conv_id")
+    last = conversations.withColumn("_r", F.row_number().over(w.orderBy(F.desc("turn"), F.desc("role")))).filter(F.col("_r") <= n).drop("_r")
+    return last.withColumn("place", F.row_number().over(w.orderBy("turn", "role"))).orderBy("conv_id", "place")
 
 
 def job_status(jobs: DataFrame, as_of: str, stuck_hours: int = 24) -> DataFrame:
@@ -111,7 +114,7 @@ def status_counts(datasets: DataFrame) -> DataFrame:
 def rank_experiments(runs: DataFrame, metric: str, higher_is_better: bool = True) -> DataFrame:
     """runs with rank 1.. by a metric, unmeasured ones last; ties by run_id."""
     order = F.desc_nulls_last(metric) if higher_is_better else F.asc_nulls_last(metric)
-    return runs.withColumn("rank", F.row_number().over(Window.orderBy(order, "run_id")))
+    return ranks.running(runs, [order, F.col("run_id")], rank="rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def stale(datasets: DataFrame, as_of: str, days: int = 7) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import ranks
+
 KINDS = ("required", "nullable", "unique", "duplicate", "regex", "range", "enum", "referential", "datatype", "freshness", "completeness", "consistency", "validity", "schema_drift", "anomaly_ref")
 SEVERITIES = ("error", "warn")
 
@@ -122,8 +124,8 @@ def evaluate(df: DataFrame, rules: list[Rule], as_of: str | None = None) -> Data
             g = df.filter(F.col(f"`{r.column}`").isNotNull()).groupBy(f"`{r.column}`").agg(n.alias("_n"))
             frames.append(_counted(df, g.agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("failures")), r.id))
         elif r.type == "duplicate":
-            cols = [f"`{c}`" for c in r.params.get("subset") or df.columns]
-            frames.append(_counted(df, df.groupBy(*cols).agg(n.alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("failures")), r.id))
+            cols = r.params.get("subset") or df.columns
+            frames.append(_counted(df, df.groupBy(*ranks.row_digest(cols)).agg(n.alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("failures")), r.id))
         elif r.type == "referential":
             ref = r.params["frame"].select(F.col(r.params["key"]).cast("string").alias("_ref")).distinct()
             lost = df.filter(F.col(f"`{r.column}`").isNotNull()).join(ref, text(r.column) == F.col("_ref"), "left_anti")
@@ -133,8 +135,8 @@ def evaluate(df: DataFrame, rules: list[Rule], as_of: str | None = None) -> Data
             simple.append((r.id, F.when(F.max(day(r.column)) >= F.date_sub(ref, int(r.params["max_age_days"])), F.lit(0)).otherwise(count_if(day(r.column).isNull() | (day(r.column) < F.date_sub(ref, int(r.params["max_age_days"])))))))
         elif r.type == "consistency":
             v = number(r.column)
-            q = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.count(v).alias("_k"))
-            q = q.select(F.get("_q", F.lit(0)).alias("_q1"), F.get("_q", F.lit(1)).alias("_q3"), "_k")
+            q = ranks.quantiles(df, [v], [0.25, 0.75])
+            q = q.select(F.get("q0", F.lit(0)).alias("_q1"), F.get("q0", F.lit(1)).alias("_q3"), F.col("k0").alias("_k"))
             spread = F.col("_q3") - F.col("_q1")
             out = (F.col("_k") >= 8) & (spread != 0) & ((v < F.col("_q1") - 1.5 * spread) | (v > F.col("_q3") + 1.5 * spread))
             frames.append(df.crossJoin(F.broadcast(q)).agg(count_if(out).alias("failures"), n.alias("rows")).select(F.lit(r.id).alias("rule_id"), "failures", "rows"))
@@ -199,10 +201,11 @@ def import_score(df: DataFrame) -> DataFrame:
         if any(k in low for k in ("price", "harga", "revenue", "amount", "cost", "total")):
             invalid = invalid + unread
     numeric = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "decimal")]
-    dup = df.groupBy(*[f"`{c}`" for c in cols]).agg(n.alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), zero).alias("dup"))
+    dup = df.groupBy(*ranks.row_digest(cols)).agg(n.alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), zero).alias("dup"))
     row = df.agg(n.alias("n"), nulls.alias("nulls"), invalid.alias("invalid")).crossJoin(dup)
     if numeric:
-        q = df.agg(*[F.percentile(number(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q{i}") for i, c in enumerate(numeric)], *[F.count(number(c)).alias(f"_k{i}") for i, c in enumerate(numeric)])
+        q = ranks.quantiles(df, [number(c) for c in numeric], [0.25, 0.75])
+        q = q.select(*[F.col(f"{x}{i}").alias(f"_{x}{i}") for i in range(len(numeric)) for x in "qk"])
 
         def out(i: int, c: str) -> Column:
             q1, q3 = F.get(f"_q{i}", F.lit(0)), F.get(f"_q{i}", F.lit(1))
@@ -220,17 +223,34 @@ def import_score(df: DataFrame) -> DataFrame:
     return out_row.withColumn("score", score).withColumn("passed", (F.col("score") >= 0.6) & (F.least("completeness", "uniqueness", "validity", "consistency") > 0))
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """column, missing, missing_pct, distinct, smallest, largest (as text), over_30_pct_missing; one row a column, from one aggregate."""
-    aggs = []
-    for i, c in enumerate(df.columns):
-        v = F.col(f"`{c}`")
-        aggs += [count_if(v.isNull()).alias(f"m{i}"), F.count_distinct(v).alias(f"d{i}"), F.min(v).cast("string").alias(f"lo{i}"), F.max(v).cast("string").alias(f"hi{i}")]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *aggs)
-    parts = ", ".join(f"'{c}', m{i}, d{i}, lo{i}, hi{i}" for i, c in enumerate(df.columns))
-    long = row.select("n", F.expr(f"stack({len(df.columns)}, {parts}) as (column, missing, distinct, smallest, largest)"))
-    rate = F.when(F.col("n") > 0, F.round(F.col("missing") / F.col("n") * 100, 2)).otherwise(0.0)
-    return long.select("column", "missing", rate.alias("missing_pct"), "distinct", "smallest", "largest", (rate > 30).alias("over_30_pct_missing"))
+def profile(df: DataFrame, samples: int = 3) -> DataFrame:
+    """column, dtype, missing, missing_pct, distinct, smallest, largest (as text), samples (the ``samples`` smallest distinct values as text), over_30_pct_missing; one row a column.
+
+    Values are counted as (column, value) pairs, so no aggregate holds the distinct values of a column.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(df.columns)])).alias("x")).select("x.i", "x.v")
+    pairs = long.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    # Few smallest values from each task's part before they meet.
+    first = pairs.filter("v is not null").withColumn("_part", F.pmod(F.xxhash64("v"), F.lit(64)))
+    few = Window.partitionBy("i", "_part").orderBy("v")
+    first = first.withColumn("_r", F.row_number().over(few)).filter(F.col("_r") <= samples).groupBy("i").agg(F.slice(F.sort_array(F.collect_list("v")), 1, samples).alias("samples"))
+    counts = pairs.groupBy("i").agg(F.sum(F.when(F.col("v").isNull(), F.col("n"))).alias("m"), F.count("v").alias("distinct"), F.sum("n").alias("n"))
+    ends = df.agg(*[x for i, c in enumerate(df.columns) for x in (F.min(F.col(f"`{c}`")).cast("string").alias(f"lo{i}"), F.max(F.col(f"`{c}`")).cast("string").alias(f"hi{i}"))])
+    parts = ", ".join(f"{i}, '{c}', '{t}', lo{i}, hi{i}" for i, (c, t) in enumerate(df.dtypes))
+    ends = ends.select(F.expr(f"stack({len(df.columns)}, {parts}) as (i, column, dtype, smallest, largest)"))
+    missing = F.coalesce("m", F.lit(0))
+    rate = F.when(F.col("n") > 0, F.round(missing / F.col("n") * 100, 2)).otherwise(0.0)
+    out = ends.join(counts, "i", "left").join(first, "i", "left")
+    return out.select(
+        "column", "dtype", missing.alias("missing"), rate.alias("missing_pct"), F.coalesce("distinct", F.lit(0)).alias("distinct"), "smallest", "largest",
+        F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), (rate > 30).alias("over_30_pct_missing"),
+    )
+
+
+def preview(df: DataFrame, rows: int = 20) -> tuple[list[dict], int]:
+    """(the first ``rows`` rows, number of rows that repeat another one)."""
+    repeats = df.groupBy(*ranks.row_digest(df.columns)).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n"))
+    return [r.asDict(recursive=True) for r in df.limit(rows).collect()], repeats.first()["n"]
 
 
 #: Patterns of personal data in cells: fixed values.

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import ranks
 from tidemark.functions.money import pct, total
 
 #: Column names that mean the same, in order of priority: fixed values.
@@ -72,15 +73,15 @@ def apply_filters(df: DataFrame, date_from: str | None = None, date_to: str | No
 def half_split(df: DataFrame) -> DataFrame:
     """One row: revenue of the first floor(n/2) rows by date (nulls last; ties by order, line, revenue) and of the rest.
 
-    Only the day on which the half falls is ranked row by row; every other day is summed whole.
+    Only the day on which the half falls is ranked row by row, in ranges; every other day is summed whole.
     """
     days = df.groupBy("transaction_date").agg(F.count(F.lit(1)).alias("n"), F.sum("revenue").alias("r"))
     w = Window.orderBy(F.col("transaction_date").asc_nulls_last())
     days = days.select("transaction_date", "n", "r", (F.sum("n").over(w) - F.col("n")).alias("before"), F.floor(F.sum("n").over(Window.partitionBy()) / 2).alias("half"))
     whole = days.agg(F.sum(F.when(F.col("before") + F.col("n") <= F.col("half"), F.col("r"))).alias("whole"), F.sum("r").alias("all"))
     cut = days.filter((F.col("before") < F.col("half")) & (F.col("before") + F.col("n") > F.col("half"))).select(F.col("transaction_date").alias("day"), (F.col("half") - F.col("before")).alias("take"))
-    order = Window.partitionBy("transaction_date").orderBy("order_key", "line_number", "revenue")
-    part = df.join(F.broadcast(cut), F.col("transaction_date").eqNullSafe(F.col("day"))).select("revenue", "take", F.row_number().over(order).alias("i"))
+    part = df.join(F.broadcast(cut), F.col("transaction_date").eqNullSafe(F.col("day"))).select("order_key", "line_number", "revenue", "take")
+    part = ranks.running(part, ["order_key", "line_number", "revenue"], rank="i")
     part = part.agg(F.sum(F.when(F.col("i") <= F.col("take"), F.col("revenue"))).alias("part"))
     zero = F.lit(0).cast("decimal(28,4)")
     first = F.coalesce("whole", zero) + F.coalesce("part", zero)
@@ -120,14 +121,12 @@ def sales_trend(df: DataFrame, granularity: str = "daily") -> DataFrame:
     )
 
 
-def _all():
-    return Window.partitionBy()
-
-
 def shares(df: DataFrame, dimension: str) -> DataFrame:
     """label, revenue, orders, units, share_pct of the whole frame's revenue, by any column."""
     g = df.groupBy(F.col(dimension).cast("string").alias("label")).agg(F.sum("revenue").alias("r"), F.count(F.lit(1)).alias("orders"), F.round(F.sum("quantity"), 2).alias("units"))
-    return g.select("label", F.round("r", 2).cast("double").alias("revenue"), "orders", "units", pct(F.col("r"), F.sum("r").over(_all())).alias("share_pct"))
+    g = ranks.saved(g)  # read for the total and for the shares
+    g = g.crossJoin(ranks.one_row(g, F.sum("r").alias("whole")))
+    return g.select("label", F.round("r", 2).cast("double").alias("revenue"), "orders", "units", pct(F.col("r"), F.col("whole")).alias("share_pct"))
 
 
 def branch_kpi(df: DataFrame) -> DataFrame:
@@ -148,9 +147,10 @@ def drilldown(df: DataFrame, dimension: str, limit: int = 50) -> DataFrame:
 def abc_analysis(df: DataFrame, key: str = "product_name") -> DataFrame:
     """product, revenue, share_pct, cumulative_pct, grade: A up to 80 % of cumulated revenue, B up to 95 %, else C, the product itself included."""
     g = df.groupBy(F.col(key).alias("product")).agg(F.sum("revenue").alias("r"))
-    run = F.sum("r").over(Window.orderBy(F.desc("r"), "product").rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum("r").over(_all())
-    cum = F.when(whole != 0, run.cast("double") / whole.cast("double") * 100).otherwise(F.lit(0.0))
+    g = ranks.saved(g)
+    g = ranks.running(g, [F.desc("r"), F.col("product")], sums={"run": "r"}).crossJoin(ranks.one_row(g, F.sum("r").alias("whole")))
+    whole = F.col("whole")
+    cum = F.when(whole != 0, F.col("run").cast("double") / whole.cast("double") * 100).otherwise(F.lit(0.0))
     return g.select(
         "product", F.round("r", 2).cast("double").alias("revenue"), pct(F.col("r"), whole).alias("share_pct"), F.round(cum, 2).alias("cumulative_pct"),
         F.when(cum <= 80, "A").when(cum <= 95, "B").otherwise("C").alias("grade"),

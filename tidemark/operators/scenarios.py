@@ -60,8 +60,8 @@ def decision_score(severity: Column, mean_confidence: Column) -> Column:
     return F.round(100 * (0.6 * clamp(severity) + 0.4 * clamp(mean_confidence)), 2)
 
 
-def decisions(evidence: DataFrame) -> DataFrame:
-    """rule, fired, severity, confidence, score of the five decision rules, from one evidence row.
+def decisions(evidence: DataFrame, *keys: str) -> DataFrame:
+    """[keys,] rule, fired, severity, confidence, score of the five decision rules for each evidence row.
 
     Evidence: growth_pct, margin_status, n_points, n_anomalies, peak_score, n_segments, n_risky,
     first_yhat, last_yhat, kpi_confidence, anomaly_confidence, ml_confidence, forecast_confidence.
@@ -80,5 +80,5 @@ def decisions(evidence: DataFrame) -> DataFrame:
         F.struct(F.lit(name).alias("rule"), F.coalesce(fired, F.lit(False)).alias("fired"), F.round(F.when(fired, sev).otherwise(0.0), 3).alias("severity"), F.round(F.col(conf).cast("double"), 4).alias("confidence"))
         for name, fired, sev, conf in rules
     ])
-    out = evidence.select(F.inline(rows))
+    out = evidence.select(*keys, F.inline(rows))
     return out.withColumn("score", F.when(F.col("fired"), decision_score(F.col("severity"), F.col("confidence"))).otherwise(0.0))

@@ -9,7 +9,7 @@ from tidemark.operators import alerts, ledger, retrieval, sales, scenarios
 from tidemark.plans import glossary, guard
 from tidemark.registry import register
 from tidemark.sources import star
-from tidemark.sources.star import SALES_SQL, table
+from tidemark.sources.star import SALES_SQL, STOCK_SQL, table
 
 QUERY = "the thing with that and onnthe"
 TERMS = retrieval.query_terms(QUERY)
@@ -121,9 +121,13 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
 
 
-@register("conversation_last_turns", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) <= 10")
+@register(
+    "conversation_last_turns",
+    """WITH l AS (SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) <= 10)
+    SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role)::INTEGER AS place FROM l""",
+)
 def conversation_last_turns(spark, sf_dir):
-    return ledger.last_turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role")
+    return ledger.last_turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "place")
 
 
 #: An AI usage ledger from conversations: a model by conversation, tokens by length, no price for one of the models.
@@ -214,25 +218,80 @@ def alert_episodes(spark, sf_dir):
     return alerts.episodes(observations(spark, sf_dir))
 
 
+def _two_days(spark, sf_dir):
+    return alerts.trailing(star.sales(spark, sf_dir))
+
+
+_ALERT_VALUES = f"""{SALES_SQL}, {STOCK_SQL}, w AS (SELECT * FROM sales WHERE transaction_date >= (SELECT max(transaction_date) FROM sales) - 1),
+b AS (SELECT branch_name, round(sum(revenue), 2)::DOUBLE AS r FROM w GROUP BY 1),
+o AS (SELECT revenue, row_number() OVER (ORDER BY transaction_date NULLS LAST, order_key, line_number, revenue) AS i, count(*) OVER () AS n FROM w),
+h AS (SELECT coalesce(sum(revenue) FILTER (i <= n // 2), 0) AS r1, coalesce(sum(revenue) FILTER (i > n // 2), 0) AS r2 FROM o),
+f AS (SELECT sum(greatest(revenue, 0))::DECIMAL(38, 6) AS rev, sum(greatest(quantity::DECIMAL(12, 2) * coalesce(cost_price, 0), 0))::DECIMAL(38, 6) AS cogs FROM w),
+newest AS (SELECT product_name, sum(stock_qty) AS q FROM (SELECT *, max(snapshot_date) OVER (PARTITION BY product_name) AS m FROM stock) WHERE snapshot_date = m GROUP BY 1),
+span AS (SELECT least(30, greatest(1, max(transaction_date) - min(transaction_date) + 1)) AS days FROM w),
+d AS (SELECT product_name, sum(quantity) / (SELECT days FROM span) AS a FROM w GROUP BY 1),
+health AS (SELECT q, coalesce(a, 0) AS a, CASE WHEN q <= 0 THEN 0.0 WHEN coalesce(a, 0) > 0 THEN q / a ELSE 999.0 END AS days FROM newest LEFT JOIN d USING (product_name)),
+inv AS (SELECT count(*) FILTER (q <= 0 OR days <= 7)::DOUBLE AS low, count(*) FILTER (a = 0 AND q > 0)::DOUBLE AS dead, coalesce(min(round(days, 2)), 0)::DOUBLE AS least FROM health),
+k AS (SELECT round(sum(revenue), 2)::DOUBLE AS r, count(*)::DOUBLE AS n, round(sum(quantity), 2)::DOUBLE AS u, round(sum(revenue)::DOUBLE / count(*), 2) AS aov FROM w),
+vals AS (SELECT unnest(['sales.revenue', 'sales.orders', 'sales.units', 'sales.aov', 'sales.growth_pct', 'branch.revenue_max', 'branch.count', 'inventory.stockout_count', 'inventory.dead_stock_count', 'inventory.min_days_of_stock', 'finance.net_profit', 'finance.margin_pct']) AS metric,
+  unnest([r, n, u, aov, (SELECT CASE WHEN r1 <> 0 THEN round((r2 - r1)::DOUBLE / r1::DOUBLE * 100, 2) ELSE 0 END FROM h), (SELECT max(r) FROM b), (SELECT count(*)::DOUBLE FROM b), (SELECT low FROM inv), (SELECT dead FROM inv), (SELECT least FROM inv),
+  (SELECT round(rev - cogs, 2)::DOUBLE FROM f), (SELECT CASE WHEN rev <> 0 THEN round((rev - cogs)::DOUBLE / rev::DOUBLE * 100, 2) ELSE 0 END FROM f)]) AS value FROM k)"""
+
+
+@register("alert_metrics", f"WITH {_ALERT_VALUES} SELECT * FROM vals")
+def alert_metrics(spark, sf_dir):
+    return alerts.metric_values(_two_days(spark, sf_dir), star.stock(spark, sf_dir))
+
+
 @register(
-    "alert_metrics",
-    f"""WITH {SALES_SQL}, w AS (SELECT * FROM sales WHERE transaction_date >= (SELECT max(transaction_date) FROM sales) - 1), b AS (SELECT branch_name, sum(revenue) AS r FROM w GROUP BY 1)
-    SELECT unnest(['sales.revenue', 'sales.orders', 'sales.units', 'sales.aov', 'branch.revenue_max', 'branch.count']) AS metric, unnest([r, n, u, round(r / n, 2), bm, bc]) AS value
-    FROM (SELECT round(sum(revenue), 2)::DOUBLE AS r, count(*)::DOUBLE AS n, round(sum(quantity), 2) AS u, (SELECT round(max(r), 2)::DOUBLE FROM b) AS bm, (SELECT count(*)::DOUBLE FROM b) AS bc FROM w)""",
+    "alert_rules_evaluated",
+    f"""WITH {_ALERT_VALUES}, rules(rule, metric, condition, threshold, active) AS (VALUES ('few branches', 'branch.count', 'below', '1000', true), ('dead stock', 'inventory.dead_stock_count', '>=', '1', true), ('bad metric', 'sales.nothing', '>', '0', true),
+      ('bad condition', 'sales.revenue', 'about', '0', true), ('bad threshold', 'sales.revenue', '>', 'many', true), ('no revenue', 'sales.revenue', 'lte', '0', true), ('off', 'sales.orders', '>', '0', false))
+    SELECT rule, r.metric, value, CASE rule WHEN 'few branches' THEN value < 1000 WHEN 'dead stock' THEN value >= 1 WHEN 'no revenue' THEN value <= 0 ELSE false END AS fires,
+      CASE r.metric WHEN 'branch.count' THEN 'low' WHEN 'inventory.dead_stock_count' THEN 'medium' WHEN 'sales.revenue' THEN 'high' END AS severity,
+      CASE rule WHEN 'bad metric' THEN 'unknown metric' WHEN 'bad condition' THEN 'unknown condition' WHEN 'bad threshold' THEN 'threshold is no number' END AS error
+    FROM rules r LEFT JOIN vals v ON r.metric = v.metric WHERE active""",
 )
-def alert_metrics(spark, sf_dir):
-    s = star.sales(spark, sf_dir)
-    last = s.agg(F.max("transaction_date").alias("last"))
-    w = s.crossJoin(F.broadcast(last)).filter(F.col("transaction_date") >= F.date_sub("last", 1))
-    row = w.agg(F.round(F.sum("revenue"), 2).cast("double").alias("r"), F.count(F.lit(1)).cast("double").alias("n"), F.round(F.sum("quantity"), 2).alias("u"))
-    top = sales.shares(w, "branch_name").agg(F.max("revenue").alias("bm"), F.count(F.lit(1)).cast("double").alias("bc"))
-    return row.crossJoin(top).select(F.expr("stack(6, 'sales.revenue', r, 'sales.orders', n, 'sales.units', u, 'sales.aov', round(r / n, 2), 'branch.revenue_max', bm, 'branch.count', bc) as (metric, value)"))
+def alert_rules_evaluated(spark, sf_dir):
+    rules = [
+        ("few branches", "branch.count", "below", "1000", True), ("dead stock", "inventory.dead_stock_count", ">=", "1", True), ("bad metric", "sales.nothing", ">", "0", True),
+        ("bad condition", "sales.revenue", "about", "0", True), ("bad threshold", "sales.revenue", ">", "many", True), ("no revenue", "sales.revenue", "lte", "0", True), ("off", "sales.orders", ">", "0", False),
+    ]
+    frame = spark.createDataFrame(rules, "rule string, metric string, condition string, threshold string, is_active boolean")
+    return alerts.evaluate(frame, alerts.metric_values(_two_days(spark, sf_dir), star.stock(spark, sf_dir)))
+
 
+#: Evidence by customer from the orders: rows in which every rule fires for some and not for others.
+_EVIDENCE = """ev AS (SELECT o_custkey AS case_id, (sum(p) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) - sum(p) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')))::DOUBLE AS diff, sum(p)::DOUBLE AS whole,
+  count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS odd, count(*) FILTER (p < 100000) AS risky FROM (SELECT *, o_totalprice::DECIMAL(18, 2) AS p FROM orders) GROUP BY 1),
+e AS (SELECT case_id, round(coalesce(diff, 0) / whole * 100, 1) AS growth_pct, CASE o.n % 3 WHEN 0 THEN 'crit' WHEN 1 THEN 'warn' ELSE 'ok' END AS margin_status, n AS n_points, odd AS n_anomalies, round(odd / n, 4) AS peak_score, n AS n_segments, risky AS n_risky,
+  100.0::DOUBLE AS first_yhat, (100 - n)::DOUBLE AS last_yhat, round(least(1.0, n / 30), 3)::DOUBLE AS kc, round(least(0.9, 0.4 + n / 60), 3)::DOUBLE AS ac, 0.75::DOUBLE AS fc, round(least(1.0, n / 20), 3)::DOUBLE AS mc FROM ev o)"""
 
-@register("decision_scores", "SELECT * FROM (VALUES ('revenue_drop_rule', true, 0.6::DOUBLE, 0.8::DOUBLE, 68.0::DOUBLE), ('margin_crit_rule', true, 0.9, 0.8, 86.0), ('anomaly_spike_rule', true, 0.7, 0.5, 62.0), ('churn_risk_rule', true, 0.475, 0.4, 44.5), ('forecast_decline_rule', false, 0.0, 0.6, 0.0)) AS t(rule, fired, severity, confidence, score)")
+
+@register(
+    "decision_scores",
+    f"""WITH {_EVIDENCE}, rules AS (
+      SELECT case_id, 'revenue_drop_rule' AS rule, growth_pct < -5 AS fired, least(1.0, abs(growth_pct) / 20) AS sev, kc AS confidence FROM e
+      UNION ALL SELECT case_id, 'margin_crit_rule', margin_status IN ('crit', 'warn'), CASE margin_status WHEN 'crit' THEN 0.9 ELSE 0.5 END, kc FROM e
+      UNION ALL SELECT case_id, 'anomaly_spike_rule', n_anomalies > 0, least(1.0, 0.5::DOUBLE * least(1.0, n_anomalies / greatest(n_points, 1) * 5) + 0.5::DOUBLE * least(1.0, peak_score)), ac FROM e
+      UNION ALL SELECT case_id, 'churn_risk_rule', n_risky > 0, least(1.0, 0.3::DOUBLE + 0.7::DOUBLE * n_risky / greatest(n_segments, 1)), mc FROM e
+      UNION ALL SELECT case_id, 'forecast_decline_rule', (first_yhat - last_yhat) / first_yhat * 100 >= 5, least(1.0, (first_yhat - last_yhat) / first_yhat * 100 / 30), fc FROM e
+    ), s AS (SELECT case_id, rule, fired, round(CASE WHEN fired THEN sev ELSE 0 END::DOUBLE, 3) AS severity, confidence FROM rules)
+    SELECT case_id, rule, fired, severity, confidence, CASE WHEN fired THEN round(100 * (0.6::DOUBLE * severity + 0.4::DOUBLE * confidence), 2) ELSE 0 END::DOUBLE AS score FROM s""",
+)
 def decision_scores(spark, sf_dir):
-    cols = "growth_pct double, margin_status string, n_points int, n_anomalies int, peak_score double, n_segments int, n_risky int, first_yhat double, last_yhat double, kpi_confidence double, anomaly_confidence double, ml_confidence double, forecast_confidence double"
-    return scenarios.decisions(spark.createDataFrame([(-12.0, "crit", 30, 6, 0.4, 8, 2, 100.0, 97.0, 0.8, 0.5, 0.4, 0.6)], cols))
+    """The five decision rules over evidence rows made from every customer's orders."""
+    price, high = F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    g = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(
+        (F.sum(F.when(high, price)) - F.sum(F.when(~high, price))).cast("double").alias("diff"), F.sum(price).cast("double").alias("whole"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("odd"), F.count_if(price < 100000).alias("risky")
+    )
+    conf = lambda c, most: F.round(F.least(F.lit(most), c), 3)
+    e = g.select(
+        "case_id", F.round(F.coalesce("diff", F.lit(0.0)) / F.col("whole") * 100, 1).alias("growth_pct"), F.when(F.col("n") % 3 == 0, "crit").when(F.col("n") % 3 == 1, "warn").otherwise("ok").alias("margin_status"), F.col("n").alias("n_points"),
+        F.col("odd").alias("n_anomalies"), F.round(F.col("odd") / F.col("n"), 4).alias("peak_score"), F.col("n").alias("n_segments"), F.col("risky").alias("n_risky"), F.lit(100.0).alias("first_yhat"), (100 - F.col("n")).cast("double").alias("last_yhat"),
+        conf(F.col("n") / 30, 1.0).alias("kpi_confidence"), conf(0.4 + F.col("n") / 60, 0.9).alias("anomaly_confidence"), conf(F.col("n") / 20, 1.0).alias("ml_confidence"), F.lit(0.75).alias("forecast_confidence"),
+    )
+    return scenarios.decisions(e, "case_id")
 
 
 @register("guarded_sql_limit", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ORDER BY o_orderkey LIMIT 200")
@@ -251,10 +310,23 @@ def guarded_sql_lowered_limit(spark, sf_dir):
     return guard.run(spark, "SELECT o_orderkey, o_totalprice FROM guarded_orders ORDER BY o_orderkey LIMIT 999999", {"guarded_orders"})
 
 
-@register(
-    "glossary_match",
-    "SELECT conv_id, turn, regexp_matches(lower(text), '(^|\\W)(units|unit|kuantitas|quantity|qty|jumlah barang)($|\\W)') AS about_units FROM conversations",
-)
+def _glossary_sql() -> str:
+    hit = lambda m: "CASE WHEN regexp_matches(q, '(^|\\W)(" + "|".join(glossary.METRICS[m]) + f")($|\\W)') THEN '{m}' END"
+    hits = ", ".join(hit(m) for m in sorted(glossary.METRICS))
+    return f"""SELECT doc_id, array_to_string(list_slice(list_filter([{hits}], lambda x: x IS NOT NULL), 1, 4), ',') AS metrics FROM (SELECT doc_id, lower({_QUESTION_SQL}) AS q FROM documents)"""
+
+
+#: A question for each document, with words of the glossary chosen by its id, some of them glued to other letters.
+_WORDS = [a for m in glossary.METRICS.values() for a in m]
+_QUESTION_SQL = "concat('How is ', " + ", ' and ', ".join(f"[{', '.join(repr(w) for w in _WORDS)}][(doc_id * {k} + {k}) % {len(_WORDS)} + 1], CASE WHEN doc_id % {k} = 0 THEN 'x' ELSE '' END" for k in (7, 5, 3, 11, 13)) + ", '?')"
+
+
+@register("glossary_match", _glossary_sql())
 def glossary_match(spark, sf_dir):
-    got = glossary.match(table(spark, sf_dir, "conversations"), "text", 11)
-    return got.select("conv_id", "turn", F.array_contains("metrics", "units").alias("about_units"))
+    pick = F.array(*[F.lit(w) for w in _WORDS])
+    parts = [F.lit("How is ")]
+    for i, k in enumerate((7, 5, 3, 11, 13)):
+        at = ((F.col("doc_id") * k + k) % len(_WORDS)).cast("int")
+        parts += ([F.lit(" and ")] if i else []) + [F.get(pick, at), F.when(F.col("doc_id") % k == 0, "x").otherwise("")]
+    questions = table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts, F.lit("?")).alias("text"))
+    return glossary.match(questions).select("doc_id", F.array_join("metrics", ",").alias("metrics"))

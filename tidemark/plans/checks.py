@@ -96,11 +96,11 @@ _COLS = ("o_orderkey", "status", "price", "cust", "priority", "day")
     "profile_columns",
     f"WITH {DIRTY_SQL} "
     + " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS missing, round(count(*) FILTER ({c} IS NULL)::DOUBLE / count(*) * 100, 2) AS missing_pct, count(DISTINCT {c}) AS \"distinct\", count(*) FILTER ({c} IS NULL)::DOUBLE / count(*) * 100 > 30 AS over_30_pct_missing FROM dirty" for c in _COLS
+        f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS missing, round(count(*) FILTER ({c} IS NULL)::DOUBLE / count(*) * 100, 2) AS missing_pct, count(DISTINCT {c}) AS \"distinct\", count(*) FILTER ({c} IS NULL)::DOUBLE / count(*) * 100 > 30 AS over_30_pct_missing, array_to_string(list_slice(list_sort(list(DISTINCT {c}::VARCHAR)), 1, 3), '|') AS samples FROM dirty" for c in _COLS
     ),
 )
 def profile_columns(spark, sf_dir):
-    return quality.profile(dirty(spark, sf_dir)).drop("smallest", "largest")
+    return quality.profile(dirty(spark, sf_dir)).drop("smallest", "largest", "dtype").withColumn("samples", F.array_join("samples", "|"))
 
 
 @register("duplicate_rows", "SELECT l_orderkey, l_linenumber, count(*) - 1 AS extra FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -111,9 +111,20 @@ def duplicate_rows(spark, sf_dir):
 _CARD = "regexp_replace(text, '\\D', '', 'g')"
 
 
-@register("pii_email_cells", "SELECT 'text' AS \"column\", 'email' AS kind, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS count FROM documents")
-def pii_email_cells(spark, sf_dir):
-    return quality.pii_cells(table(spark, sf_dir, "documents"), ["text"]).filter("kind = 'email'")
+_LUHN = "list_sum(list_transform(range(0, length(d)), lambda i: CASE WHEN i % 2 = 0 THEN substr(reverse(d), i + 1, 1)::INT ELSE CASE WHEN 2 * substr(reverse(d), i + 1, 1)::INT > 9 THEN 2 * substr(reverse(d), i + 1, 1)::INT - 9 ELSE 2 * substr(reverse(d), i + 1, 1)::INT END END)) % 10 = 0"
+
+
+@register(
+    "pii_cells",
+    f"""WITH c AS (SELECT text, regexp_replace(text, '\\D', '', 'g') AS d FROM documents), v AS (SELECT *, len(list_distinct(string_split(d, ''))) > 1 AS varied FROM c), k AS (
+      SELECT 'email' AS kind, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS count FROM v
+      UNION ALL SELECT 'phone', count(*) FILTER (varied AND regexp_matches(text, '(\\+?62[\\s-]?|0)(\\d[\\s-]?){{8,12}}\\d')) FROM v
+      UNION ALL SELECT 'credit_card', count(*) FILTER (varied AND length(d) BETWEEN 13 AND 19 AND regexp_matches(text, '\\b(\\d[ -]?){{13,19}}\\b') AND {_LUHN}) FROM v
+      UNION ALL SELECT 'national_id', count(*) FILTER (varied AND length(d) = 16 AND regexp_matches(text, '\\b\\d{{16}}\\b')) FROM v)
+    SELECT 'text' AS "column", kind, count FROM k WHERE count > 0""",
+)
+def pii_cells(spark, sf_dir):
+    return quality.pii_cells(table(spark, sf_dir, "documents"), ["text"])
 
 
 @register("pii_masked", "SELECT event_id, concat(repeat('*', length(user_id::VARCHAR) - 2), right(user_id::VARCHAR, 2)) AS masked FROM events WHERE length(user_id::VARCHAR) > 2")
@@ -122,14 +133,21 @@ def pii_masked(spark, sf_dir):
     return table(spark, sf_dir, "events").filter(F.length(u) > 2).select("event_id", text.mask_partial(u, 2).alias("masked"))
 
 
-@register("schema_drift", "SELECT * FROM (VALUES ('c_phone', 'removed'), ('c_acctbal', 'type_changed'), ('c_mktsegment', 'added')) AS t(\"column\", change)")
+_SCHEMA_SQL = "now AS (SELECT column_name AS \"column\", CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END AS dtype FROM information_schema.columns WHERE table_name = 'customer')"
+
+
+@register(
+    "schema_drift",
+    f"""WITH {_SCHEMA_SQL}, agreed("column", dtype) AS (VALUES ('c_custkey', 'bigint'), ('c_name', 'string'), ('c_nationkey', 'int'), ('c_acctbal', 'float'), ('c_phone', 'string'))
+    SELECT "column", CASE WHEN a.dtype IS NULL THEN 'added' WHEN n.dtype IS NULL THEN 'removed' ELSE 'type_changed' END AS change FROM agreed a FULL JOIN now n USING ("column") WHERE a.dtype IS DISTINCT FROM n.dtype""",
+)
 def schema_drift(spark, sf_dir):
     now = spark.createDataFrame(table(spark, sf_dir, "customer").dtypes, "column string, dtype string")
     agreed = spark.createDataFrame([("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "float"), ("c_phone", "string")], "column string, dtype string")
     return quality.schema_changes(agreed, now)
 
 
-@register("dtype_histogram", "SELECT * FROM (VALUES ('bigint', 1::BIGINT), ('double', 1::BIGINT), ('int', 1::BIGINT), ('string', 2::BIGINT)) AS t(dtype, n)")
+@register("dtype_histogram", f"WITH {_SCHEMA_SQL} SELECT dtype, count(*) AS n FROM now GROUP BY 1")
 def dtype_histogram(spark, sf_dir):
     return spark.createDataFrame(table(spark, sf_dir, "customer").dtypes, "column string, dtype string").groupBy("dtype").agg(F.count(F.lit(1)).alias("n"))
 

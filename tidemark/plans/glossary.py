@@ -15,20 +15,21 @@ METRICS = {
     "margin_pct": ("margin", "margin_pct", "marjin"),
     "total_revenue": ("total_revenue", "total pendapatan"),
     "total_cogs": ("total_cogs", "hpp", "beban pokok", "cogs", "cost of goods"),
-    "total_expenses": ("total_expenses", "expenses", "beban", "pengeluaran"),
-    "gross_profit": ("gross_profit", "gross profit", "laba kotor"),
-    "net_profit": ("net_profit", "net profit", "laba bersih"),
+    "total_expenses": ("total_expenses", "beban", "expenses", "biaya operasional", "pengeluaran"),
+    "gross_profit": ("gross_profit", "laba kotor", "gross"),
+    "net_profit": ("net_profit", "laba bersih", "net", "profit"),
 }
 
 
 def mentions(text: Column, aliases: tuple[str, ...]) -> Column:
+    """Whether one of the aliases stands in the text as whole words, in any case."""
     words = "|".join(a.replace(".", r"\.") for a in aliases)
     return F.lower(text).rlike(rf"(?<!\w)(?:{words})(?!\w)")
 
 
 def match(questions: DataFrame, column: str = "text", most: int = 4) -> DataFrame:
-    """questions with ``metrics``: names of up to ``most`` metrics that the text mentions, in glossary order."""
-    hits = F.array_compact(F.array(*[F.when(mentions(F.col(column), a), F.lit(m)) for m, a in METRICS.items()]))
+    """questions with ``metrics``: the first ``most`` names, in alphabetical order, of the metrics that the text mentions."""
+    hits = F.array_compact(F.array(*[F.when(mentions(F.col(column), METRICS[m]), F.lit(m)) for m in sorted(METRICS)]))
     return questions.withColumn("metrics", F.slice(hits, 1, most))
 
 

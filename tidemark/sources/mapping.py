@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 #: Canonical fields by dataset type: fixed values.
 FIELDS = {
-    "sales": ("transaction_date", "customer_code", "customer_name", "product_code", "product_name", "category", "branch_name", "quantity", "selling_price", "discount", "revenue"),
+    "sales": ("transaction_date", "customer_code", "customer_name", "product_code", "product_name", "branch_name", "quantity", "selling_price", "discount", "revenue"),
     "inventory": ("snapshot_date", "product_code", "product_name", "warehouse_name", "stock_qty"),
-    "purchases": ("purchase_date", "supplier_code", "supplier_name", "product_code", "product_name", "quantity", "cost"),
+    "purchases": ("purchase_date", "supplier_code", "supplier_name", "product_code", "quantity", "cost"),
     "expenses": ("expense_date", "department_name", "category", "amount"),
     "customers": ("customer_code", "customer_name", "segment", "city"),
     "products": ("product_code", "product_name", "category", "unit", "cost_price", "selling_price"),
@@ -50,7 +50,7 @@ _FIELD_OF = {a: f for f, names in ALIASES.items() for a in names}
 
 
 def _plain(name: str) -> str:
-    return re.sub(r"[\s_\-.]+", " ", str(name)).strip().lower()
+    return re.sub(r"[\s_]+", " ", str(name)).strip().lower()
 
 
 def suggest(columns: list[str], dataset: str = "sales") -> list[dict]:
