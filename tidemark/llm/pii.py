@@ -77,6 +77,23 @@ MORE = (
 THRESHOLD = 0.6
 
 
+def varied(match: Column) -> Column:
+    """A secret, not a word or a placeholder: a digit, and at least six different characters."""
+    return match.rlike("[0-9]") & (F.size(F.array_distinct(F.split(match, ""))) >= 6)
+
+
+#: Words before an assigned secret.
+_NAMES = "(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)"
+#: Credentials. The value of an assignment is the span, without the name and the quotes.
+SECRETS = (
+    Kind("private_key", r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----", "-----BEGIN ", score=1.0),
+    Kind("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", "(?:AKIA|ASIA)[A-Z0-9]", varied, 0.9),
+    Kind("service_token", r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk[-_](?:live_|test_|proj-)?[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])", "gh[pousr]_|xox[abprs]-|sk[-_]", varied, 0.9),
+    Kind("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+", "eyJ[A-Za-z0-9_-]", score=0.9),
+    Kind("secret", rf"(?i)(?<=\b{_NAMES}[\"']?[ \t]{{0,4}}[:=][ \t]{{0,4}}[\"']?)[A-Za-z0-9+/_=.~-]{{8,}}+", rf"(?i){_NAMES}[\"']?[ \t]{{0,4}}[:=]", varied, 0.6, "key|token|secret|password|login|credential", 0.3),
+)
+
+
 def _ends(lengths: Column) -> Column:
     """Running sums of a bound array of lengths, by blocks, so that many matches do not cost the square of their number."""
     n_blocks = F.ceil(F.size(lengths) / BLOCK).cast("int")
@@ -89,62 +106,58 @@ def _ends(lengths: Column) -> Column:
 
 
 def matches(text: Column, kind: Kind, rank: int) -> Column:
-    """Array of (start, rank, kind, end, match) of every match of a kind that its check confirms, leftmost and not overlapping; code points, end exclusive."""
-    schema = "array<struct<start:long,rank:int,kind:string,end:long,match:string>>"
+    """Array of (start, rank, kind, end, match, score) of every match of a kind that its check confirms, leftmost and not overlapping; code points, end exclusive. Context is the NEAR code points on either side, up to the neighbouring match of the kind."""
+    schema = "array<struct<start:long,rank:int,kind:string,end:long,match:string,score:double>>"
     none = F.array().cast(schema)
-    gaps = F.transform(F.split(text, kind.pattern, -1), lambda g: F.length(g).cast("long"))
+    between = F.split(text, kind.pattern, -1)
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
 
     def spans(m: Column) -> Column:
         # gap and match lengths by turns: the end of gap i is the start of match i.
-        both = bind(gaps, lambda g: F.transform(m, lambda x, i: F.get(g, i) + F.length(x)))
-        made = bind(both, lambda b: bind(_ends(b), lambda e: F.transform(m, lambda x, i: F.struct(
-            (F.get(e, i) - F.length(x)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), F.get(e, i).alias("end"), x.alias("match")))))
-        return F.filter(made, lambda s: kind.check(s["match"]))
+        return bind(between, lambda g: bind(F.transform(m, lambda x, i: F.length(F.get(g, i)).cast("long") + F.length(x)), lambda b: bind(_ends(b), lambda e: F.filter(
+            F.transform(m, lambda x, i: F.struct(
+                (F.get(e, i) - F.length(x)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), F.get(e, i).alias("end"), x.alias("match"), score(kind, F.get(g, i), F.get(g, i + 1)).alias("score"))),
+            lambda s: kind.check(s["match"])))))
 
     several = bind(found, lambda m: F.when(F.size(m) > 0, spans(m)).otherwise(none))
     return F.when(text.rlike(kind.gate), several).otherwise(none).cast(schema)
 
 
-def score(text: Column, span: Column, kind: Kind) -> Column:
+def score(kind: Kind, before: Column, after: Column) -> Column:
+    """The kind's score, with its lift if a context word stands at the end of the gap before or at the start of the gap after."""
     if not kind.context:
         return F.lit(kind.score)
-    start = F.greatest(span["start"] - NEAR, F.lit(0))
-    around = F.concat_ws(
-        " ", F.substring(text, (start + 1).cast("int"), (span["start"] - start).cast("int")), F.substring(text, (span["end"] + 1).cast("int"), F.lit(NEAR))
-    )
+    around = F.concat_ws(" ", F.right(before, F.lit(NEAR)), F.left(after, F.lit(NEAR)))
     hit = F.translate(around, UPPER, LOWER).rlike(rf"(?<![a-z])(?:{kind.context})")
     return F.when(hit, F.lit(min(1.0, kind.score + kind.lift))).otherwise(F.lit(kind.score))
 
 
-def _scorer(text: Column, kind: Kind) -> Callable[[Column], Column]:
-    names = ("start", "rank", "kind", "end", "match")
-    return lambda s: F.struct(*[s[n].alias(n) for n in names], score(text, s, kind).alias("score"))
+def _clear_of(base: Column) -> Callable[[Column], Column]:
+    """Whether a span overlaps none of the base spans, which are sorted by start and looked at by blocks."""
+    over = lambda x, s: (x["start"] < s["end"]) & (s["start"] < x["end"])
+    n = F.ceil(F.size(base) / BLOCK).cast("int")
+    items = lambda b: F.transform(F.sequence(b * BLOCK, F.least(b * BLOCK + BLOCK, F.size(base)) - 1), lambda i: F.get(base, i))
+    block = lambda b: bind(items(b), lambda own: F.struct(F.get(own, F.lit(0))["start"].alias("start"), F.array_max(F.transform(own, lambda x: x["end"])).alias("end"), own.alias("own")))
+    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), block))
+    return lambda spans: F.when(n == 0, spans).otherwise(bind(blocks, lambda bs: F.filter(spans, lambda s: ~F.exists(bs, lambda b: over(b, s) & F.exists(b["own"], lambda x: over(x, s))))))
 
 
-def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = BASE + MORE, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = BASE + MORE + SECRETS, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Input columns plus ``spans``: an array of (start, rank, kind, end, match, score), by start, then by kind as listed.
 
     A base kind's confirmed spans always stay; other kinds need ``threshold`` after context and must
     not overlap a base span. Null and empty texts have no spans; rows are neither dropped nor
-    merged. A column of the input named ``spans`` is replaced.
+    merged, so repeated rows return repeated rows. A column of the input named ``spans`` is replaced.
     """
     rows = packed(docs, doc_id, text)
     t = F.col("td_text")
-    each = []
-    for rank, kind in enumerate(kinds):
-        scored = F.transform(matches(t, kind, rank), _scorer(t, kind))
-        each.append(scored if kind.base else F.filter(scored, lambda s: s["score"] >= threshold))
-    base = [x for x, k in zip(each, kinds, strict=True) if k.base]
-    more = [x for x, k in zip(each, kinds, strict=True) if not k.base]
-    first = F.concat(*base) if base else None
-    if first is None:
-        spans = F.sort_array(F.concat(*more))
-    elif not more:
-        spans = F.sort_array(first)
+    found = [(kind, matches(t, kind, rank)) for rank, kind in enumerate(kinds)]
+    base = [x for kind, x in found if kind.base]
+    more = [F.filter(x, lambda s: s["score"] >= threshold) for kind, x in found if not kind.base]
+    if not base or not more:
+        spans = F.sort_array(F.concat(*base, *more))
     else:
-        clear = lambda b: lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))
-        spans = bind(first, lambda b: F.sort_array(F.concat(b, F.filter(F.concat(*more), clear(b)))))
+        spans = bind(F.sort_array(F.concat(*base)), lambda b: bind(F.concat(*more), lambda m: F.when(F.size(m) == 0, b).otherwise(F.sort_array(F.concat(b, _clear_of(b)(m))))))
     return unpacked(rows.withColumn("td_spans", spans), docs.columns, {"spans": F.col("td_spans")})
 
 
@@ -153,15 +166,20 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Input columns with every found span of the text replaced by ``[KIND]``; overlapping spans become one mark. A null text stays null."""
+    """Input columns with every found span of the text replaced by ``[KIND]``; overlapping spans become one mark, named by the first. A null text stays null."""
     found = find_pii(docs, doc_id=doc_id, text=text, **options)
-    state = "struct<at:long,out:array<string>>"
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    state = "struct<at:long,cuts:array<struct<start:long,end:long,kind:string>>>"
+    # Four bytes a code point: pieces are cut out by place, not by walking from the start.
+    wide = F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-32")
+    piece = lambda w, a, b: F.decode(F.substring(w, (a * 4 + 1).cast("int"), ((b - a) * 4).cast("int")), "UTF-32")
 
     def step(acc: Column, s: Column) -> Column:
-        piece = F.when(s["start"] >= acc["at"], F.concat(F.substring(t, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
-    done = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, (a["at"] + 1).cast("int"), F.length(t))))
-    return found.withColumn(text, F.when(F.col(text).isNotNull(), done)).drop("spans")
+        cut = F.struct(acc["at"].alias("start"), s["start"].alias("end"), s["kind"].alias("kind"))
+        new = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["cuts"], F.array(cut)).alias("cuts"))
+        return F.when(s["start"] >= acc["at"], new).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["cuts"].alias("cuts"))).cast(state)
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().alias("cuts")).cast(state)
+    kept = F.aggregate("spans", start, step)
+    done = bind(wide, lambda w: bind(kept, lambda k: F.concat(
+        F.array_join(F.transform(k["cuts"], lambda c: F.concat(piece(w, c["start"], c["end"]), F.lit("["), F.upper(c["kind"]), F.lit("]"))), ""), piece(w, k["at"], (F.length(w) / 4).cast("long")))))
+    return found.withColumn(text, F.when(F.col(text).isNotNull(), F.when(F.size("spans") > 0, done).otherwise(F.col(text).cast("string")))).drop("spans")
