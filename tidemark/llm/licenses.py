@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,17 +57,42 @@ def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFra
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
+def telling_words(spark: SparkSession, known: dict[str, str] = KNOWN) -> str:
+    """An expression of few words of which every known text has one, in any spelling that counts as equal."""
+    table = spark.createDataFrame([(t,) for t in known.values()], "text string").select(F.array_distinct(F.split(canonical(F.col("text")), " ")).alias("words"))
+    left = [{w for w in r["words"] if w} for r in table.collect()]
+    # Words that only appear where a spelling is split or joined could be written as another number of words.
+    unsure = {w for _, spelling in SPELLINGS if " " in spelling for w in spelling.split()}
+    written: dict[str, set[str]] = {}
+    for variant, spelling in SPELLINGS:
+        written.setdefault(spelling, set()).add(variant)
+    chosen = []
+    while left := [words for words in left if words]:
+        counts: dict[str, int] = {}
+        for words in left:
+            for w in words:
+                counts[w] = counts.get(w, 0) + 1
+        # Of the words in most texts the longest, since it is in fewest others.
+        best = max(counts, key=lambda w: (w not in unsure, counts[w] * min(len(w), 7), len(w), w))
+        chosen.append(best)
+        left = [words for words in left if best not in words]
+    spelled = sorted({v for w in chosen for v in {w, *written.get(w, ())}})
+    return "(?iu)" + ("|".join(re.escape(v).replace(r"\ ", r"[^\p{L}\p{N}]+") for v in spelled) or "(?!)")
+
+
 def scan_licenses(docs: DataFrame, known: dict[str, str] = KNOWN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Input columns plus ``text_digest``, ``license`` (of the entire text, or null) and ``parts``, sorted distinct licenses of whole lines and whole paragraphs.
 
     Every known text is looked up as an entire text, as a paragraph (lines up to a blank one) and as
-    a line. Only parts that hold a word that every known text has are digested. Null and empty texts
-    have the digest of the empty string, which no license has. Rows are neither dropped nor merged.
+    a line. Only parts that hold one of ``telling_words`` are digested, since no other can match.
+    Null and empty texts have the digest of the empty string, which no license has. Rows are neither
+    dropped nor merged, so repeated rows return repeated rows. Columns of the input named like an
+    output are replaced.
     """
     spark = docs.sparkSession
-    table = F.broadcast(known_digests(spark, known))
+    table = F.broadcast(known_digests(spark, known))  # a row a known text
     rows = packed(docs, doc_id, text)
-    hint = "(?i)licen[cs]|warrant|public domain"
+    hint = telling_words(spark, known)
     lines = F.split("td_text", "\n", -1)
     paragraphs = F.split("td_text", r"\n[ \t\r]*\n\s*", -1)
     some = F.array_distinct(F.filter(F.concat(lines, paragraphs), lambda x: x.rlike(hint)))
