@@ -166,7 +166,7 @@ def near_groups(docs: DataFrame, least: float = 0.8, n: int = 5, bits: int = 3,
     pairs = members.filter("node <> head.node").select(F.col("head.node").alias("a"), F.col("head.size").alias("size_a"), F.col("node").alias("b"), F.col("size").alias("size_b"))
     pairs = pairs.filter(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")).select("a", "b").distinct()
     pairs = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
-    pairs = spread(pairs).join(known.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    pairs = pairs.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     links = links.unionByName(saved(pairs.select("a", "b", "set_a", "set_b").mapInPandas(partial(_similar, least=least), "a long, b long")))
 
     # Then the bands whose members are not one component yet, each in one task or in tiles of several.
