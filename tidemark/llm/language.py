@@ -159,7 +159,9 @@ def train(docs: DataFrame, dims: int = 1 << 15, max_docs: int = 4000, max_chars:
     n_docs, df = document_frequencies(rows, dims)
     short = rows.filter(F.length("text") <= max_chars)
     sizes = short.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    quota = max_docs / max(1, sizes.count())
+    labels = sizes.count()
+    quota = max_docs / max(1, labels)
+    sizes = F.broadcast(sizes) if labels <= 10_000 else sizes
     even = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     chosen = short.select("id", "label").join(sizes, "label").filter(even < F.lit(quota) / F.col("n")).select("id", "label").distinct()
     chosen = chosen.orderBy(even, "id", "label").limit(2 * max_docs)
