@@ -24,7 +24,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [k.name for k in pii.BASE]
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin(*names))
-    return found.select("doc_id", *[of(n).alias(f"n_{n}") for n in names], F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[of(n).alias(f"n_{n}") for n in names], F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: F.round(s["score"], 2).cast("string")), ",").alias("scores"))
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
