@@ -58,42 +58,12 @@ def latest(df: DataFrame, key: str, order: list[str], value: str, out: str) -> D
     return df.groupBy(key).agg(F.max_by(F.col(value), F.struct(*order)).alias(out))
 
 
-#: Stages of a model and the moves between them: fixed values.
-MOVES = {
-    "DRAFT": ("TRAINING",), "TRAINING": ("TRAINED", "FAILED"), "TRAINED": ("VALIDATED", "ARCHIVED"), "VALIDATED": ("STAGING", "ARCHIVED"), "STAGING": ("PRODUCTION", "ARCHIVED"),
-    "PRODUCTION": ("ARCHIVED",), "ARCHIVED": ("PRODUCTION",), "FAILED": ("DRAFT",),
-}
-
-
-def move(stage: str, to: str) -> str:
-    if to not in MOVES.get(stage, ()):
-        raise ValueError(f"a model in {stage} cannot move to {to}")
-    return to
-
-
 def next_version(versions: DataFrame) -> DataFrame:
     """(model, next_version): the highest numeric suffix of v<number> plus 1."""
     n = F.expr("try_cast(regexp_extract(version, '^v([0-9]+)$', 1) as int)")
     return versions.groupBy("model").agg(F.concat(F.lit("v"), (F.coalesce(F.max(n), F.lit(0)) + 1).cast("string")).alias("next_version"))
 
 
-def promote(versions: DataFrame, model: str, version: str) -> DataFrame:
-    """versions (model, version, stage) with one in production: the promoted one; the former is archived."""
-    mine = F.col("model") == model
-    stage = F.when(mine & (F.col("version") == version), "PRODUCTION").when(mine & (F.col("stage") == "PRODUCTION"), "ARCHIVED").otherwise(F.col("stage"))
-    return versions.withColumn("stage", stage)
-
-
-def rollback(versions: DataFrame, model: str) -> DataFrame:
-    """versions (model, version, stage, archived_at) with the model's newest archived version in production again and the present one archived; without an archived version nothing changes."""
-    mine = F.col("model") == model
-    old = versions.filter(mine & (F.col("stage") == "ARCHIVED")).agg(F.max_by("version", F.struct("archived_at", "version")).alias("_back"))
-    j = versions.crossJoin(F.broadcast(old))  # one row
-    back = mine & (F.col("version") == F.col("_back"))
-    stage = F.when(back, "PRODUCTION").when(mine & F.col("_back").isNotNull() & (F.col("stage") == "PRODUCTION"), "ARCHIVED").otherwise(F.col("stage"))
-    return j.withColumn("stage", stage).drop("_back")
-
-
 def deployment_status(versions: DataFrame, events: DataFrame) -> DataFrame:
     """(model, version, status, n_events): the newest event's ``to_status``, PENDING where there is none. events: event_id, model, version, to_status."""
     last = events.groupBy("model", "version").agg(F.max_by("to_status", "event_id").alias("status"), F.count(F.lit(1)).alias("n_events"))

@@ -257,12 +257,28 @@ def cooccurrence_pairs(spark, sf_dir):
     return recommend.cooccurrence(star.sales(spark, sf_dir))
 
 
-@register("recommend_product")
+_TFIDF = """prods AS (SELECT product_name AS product, min(category) AS category FROM sales GROUP BY 1), terms AS (SELECT product, unnest(list_filter(regexp_extract_all(lower(concat(product, ' ', category)), '[a-z0-9]+'), lambda w: length(w) > 1)) AS term FROM prods),
+tf AS (SELECT product, term, count(*) AS tf FROM terms GROUP BY 1, 2), idf AS (SELECT term, ln((1 + (SELECT count(*) FROM prods)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1), w0 AS (SELECT product, tf.term, tf * idf AS w FROM tf JOIN idf ON tf.term = idf.term),
+w AS (SELECT product, term, w / sqrt(sum(w * w) OVER (PARTITION BY product)) AS weight FROM w0)"""
+
+
+@register(
+    "recommend_product",
+    f"""{_PAIRS}, {_TFIDF}, s AS (SELECT CASE WHEN a = 'Brand#23' THEN b ELSE a END AS product, customers * 2.0::DOUBLE AS s FROM pairs WHERE a = 'Brand#23' OR b = 'Brand#23'
+      UNION ALL SELECT x.product, sum(x.weight * q.weight) * 1.5::DOUBLE FROM w x JOIN w q ON x.term = q.term WHERE q.product = 'Brand#23' AND x.product <> 'Brand#23' GROUP BY 1)
+    SELECT product, round(sum(s), 3) AS score FROM s GROUP BY 1 ORDER BY score DESC, product LIMIT 10""",
+)
 def recommend_product(spark, sf_dir):
     return recommend.recommend(star.sales(spark, sf_dir), product="Brand#23", k=10)
 
 
-@register("recommend_customer")
+@register(
+    "recommend_customer",
+    f"""{_PAIRS}, own AS (SELECT product_name AS product FROM b WHERE customer_name = 'Customer#000000001'), both_ways AS (SELECT a AS x, b AS product, customers FROM pairs UNION ALL SELECT b, a, customers FROM pairs),
+    s AS (SELECT product, sum(customers)::DOUBLE AS s FROM both_ways WHERE x IN (SELECT product FROM own) AND product NOT IN (SELECT product FROM own) GROUP BY 1),
+    final AS (SELECT * FROM s UNION ALL SELECT product_name, count(*) * 0.1::DOUBLE FROM sales WHERE NOT EXISTS (SELECT 1 FROM s) GROUP BY 1)
+    SELECT product, round(s, 3) AS score FROM final ORDER BY score DESC, product LIMIT 10""",
+)
 def recommend_customer(spark, sf_dir):
     return recommend.recommend(star.sales(spark, sf_dir), customer="Customer#000000001", k=10)
 

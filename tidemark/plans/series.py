@@ -82,11 +82,6 @@ def time_split(spark, sf_dir):
     return ml.split_by_time(series(spark, sf_dir))
 
 
-@register("forecast_by_branch")
-def forecast_by_branch(spark, sf_dir):
-    return timeseries.baseline_forecast(timeseries.daily(star.sales(spark, sf_dir), "branch_name"), 7, "branch_name")
-
-
 @register("gbt_forecast")
 def gbt_forecast(spark, sf_dir):
     return ml.gbt_forecast(series(spark, sf_dir))
