@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import ledger, lineage, quality
+from tidemark.operators import catalog, ledger, lineage, quality
 from tidemark.operators.quality import Rule
 from tidemark.registry import register
-from tidemark.sources import clean
+from tidemark.sources import clean, files, warehouse
 from tidemark.sources.star import table
 
 #: Rules over a copy of orders with blanks, gaps and bad values put in by key.
@@ -203,3 +203,90 @@ def row_dedup(spark, sf_dir):
 def dead_letters(spark, sf_dir):
     good, dead = clean.split_valid(dirty(spark, sf_dir), ["status"])
     return good.agg(F.count(F.lit(1)).alias("good")).crossJoin(dead.agg(F.count(F.lit(1)).alias("dead")))
+
+
+# Warehouse loading
+
+_DIM_SQL = """dim AS (SELECT (s_suppkey * 10)::BIGINT AS id, s_name AS code, s_acctbal AS balance FROM supplier WHERE s_suppkey <= 40), new AS (SELECT DISTINCT s_name AS code FROM supplier WHERE s_name NOT IN (SELECT code FROM dim))"""
+
+
+def _dim(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    return s.filter("s_suppkey <= 40").select((F.col("s_suppkey") * 10).alias("id"), F.col("s_name").alias("code"), F.col("s_acctbal").alias("balance")), s
+
+
+@register("warehouse_get_or_create", f"WITH {_DIM_SQL} SELECT * FROM dim UNION ALL SELECT (SELECT max(id) FROM dim) + row_number() OVER (ORDER BY code), code, NULL FROM new")
+def warehouse_get_or_create(spark, sf_dir):
+    dim, s = _dim(spark, sf_dir)
+    return warehouse.get_or_create(dim, s.select(F.concat(F.lit(" "), "s_name").alias("code")), "code")
+
+
+@register(
+    "warehouse_upsert",
+    f"WITH {_DIM_SQL}, grown AS (SELECT id, code FROM dim UNION ALL SELECT (SELECT max(id) FROM dim) + row_number() OVER (ORDER BY code), code FROM new) SELECT g.id, g.code, s_acctbal + 1 AS balance FROM grown g JOIN supplier ON g.code = s_name",
+)
+def warehouse_upsert(spark, sf_dir):
+    dim, s = _dim(spark, sf_dir)
+    return warehouse.upsert(dim, s.select(F.col("s_name").alias("code"), (F.col("s_acctbal") + 1).alias("balance")), "code")
+
+
+@register("warehouse_resolve", f"WITH {_DIM_SQL} SELECT l_orderkey, l_linenumber, l_quantity, id AS supplier_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN dim ON s_name = code")
+def warehouse_resolve(spark, sf_dir):
+    dim, s = _dim(spark, sf_dir)
+    facts = table(spark, sf_dir, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", "l_quantity", F.col("s_name").alias("code"))
+    return warehouse.resolve(facts, dim, "code", "supplier_id")
+
+
+@register("paged_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 150")
+def paged_rows(spark, sf_dir):
+    return files.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 4, 50)
+
+
+# Catalog and quality history
+
+_VERSIONS = """cols AS (SELECT table_name AS dataset, column_name || ':' || CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp' ELSE lower(data_type) END AS c
+  FROM information_schema.columns WHERE table_name IN ('customer', 'supplier', 'part', 'nation', 'region'))"""
+
+
+@register("schema_versions", f"WITH {_VERSIONS} SELECT dataset, 1 AS version, sha256(string_agg(c, chr(10) ORDER BY c)) AS schema_hash FROM cols GROUP BY 1")
+def schema_versions(spark, sf_dir):
+    names = ("customer", "supplier", "part", "nation", "region")
+    none = spark.createDataFrame([], catalog.VERSIONS)
+    out = none
+    for n in names:
+        out = catalog.register_version(out, n, table(spark, sf_dir, n), 0)
+        out = catalog.register_version(out, n, table(spark, sf_dir, n).select(*reversed(table(spark, sf_dir, n).columns)), 0)  # the same schema in another order: no new version
+    return out.select("dataset", "version", "schema_hash")
+
+
+@register(
+    "column_registry",
+    f"WITH {DIRTY_SQL}, reg AS ("
+    + " UNION ALL ".join(f"SELECT 'dirty' AS dataset, '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_count, round(count(*) FILTER ({c} IS NULL)::DOUBLE / count(*), 4) AS null_pct FROM dirty" for c in _COLS)
+    + ") SELECT *, CASE \"column\" WHEN 'cust' THEN 'the customer' WHEN 'gone' THEN 'kept' END AS description FROM (SELECT * FROM reg UNION ALL SELECT 'dirty', 'gone', NULL, NULL)",
+)
+def column_registry(spark, sf_dir):
+    old = spark.createDataFrame([("dirty", "cust", 5, 0.5, "the customer"), ("dirty", "gone", None, None, "kept")], "dataset string, column string, distinct_count long, null_pct double, description string")
+    return catalog.sync_columns(old, "dirty", quality.profile(dirty(spark, sf_dir))).select("dataset", "column", "distinct_count", "null_pct", "description")
+
+
+_RUNS = """runs AS (SELECT o_orderpriority AS dataset, (year(o_orderdate) * 100 + month(o_orderdate))::BIGINT AS run_id, round(count(*) FILTER (o_orderstatus <> 'P') / count(*), 4)::DOUBLE AS score FROM orders GROUP BY 1, 2)"""
+
+
+def _runs(spark, sf_dir):
+    run = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("long").alias("run_id")
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("dataset"), run).agg(F.round(F.count_if(F.col("o_orderstatus") != "P") / F.count(F.lit(1)), 4).alias("score"))
+
+
+@register("quality_history", f"WITH {_RUNS} SELECT dataset, run_id, score FROM runs QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY run_id DESC) <= 5")
+def quality_history(spark, sf_dir):
+    return catalog.history(_runs(spark, sf_dir), 5)
+
+
+@register(
+    "quality_trend",
+    f"""WITH {_RUNS}, l AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY run_id DESC) <= 20), t AS (SELECT dataset, count(*) AS runs, arg_min(score, run_id) AS first_score, arg_max(score, run_id) AS last_score FROM l GROUP BY 1)
+    SELECT *, round(last_score - first_score, 4) AS delta, CASE WHEN last_score > first_score THEN 'improving' WHEN last_score < first_score THEN 'degrading' ELSE 'stable' END AS direction FROM t""",
+)
+def quality_trend(spark, sf_dir):
+    return catalog.trend(_runs(spark, sf_dir), 20)

@@ -34,8 +34,9 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """SHA-256 of a row's values in column order; null differs from empty."""
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in df.columns]), 256)
+    """SHA-256 of a row's values in column order, each led by its length, so that no two rows of different values read alike; null differs from empty."""
+    text = [F.col(f"`{c}`").cast("string") for c in df.columns]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]), 256)
 
 
 def deduplicate(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import zipfile
 from pathlib import PurePosixPath
 
@@ -15,10 +16,29 @@ SUFFIXES = ("csv", "tsv", "txt", "json", "jsonl", "ndjson", "xml", "parquet", "z
 BAD = "_corrupt_record"
 
 
+def opened(spark: SparkSession, path: str):
+    """(file system, path, length) of a file, or of the first file of a folder or pattern that has bytes, through the file system that Spark reads; None if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = fs.globStatus(where)
+    for status in found or ():
+        parts = fs.listStatus(status.getPath()) if status.isDirectory() else (status,)
+        files = sorted((str(p.getPath()), p) for p in parts if p.isFile() and not p.getPath().getName().startswith(("_", ".")) and p.getLen())
+        if files:
+            return fs, files[0][1].getPath(), files[0][1].getLen()
+    return None
+
+
 def head(spark: SparkSession, path: str, n: int = 65536) -> bytes:
-    """The first bytes of a file, read by Spark, so any store that Spark reads will do."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n).alias("b")).first()
-    return bytes(row["b"]) if row else b""
+    """The first bytes of a file in any store that Spark reads; no more of it is read, whatever its size."""
+    file = opened(spark, path)
+    if file is None:
+        return b""
+    stream = file[0].open(file[1])
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(n, file[2])))
+    finally:
+        stream.close()
 
 
 def detect_encoding(sample: bytes) -> str:
@@ -70,9 +90,23 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> tuple
     return good, _bad_lines(whole, [f"`{f.name}`" for f in schema.fields])
 
 
+def _one_document(sample: bytes) -> bool:
+    """Whether JSON starts as one document (an array, or an object that does not end with its first line), not as one object a line."""
+    text = sample.lstrip(b"\xef\xbb\xbf \t\r\n")
+    if text[:1] != b"{":
+        return text[:1] == b"["
+    first = text.split(b"\n", 1)[0]
+    try:
+        json.loads(first)
+    except ValueError:
+        # A cut or broken first line; a line that only opens an object is the start of a document.
+        return first.rstrip()[-1:] in (b"{", b"[", b",", b":")
+    return False
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, bad lines) of a JSON-lines file, or of one JSON document (array or object)."""
-    multi = head(spark, path, 64).lstrip()[:1] == b"["
+    """(rows, bad lines) of a JSON-lines file, or of one JSON document (array or object) over any number of lines."""
+    multi = _one_document(head(spark, path))
     s = T._parse_datatype_string(schema)
     whole = spark.read.schema(T.StructType([*s.fields, T.StructField(BAD, T.StringType())])).option("multiLine", multi).option("columnNameOfCorruptRecord", BAD).json(path)
     cols = [f"`{f.name}`" for f in s.fields]
@@ -139,17 +173,34 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     return books.select("content").mapInPandas(parse, T.StructType([T.StructField(h, T.StringType()) for h in header]))
 
 
-def read_zip(spark: SparkSession, path: str, work: str) -> DataFrame:
-    """The first supported member of a ZIP file, written to the shared folder ``work`` and read from there."""
-    content = bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        name = next((n for n in z.namelist() if PurePosixPath(n).suffix.lower() in (".csv", ".tsv", ".txt")), None)
-        if name is None:
-            raise ValueError("unsupported: no CSV member in the archive")
-        text = z.read(name)
-    enc = detect_encoding(text)
-    spark.createDataFrame([(x,) for x in text.decode(enc).splitlines()], "value string").coalesce(1).write.mode("overwrite").text(work)
-    return spark.read.option("header", True).option("sep", sniff_delimiter(text[:65536], enc)).csv(work)
+def unzip(spark: SparkSession, path: str, work: str) -> str:
+    """Copies the first member of a supported type into the shared folder ``work``, as a stream that holds no more than a buffer of it, and returns its path; ValueError where no member is supported."""
+    file = opened(spark, path)
+    if file is None:
+        raise ValueError(f"no such file: {path}")
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(work)
+    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    archive = jvm.java.util.zip.ZipInputStream(file[0].open(file[1]))
+    try:
+        while (entry := archive.getNextEntry()) is not None:
+            name = PurePosixPath(entry.getName())
+            if not entry.isDirectory() and name.suffix.lower().lstrip(".") in SUFFIXES and name.suffix.lower() != ".zip" and not name.name.startswith((".", "_")):
+                out = jvm.org.apache.hadoop.fs.Path(target, name.name)
+                stream = fs.create(out, True)
+                try:
+                    jvm.org.apache.commons.io.IOUtils.copyLarge(archive, stream)
+                finally:
+                    stream.close()
+                return out.toString()
+    finally:
+        archive.close()
+    raise ValueError("unsupported: no member of a supported type in the archive")
+
+
+def read_zip(spark: SparkSession, path: str, work: str, **options) -> DataFrame:
+    """The first supported member of a ZIP file, unpacked into the shared folder ``work`` and read from there as any file of its type."""
+    return read_any(spark, unzip(spark, path, work), **options)
 
 
 def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -166,10 +217,33 @@ def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
     if suffix == "xlsx":
         return read_xlsx(spark, path)
     if suffix == "zip":
-        return read_zip(spark, path, options["work"])
+        return read_zip(spark, path, **options)
     return read_parquet(spark, path, options.get("columns"))
 
 
+def read_full(spark: SparkSession, path: str, rows: int = 200_000, columns: list[str] | None = None, **options) -> DataFrame:
+    """At most ``rows`` rows of a file, and of its columns those named that it has."""
+    df = read_any(spark, path, **options)
+    return (df if columns is None else df.select(*[f"`{c}`" for c in columns if c in df.columns])).limit(rows)
+
+
+def from_csv_text(spark: SparkSession, text: str) -> DataFrame:
+    """Rows of a CSV text that a caller holds, all columns as strings; quoted line breaks are kept, blank rows skipped, short rows filled with nulls."""
+    rows = [r for r in csv.reader(io.StringIO(text, newline="")) if any(x.strip() for x in r)]
+    if not rows:
+        raise ValueError("no rows in the CSV text")
+    names, width = [c.strip().lstrip("﻿") for c in rows[0]], len(rows[0])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return spark.createDataFrame([tuple((x or None) for x in (r + [""] * width)[:width]) for r in rows[1:]], schema)
+
+
+def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
+    """The page of ``size`` rows with the given number, from 1, in a total order."""
+    if number < 1 or size < 1:
+        raise ValueError("pages and their sizes start at 1")
+    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
 def read_table(spark: SparkSession, url: str, table: str, column: str | None = None, low: int = 0, high: int = 0, parts: int = 8, **options) -> DataFrame:
     """A database table over JDBC, read in ranges of a numeric column."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
@@ -178,9 +252,22 @@ def read_table(spark: SparkSession, url: str, table: str, column: str | None = N
     return reader.load()
 
 
+def _cells(df: DataFrame) -> DataFrame:
+    """Every value as text, booleans as true and false."""
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; booleans as true and false, nulls as nothing."""
-    df.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    """CSV files with a header and CRLF line ends; booleans as true and false, nulls as nothing. Spark's files have no byte order mark; ``csv_bytes`` has."""
+    _cells(df).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").option("lineSep", "\r\n").csv(path)
+
+
+def union_of(frames: list[DataFrame]) -> DataFrame:
+    """Rows of several frames under the union of their columns, in the order in which they are first seen."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
 
 
 def csv_lines(df: DataFrame):
@@ -197,6 +284,20 @@ def csv_lines(df: DataFrame):
         yield line([cell(v) for v in r])
 
 
+def csv_bytes(df: DataFrame) -> bytes:
+    """A small result as one UTF-8 CSV file with a byte order mark."""
+    return "".join(csv_lines(df)).encode("utf-8-sig")
+
+
+def export(df: DataFrame, kind: str) -> bytes:
+    """A small result as the bytes of a csv or xlsx file; ValueError for other kinds, pdf among them."""
+    if kind == "csv":
+        return csv_bytes(df)
+    if kind == "xlsx":
+        return xlsx_bytes(df)
+    raise ValueError(f"unsupported export: {kind}")
+
+
 _PARTS = {
     "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
     '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
