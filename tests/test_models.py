@@ -130,3 +130,46 @@ def test_forecast_says_what_it_lacks(spark):
     assert bad["method"] == "unsupported_shape" and "Stock_Qty" in bad["reason"]
     with pytest.raises(ValueError):
         timeseries.domain_forecast(named, "weather")
+
+
+def brute_lof(y, k=5):
+    import numpy as np
+
+    order = sorted(range(len(y)), key=lambda i: (y[i], i))
+    at = {i: p for p, i in enumerate(order)}
+    near = {i: sorted((j for j in range(len(y)) if j != i), key=lambda j: (abs(y[j] - y[i]), at[j]))[:k] for i in range(len(y))}
+    kd = {i: max(abs(y[j] - y[i]) for j in near[i]) for i in near}
+    lrd = {i: 1 / (np.mean([max(kd[j], abs(y[j] - y[i])) for j in near[i]]) + 1e-10) for i in near}
+    return [np.mean([lrd[j] for j in near[i]]) / lrd[i] for i in range(len(y))]
+
+
+def test_outlier_factor_is_the_textbook_one(spark):
+    import numpy as np
+
+    from tidemark.operators import anomaly
+
+    rng = np.random.default_rng(5)
+    day = dt.date(2025, 1, 1)
+    for y in ([float(v) for v in rng.normal(100, 10, 40)] + [300.0], [1.0, 2.0, 4.0]):
+        df = spark.createDataFrame([(day + dt.timedelta(days=i), v) for i, v in enumerate(y)], "ds date, y double")
+        got = [r["lof"] for r in anomaly.local_outlier_factor(df).orderBy("ds").collect()]
+        assert np.allclose(got, brute_lof(y))
+
+
+def test_detectors_find_the_planted_days(spark):
+    import numpy as np
+
+    from tidemark.operators import anomaly
+
+    rng, day = np.random.default_rng(6), dt.date(2025, 1, 1)
+    rows = [("a", day + dt.timedelta(days=i), float(v)) for i, v in enumerate(rng.normal(100, 5, 60))] + [("b", day + dt.timedelta(days=i), 7.0) for i in range(10)] + [("c", day, 1.0), ("d", day, None)]
+    rows[20] = ("a", rows[20][1], 400.0)
+    df = spark.createDataFrame(rows, "s string, ds date, y double")
+    got = {(r["s"], r["ds"]): r for r in anomaly.detect(df, key="s").collect()}
+    top = got[("a", rows[20][1])]
+    assert top["anomaly"] and top["severity"] == "critical" and top["score"] > 0.95 and top["detectors"].count(",") == 3
+    assert not any(r["anomaly"] or r["score"] is not None for (s, _), r in got.items() if s in "bc") and len(got) == 71
+    strict = {k for k, r in ((k, r) for k, r in ((x["ds"], x) for x in anomaly.detect(df.filter("s = 'a'").drop("s"), 5.0).collect())) if r["anomaly"]}
+    assert rows[20][1] in strict and len(strict) <= sum(r["anomaly"] for (s, _), r in got.items() if s == "a")
+    again = anomaly.detect(df, key="s").orderBy("s", "ds").collect()
+    assert again == sorted(got.values(), key=lambda r: (r["s"], r["ds"]))

@@ -14,6 +14,24 @@ def estimate_tokens(text: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 4).cast("int")))
 
 
+def record_usage(turns: DataFrame, prices: DataFrame) -> DataFrame:
+    """Usage rows of answered turns (conversation_id, model, prompt, answer, prompt_tokens, completion_tokens, created_at): the provider's counts where it gave any, else the estimate from the text; the cost from prices (model, input_price, output_price for 1,000 tokens), null for a model without one."""
+    n = lambda given, text: F.coalesce(F.col(given), estimate_tokens(F.col(text))).cast("long")
+    t = turns.select("conversation_id", "model", n("prompt_tokens", "prompt").alias("prompt_tokens"), n("completion_tokens", "answer").alias("completion_tokens"), "created_at")
+    per = prices.groupBy("model").agg(F.min("input_price").alias("_in"), F.min("output_price").alias("_out"))
+    cost = (F.col("prompt_tokens") * F.col("_in") + F.col("completion_tokens") * F.col("_out")) / 1000
+    return t.join(per, "model", "left").select(*t.columns, F.round(cost, 6).cast("decimal(18,6)").alias("estimated_cost"))
+
+
+def documents(docs: DataFrame, chunks: DataFrame, limit: int = 100) -> DataFrame:
+    """docs (doc_id, title, visibility, created_at, ...), newest first, with their effective visibility and number of chunks."""
+    from .retrieval import visibility
+
+    n = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    out = docs.join(n, "doc_id", "left").withColumn("visibility", visibility(F.col("visibility"))).withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+    return out.orderBy(F.desc("created_at"), F.desc("doc_id")).limit(max(1, min(500, limit)))
+
+
 def _sums() -> list[Column]:
     cost = F.col("estimated_cost").cast("decimal(18,6)")
     return [

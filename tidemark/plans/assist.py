@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import alerts, ledger, retrieval, sales, scenarios
-from tidemark.plans import glossary, guard
+from tidemark.plans import glossary, guard, tools
 from tidemark.registry import register
 from tidemark.sources import star
 from tidemark.sources.star import SALES_SQL, STOCK_SQL, table
@@ -73,12 +73,40 @@ def rerank_features(spark, sf_dir):
 
 @register(
     "cosine_topk",
-    """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS cosine FROM embeddings, q ORDER BY cosine DESC, vec_id LIMIT 10""",
+    """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), c AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS cosine FROM q, embeddings)
+    SELECT query_id, vec_id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id)::INTEGER AS rank FROM c QUALIFY rank <= 10""",
 )
 def cosine_topk(spark, sf_dir):
+    """Every row whose id is divisible by 50 against all rows."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id = 0").select("embedding").first()["embedding"]
-    return retrieval.cosine_topk(e, q)
+    return retrieval.cosine_topk_of(e, e.filter("vec_id % 50 = 0"))
+
+
+@register(
+    "structured_answers",
+    """WITH a AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN 'no object' WHEN 3 THEN 'Here: ' || props || ' done' WHEN 4 THEN '{"other": 1}' ELSE substr(props, 1, length(props) - 1) END AS answer FROM events),
+    o AS (SELECT event_id, regexp_extract(answer, '\\{.*\\}', 0, 's') AS j FROM a)
+    SELECT event_id, CASE WHEN j = '' OR NOT json_valid(j) THEN 'not_json' WHEN json_extract(j, '$.k') IS NULL THEN 'missing_keys:k' END AS error, CASE WHEN j <> '' AND json_valid(j) THEN json_extract_string(j, '$.k')::BIGINT END AS k FROM o""",
+)
+def structured_answers(spark, sf_dir):
+    """The JSON objects of answers made from the events: plain, fenced, in a sentence, without the key, cut off, or none."""
+    p, i = F.col("props"), F.col("event_id") % 6
+    answer = F.when(i == 0, p).when(i == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(i == 2, "no object").when(i == 3, F.concat(F.lit("Here: "), p, F.lit(" done"))).when(i == 4, '{"other": 1}').otherwise(F.left(p, F.length(p) - 1))
+    got = table(spark, sf_dir, "events").select("event_id", text.parse_structured(answer, ["k"]).alias("r"))
+    return got.select("event_id", F.col("r.error").alias("error"), F.try_variant_get("r.value", "$.k", "long").alias("k"))
+
+
+@register(
+    "masked_payload",
+    """SELECT c_custkey, concat(left(c_name, 1), '***@shop', c_nationkey, '.example.com') AS email, concat('+** *** *** ', right('00' || c_custkey % 100, 2)) AS phone, concat('ask ', left(c_name, 1), '***@x.org or call ********', right('00' || c_custkey % 100, 2), ' now') AS note FROM customer""",
+)
+def masked_payload(spark, sf_dir):
+    """A nested payload made from the customers."""
+    name, two = F.regexp_replace("c_name", "#", ""), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0")
+    contact = F.create_map(F.lit("Email"), F.concat(name, F.lit("@shop"), F.col("c_nationkey").cast("string"), F.lit(".example.com")), F.lit("telp"), F.concat(F.lit("+49 301 234 "), two))
+    notes = F.array(F.struct(F.concat(F.lit("ask "), name, F.lit("@x.org or call 01512345"), two, F.lit(" now")).alias("note")))
+    rows = text.masked_rows(table(spark, sf_dir, "customer").select("c_custkey", contact.alias("contact"), notes.alias("notes")))
+    return rows.select("c_custkey", F.col("contact")["Email"].alias("email"), F.col("contact")["telp"].alias("phone"), F.col("notes")[0]["note"].alias("note"))
 
 
 @register(
@@ -159,6 +187,49 @@ for _key, _col in {"model": "model", "day": "created_at", "conversation": "conv_
         return ledger.usage_by(usage(spark, sf_dir), column)
 
 
+@register(
+    "usage_recorded",
+    """WITH t AS (SELECT conv_id AS conversation_id, CASE conv_id % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' ELSE 'local' END AS model, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS prompt_tokens, CASE WHEN turn % 2 = 0 THEN turn * 10 + 5 ELSE 3 END AS completion_tokens, turn FROM conversations)
+    SELECT conversation_id, model, prompt_tokens::BIGINT AS prompt_tokens, completion_tokens::BIGINT AS completion_tokens, turn AS created_at, round((prompt_tokens * p.i + completion_tokens * p.o) / 1000, 6)::DOUBLE AS estimated_cost FROM t LEFT JOIN (VALUES ('small', 0.5, 1.5), ('large', 4.0, 12.0)) p(m, i, o) ON model = m""",
+)
+def usage_recorded(spark, sf_dir):
+    k = F.col("conv_id") % 3
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("conversation_id"), F.when(k == 0, "small").when(k == 1, "large").otherwise("local").alias("model"), F.col("text").alias("prompt"), F.lit("some answer..").alias("answer"), F.lit(None).cast("long").alias("prompt_tokens"),
+        F.when(F.col("turn") % 2 == 0, F.col("turn") * 10 + 5).alias("completion_tokens"), F.col("turn").alias("created_at"),
+    )
+    prices = spark.createDataFrame([("small", 0.5, 1.5), ("large", 4.0, 12.0)], "model string, input_price double, output_price double")
+    return ledger.record_usage(turns, prices).withColumn("estimated_cost", F.col("estimated_cost").cast("double"))
+
+
+@register(
+    "document_listing",
+    """WITH d AS (SELECT doc_id, source AS title, CASE doc_id % 4 WHEN 0 THEN ' Internal' WHEN 1 THEN 'private' WHEN 2 THEN NULL ELSE 'secret' END AS v, DATE '2024-01-01' + (doc_id * 7 % 100)::INTEGER AS created_at, len(string_split(text, chr(10))) AS n FROM documents)
+    SELECT doc_id, title, CASE WHEN lower(trim(v)) IN ('public', 'internal', 'confidential', 'private') THEN lower(trim(v)) ELSE 'public' END AS visibility, created_at, n AS n_chunks FROM d ORDER BY created_at DESC, doc_id DESC LIMIT 100""",
+)
+def document_listing(spark, sf_dir):
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    docs = d.select("doc_id", F.col("source").alias("title"), F.when(k == 0, " Internal").when(k == 1, "private").when(k == 3, "secret").alias("visibility"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") * 7 % 100).cast("int")).alias("created_at"))
+    return ledger.documents(docs, d.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("content")))
+
+
+@register(
+    "tool_evidence",
+    f"""WITH {SALES_SQL}, t AS (SELECT strftime(transaction_date, '%Y-%m') AS period, round(sum(revenue), 2)::DOUBLE AS revenue, count(*) AS orders FROM sales WHERE transaction_date IS NOT NULL GROUP BY 1)
+    SELECT 'data' AS outcome, period, revenue, orders FROM t UNION ALL SELECT 'no_data', NULL, NULL, NULL UNION ALL SELECT 'error', NULL, NULL, NULL UNION ALL SELECT 'error', NULL, NULL, NULL""",
+)
+def tool_evidence(spark, sf_dir):
+    """Evidence of a monthly trend, read back from its JSON, and the outcomes of an empty frame, of an unknown tool and of a refused statement."""
+    frame = star.sales(spark, sf_dir)
+    answers = [
+        tools.execute(spark, "query_sales", {"sales": frame}, {"granularity": "monthly"}), tools.execute(spark, "get_kpi", {"sales": frame.limit(0)}), tools.execute(spark, "nothing", {}),
+        tools.execute(spark, "query_sql", {}, {"sql": "SELECT * FROM secret"}, {"orders"}),
+    ]
+    read = F.from_json("evidence", "period string, revenue double, orders long")
+    out = tools.evidence(answers[0].data).select(F.lit(answers[0].outcome).alias("outcome"), read.alias("r")).select("outcome", "r.*")
+    return out.unionByName(spark.createDataFrame([(a.outcome,) for a in answers[1:]], "outcome string"), allowMissingColumns=True)
+
+
 @register("budget_gate", f"WITH {USAGE_SQL} SELECT round(coalesce(sum(estimated_cost), 0), 6)::DOUBLE AS spent, 10.0::DOUBLE AS budget, coalesce(sum(estimated_cost), 0) >= 10 AS blocked FROM priced WHERE created_at >= DATE '2024-02-15' - 30")
 def budget_gate(spark, sf_dir):
     return ledger.budget_gate(usage(spark, sf_dir), 10.0, "2024-02-15")

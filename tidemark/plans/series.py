@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import customers, ml, timeseries
+from tidemark.operators import anomaly, customers, ml, timeseries
 from tidemark.registry import register
 from tidemark.sources import star
 from tidemark.sources.star import SALES_SQL
@@ -96,3 +96,23 @@ def kmeans_segments(spark, sf_dir):
 def churn_model_scores(spark, sf_dir):
     f = customers.customer_features(star.sales(spark, sf_dir))
     return ml.churn_scores(f.withColumn("churn", (F.col("recency") > 90).cast("int")))[0]
+
+
+_NB = "(-5), (-4), (-3), (-2), (-1), (1), (2), (3), (4), (5)"
+
+
+@register(
+    "local_outlier_factor",
+    f"""{S}, s AS (SELECT ds, y, row_number() OVER (ORDER BY y, ds) AS i FROM series), o(o) AS (VALUES {_NB}),
+    nb AS (SELECT a.i, b.i AS j, abs(b.y - a.y) AS d FROM s a, o JOIN s b ON b.i = a.i + o QUALIFY row_number() OVER (PARTITION BY a.i ORDER BY abs(b.y - a.y), b.i) <= 5), kd AS (SELECT i, max(d) AS kd FROM nb GROUP BY 1),
+    lrd AS (SELECT nb.i, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM nb JOIN kd ON kd.i = nb.j GROUP BY 1), f AS (SELECT nb.i, avg(n.lrd) / any_value(m.lrd) AS lof FROM nb JOIN lrd n ON n.i = nb.j JOIN lrd m ON m.i = nb.i GROUP BY 1)
+    SELECT ds, y, round(lof, 3) AS lof FROM s JOIN f ON s.i = f.i""",
+)
+def local_outlier_factor(spark, sf_dir):
+    return anomaly.local_outlier_factor(series(spark, sf_dir)).withColumn("lof", F.round("lof", 3))
+
+
+@register("anomaly_detectors")
+def anomaly_detectors(spark, sf_dir):
+    """All four detectors; the forest's random cuts have no SQL form."""
+    return anomaly.detect(series(spark, sf_dir))

@@ -1,16 +1,26 @@
-"""Streaming ingestion: files in, each row once, jobs replayable."""
+"""Streaming ingestion: files in, each row once, bad rows apart, jobs replayable, cancelled between batches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.sources.clean import deduplicate, row_hash
+from tidemark.sources.clean import deduplicate, row_hash, split_valid
 from tidemark.sources.files import append_job
 
+BAD = "_corrupt_record"
+METRICS = "rows long, written long, duplicates long, malformed long, incomplete long"
+
 
-def read_folder(spark: SparkSession, path: str, schema: str, fmt: str = "csv") -> DataFrame:
-    return spark.readStream.schema(schema).format(fmt).option("header", True).load(path)
+def read_folder(spark: SparkSession, path: str, schema: str, fmt: str = "csv", files_per_batch: int | None = None) -> DataFrame:
+    """New files of a folder; lines that do not fit the schema are kept in ``_corrupt_record`` if the schema has it."""
+    reader = spark.readStream.schema(schema).format(fmt).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path)
 
 
 def once(rows: DataFrame, time: str | None = None, late: str = "1 day") -> DataFrame:
@@ -28,3 +38,37 @@ def load(rows: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
         append_job(deduplicate(batch), table, number)
 
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Cancelled(Exception):
+    """Raised between batches; the batch that was about to start is read again by the next run."""
+
+
+def load_checked(rows: DataFrame, folder: str, required: list[str], cancelled: Callable[[], bool] = lambda: False) -> StreamingQuery:
+    """Loads a stream batch by batch into ``folder``: ``table`` for good rows, ``dead_letters`` for lines that did not parse and rows without a required value (as JSON, with the reason), ``metrics`` with a row of counts; each batch is a partition of all three.
+
+    A batch that is replayed after a failure replaces its partitions, so a restart goes on where the
+    last committed batch ended. ``cancelled`` is asked before each batch.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        if cancelled():
+            raise Cancelled(f"cancelled before batch {number}")
+        batch = batch.persist()
+        try:
+            columns = [c for c in batch.columns if c != BAD]
+            lost = batch.filter(F.col(BAD).isNotNull()) if BAD in batch.columns else batch.limit(0).withColumn(BAD, F.lit(None).cast("string"))
+            sound = (batch.filter(F.col(BAD).isNull()) if BAD in batch.columns else batch).select(*columns)
+            good, incomplete = split_valid(sound, required)
+            unique = deduplicate(good)
+            append_job(unique, f"{folder}/table", number)
+            letters = lost.select(F.col(BAD).alias("row"), F.lit("malformed").alias("reason"))
+            letters = letters.unionByName(incomplete.select("row", F.concat(F.lit("missing: "), "missing").alias("reason")))
+            append_job(letters, f"{folder}/dead_letters", number)
+            n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+            counts = n(batch, "rows").crossJoin(n(unique, "written")).crossJoin(n(good, "_good")).crossJoin(n(lost, "malformed")).crossJoin(n(incomplete, "incomplete"))
+            append_job(counts.select("rows", "written", (F.col("_good") - F.col("written")).alias("duplicates"), "malformed", "incomplete").coalesce(1), f"{folder}/metrics", number)
+        finally:
+            batch.unpersist()
+
+    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
