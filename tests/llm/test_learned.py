@@ -447,27 +447,3 @@ def test_common_counts_are_sizes_of_intersections():
     for slab in (4096, 7):
         got = jaccard.common_counts(sets, slab)
         assert all(w is None or got[i, j] == w for i, r in enumerate(want) for j, w in enumerate(r))
-
-
-def test_pipeline_runs_and_every_stage_takes_effect(spark, small):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    columns = docs.columns
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = stage(spark, docs, small)
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert docs.columns == columns
-            docs = spark.createDataFrame(docs.collect(), docs.schema)
-    assert docs.columns == [*columns, "copies", "taken"]
-    out = docs.collect()
-    assert out and all(r["copies"] in (1, 2) for r in out)
-
-
-def test_pipeline_stages_on_edge_rows(spark, edge, empty):
-    import corpus_pipeline
-
-    tables = "/root/testdata/sf0.001"
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, edge, tables).count() <= len(EDGE)
-        assert stage(spark, empty, tables).count() == 0

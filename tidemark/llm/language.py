@@ -187,11 +187,8 @@ def scores(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
     return rows.mapInPandas(predict, "td_known boolean, td_id long, td_hash long, lang_pred string, score double, learned boolean")
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Input columns plus ``lang_pred``, ``score`` and ``learned``, whether the text looks like any language that the model has seen; input columns of these names are replaced.
-
-    Null texts and texts without a letter are ``und`` with score 0. Rows are neither dropped nor merged.
-    """
+def _identified(docs: DataFrame, model: LanguageModel, text: str) -> DataFrame:
+    """Packed rows with ``td_lang``, struct(lang_pred, score, learned)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, learned boolean")
@@ -199,5 +196,18 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         for t in texts:
             yield pd.DataFrame([shared.value.predict(x) for x in t], columns=["lang_pred", "score", "learned"])
 
-    rows = packed(docs, docs.columns[0], text).withColumn("td_lang", predict(F.col("td_row").getField(text).cast("string")))
-    return unpacked(rows, docs.columns, {"lang_pred": F.col("td_lang.lang_pred"), "score": F.col("td_lang.score"), "learned": F.col("td_lang.learned")})
+    return packed(docs, docs.columns[0], text).withColumn("td_lang", predict(F.col("td_row").getField(text).cast("string")))
+
+
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """Input columns plus ``lang_pred``, ``score`` and ``learned``, whether the text looks like any language that the model has seen; input columns of these names are replaced.
+
+    Null texts and texts without a letter are ``und`` with score 0. Rows are neither dropped nor merged.
+    """
+    names = ("lang_pred", "score", "learned")
+    return unpacked(_identified(docs, model, text), docs.columns, {n: F.col("td_lang").getField(n) for n in names})
+
+
+def in_learned_languages(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The input rows whose text has a letter and looks like a language that the model has seen; columns stay as they are, whatever their names."""
+    return unpacked(_identified(docs, model, text).filter((F.col("td_lang.lang_pred") != UNKNOWN) & F.col("td_lang.learned")), docs.columns, {})

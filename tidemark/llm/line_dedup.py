@@ -17,15 +17,8 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITE)))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Input columns plus ``kept_text``, ``n_lines`` and ``n_dropped``.
-
-    A line's key is the line stripped of ASCII white space and with A-Z lower-cased. Keys of at
-    least ``min_chars`` code points found in at least ``min_docs`` documents lose every line.
-    Null and empty texts are one empty line (kept). Rows that share a doc_id count as one document;
-    rows without a doc_id count by their text. Repeated rows return repeated rows. A column of the
-    input named like an output is replaced.
-    """
+def _dropped(docs: DataFrame, min_docs: int, min_chars: int, doc_id: str, text: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The packed rows beside the positions of their dropped lines, and the columns ``kept_text``, ``n_lines`` and ``n_dropped`` over them."""
     rows = packed(docs, doc_id, text)
     lines = rows.select(*KEY, F.posexplode(F.split("td_text", "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("line", line_key(F.col("line"))).filter(F.length("line") >= max(min_chars, 0))
@@ -47,4 +40,25 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id:
     kept = F.when(F.col("dropped").isNull(), F.col("td_text")).otherwise(kept)
     n_lines = F.size(parts).cast("long")
     n_dropped = F.coalesce(F.size("dropped"), F.lit(0)).cast("long")
-    return unpacked(joined, docs.columns, {"kept_text": kept, "n_lines": n_lines, "n_dropped": n_dropped})
+    return joined, {"kept_text": kept, "n_lines": n_lines, "n_dropped": n_dropped}
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Input columns plus ``kept_text``, ``n_lines`` and ``n_dropped``.
+
+    A line's key is the line stripped of ASCII white space and with A-Z lower-cased. Keys of at
+    least ``min_chars`` code points found in at least ``min_docs`` documents lose every line.
+    Null and empty texts are one empty line (kept). Rows that share a doc_id count as one document;
+    rows without a doc_id count by their text. Repeated rows return repeated rows. A column of the
+    input named like an output is replaced.
+    """
+    joined, found = _dropped(docs, min_docs, min_chars, doc_id, text)
+    return unpacked(joined, docs.columns, found)
+
+
+def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The input rows and columns with the text as ``dedup_lines`` keeps it, and ``n_chars``, if there is such a column, as its length; all other columns stay as they are, whatever their names."""
+    joined, found = _dropped(docs, min_docs, min_chars, doc_id, text)
+    out = joined.withColumn("td_kept", found["kept_text"])
+    new = {text: F.col("td_kept")} | ({"n_chars": F.length("td_kept").cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*[(new[c] if c in new else F.col("td_row").getField(c)).alias(c) for c in docs.columns])
