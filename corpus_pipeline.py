@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, language, line_dedup, mixing
 from tidemark.llm.common import discard, shared_folder
@@ -18,15 +17,12 @@ from tidemark.llm.common import discard, shared_folder
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters (null and empty texts too) and those that look like no language of the rows' own labels, from which it learns. Repeated rows stay or go alike."""
-    model = language.train(docs)
-    found = language.identify(docs, model)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & F.col("learned")).select(*docs.columns)
+    return language.in_learned_languages(docs, language.train(docs))
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that at least 10 documents share; ``n_chars`` follows the text. No row goes: null and empty texts become empty ones, repeated rows stay."""
-    kept = line_dedup.dedup_lines(docs).withColumn("text", F.col("kept_text"))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_dedup.drop_lines(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
