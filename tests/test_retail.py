@@ -348,7 +348,7 @@ def test_text_helpers(spark):
     ))
     assert r["r"] == "[dsn] password=[redacted] [path]" and r["u"] == ["7%"] and r["k"] == "123"
     q = spark.createDataFrame([("Berapa omzet dan laba bersih?",), ("preorder",)], "text string")
-    assert [x["metrics"] for x in glossary.match(q).collect()] == [["revenue", "net_profit"], []]
+    assert [x["metrics"] for x in glossary.match(q).collect()] == [["net_profit", "revenue"], []]
 
 
 @pytest.fixture(scope="module")
