@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language, licenses, line_dedup, mixing, pii, quality, simhash, token_counts
+from . import decontaminate, fingerprints, language, licenses, line_dedup, minhash, mixing, pii, quality, simhash, spelling, token_counts, whitening
 from .common import shared_folder
 
 def doc_id() -> Column:
@@ -91,8 +91,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(doc_id(), "expected_grade", clean.alias("p_clean"), F.get("tails", F.lit(1)).alias("p_good"), (clean >= 0.5).alias("keep"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.label_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_fingerprint, op3_license, op4_decontaminate, op5_simhash, op6_mix, op7_line_dedup, op8_language, op9_token_counts, op10_quality)
+    f.__name__: f for f in (op1_pii, op2_fingerprint, op3_license, op4_decontaminate, op5_simhash, op6_mix, op7_line_dedup, op8_language, op9_token_counts, op10_quality, op11_minhash, op12_spelling, op13_whitening)
 }
 
 _WHITE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
