@@ -247,7 +247,7 @@ def test_blocks_narrower_than_the_vectors_converge(spark):
 
 def test_whitening_edge_rows(spark):
     rows = table_of(spark, 60, 5)
-    odd = [(100, None), (101, [1.0, None, 0, 0, 0]), (102, [float("nan")] * 5), (103, [float("inf")] * 5), (104, []), (105, [1.0, 2.0]), (60, rows[0][1]), (0, rows[0][1])]
+    odd = [(100, None), (101, [1.0, None, 0.0, 0.0, 0.0]), (102, [float("nan")] * 5), (103, [float("inf")] * 5), (104, []), (105, [1.0, 2.0]), (60, rows[0][1]), (0, rows[0][1])]
     schema = "vec_id long, embedding array<float>, label int, n int, component string"
     frame = spark.createDataFrame([(*r, 1, 2, "c") for r in rows + odd], schema)
     got = whitening.whiten(frame).collect()

@@ -62,7 +62,8 @@ def _counted(batches: Iterator[pd.DataFrame], every: int, shortest: int) -> Iter
             if len(counts) >= HELD:
                 yield out()
                 counts.clear()
-    yield out()
+    if counts:
+        yield out()
 
 
 def vocabulary(docs: DataFrame, every: int = 199, shortest: int = 6, fewest: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,7 +138,7 @@ def near_pairs(groups: list[tuple[int, int, int, list[tuple[str, bool]]]]) -> It
             for i in range(a, b):
                 prefixes.append((lo, hi))
                 if i + 1 < b:
-                    c, at = word[i] if i < len(word) else "", lambda w, i=i: w[i]
+                    c, at = word[i], lambda w, i=i: w[i]
                     lo, hi = bisect_left(forward, c, lo, hi, key=at), bisect_right(forward, c, lo, hi, key=at)
                 if hi - lo < (1 if short else 2):  # only the word itself is left
                     break
@@ -181,6 +182,12 @@ def _best(counts: dict[str, int], pairs: Iterator[tuple[str, str]]) -> pd.DataFr
     return pd.DataFrame([(w, *x) for w, x in best.items()], columns=["word", "n_near", "form_n", "form"])
 
 
+def _found(counts: dict[str, int], groups: list[tuple[int, int, int, list[tuple[str, bool]]]]) -> Iterator[pd.DataFrame]:
+    found = _best(counts, near_pairs(groups))
+    if len(found):
+        yield found
+
+
 def _searched(batches: Iterator[pd.DataFrame], chunk: int) -> Iterator[pd.DataFrame]:
     """Near words of each run of rows of the same key; rows come sorted by it. Whole keys are searched together, about ``chunk`` rows at a time."""
     groups: list[tuple[int, int, int, list[tuple[str, bool]]]] = []
@@ -190,14 +197,14 @@ def _searched(batches: Iterator[pd.DataFrame], chunk: int) -> Iterator[pd.DataFr
         for length, a, b, rest, word, n, whole in zip(*(batch[c] for c in ("length", "a", "b", "rest", "word", "n", "whole")), strict=True):
             if (length, a, b, rest) != key:
                 if held >= chunk:
-                    yield _best(counts, near_pairs(groups))
+                    yield from _found(counts, groups)
                     groups, counts, held = [], {}, 0
                 key = (length, a, b, rest)
                 groups.append((length, a, b, []))
             groups[-1][3].append((word, whole))
             counts[word] = n
             held += 1
-    yield _best(counts, near_pairs(groups))
+    yield from _found(counts, groups)
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
