@@ -31,7 +31,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark table, of 24 or more letters, digits and spaces. Empty texts and those of an empty benchmark stay."""
+    """Drops documents that hold an item of the benchmark table with at most 6 % edits. Empty texts and those of an empty benchmark stay."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -106,24 +107,22 @@ def test_myers_distance_is_the_edit_distance():
         assert decontaminate.best_match(item, text, len(item))[0] == brute_distance(item, text)
 
 
-def brute_hits(items, text, least=24, rate=0.06):
-    """(long items with their distances, short items) of a text, by tables of edit distances and word borders."""
-    n, long, short = decontaminate.normal(text), {}, set()
+def brute_hits(items, text, rate=0.06):
+    """{item: distance} of a text, by tables of edit distances, and by word borders where there is no budget."""
+    n, found = decontaminate.normal(text), {}
     for k, item in items:
         x = decontaminate.normal(item)
-        if len(x) >= least:
-            d = brute_distance(x, n)
-            if d <= int(len(x) * rate):
-                long[k] = min(d, long.get(k, d))
-        elif x and f" {x} " in f" {n} ":
-            short.add(k)
-    return long, short
+        budget = int(len(x) * rate)
+        d = brute_distance(x, n) if budget else 0 if x and f" {x} " in f" {n} " else 1
+        if x and d <= budget:
+            found[k] = min(d, found.get(k, d))
+    return found
 
 
 def test_every_match_within_the_budget_is_found(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 8)))
-    sizes = [1, 1, 2, 3, 3, 5, 8, 12, 16, 17, 20, 23, 24, 25, 30, 40, 50, 80, 120, 200, 300, 500]
+    sizes = [1, 1, 2, 3, 3, 5, 8, 12, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 30, 34, 40, 50, 80, 120, 200, 300, 500]
     items = [(k, (" ".join(word() for _ in range(n)))[:n].strip() or "a") for k, n in enumerate(sizes)]
     items += [(3, "same id, another text that is long enough"), (50, " -- "), (51, None)]
     docs = []
@@ -141,8 +140,33 @@ def test_every_match_within_the_budget_is_found(spark):
     for block in (2_000_000, 400):
         got = decontaminate.contamination(frame, bench, block_chars=block).collect()
         assert len(got) == len(docs)
-        assert {r["td_id"]: ({h["item"]: h["distance"] for h in r["hits"]}, set(r["short_hits"])) for r in got} == want
-    assert sum(len(w[0]) for w in want.values()) > 15 and any(w[1] for w in want.values())
+        assert {r["td_id"]: {h["item"]: h["distance"] for h in r["hits"]} for r in got} == want
+    length = {k: len(decontaminate.normal(t)) for k, t in items if k != 3}
+    found = [(length.get(k, 0), d) for w in want.values() for k, d in w.items()]
+    assert any(n < 17 for n, _ in found) and any(17 <= n < 24 and d == 1 for n, d in found) and any(n > 100 and d > 1 for n, d in found)
+
+
+def test_short_items_have_their_budget():
+    item = "seventeen letters"
+    for n in range(17, 24):
+        x = (item + " and more")[:n].strip()
+        for edited in (x[:5] + "q" + x[5:], x[:5] + x[6:], x[:8] + "q" + x[9:]):
+            want = {1: 1} if int(len(x) * 0.06) else {}
+            assert decontaminate.Matcher([(1, x)], 0.06).find(f"some words {edited} more words") == want
+
+
+def test_periodic_texts_take_seconds(spark):
+    """A third of the repeats altered, 200,000 characters, against repetitive items: every piece hits at almost every place."""
+    rng = random.Random(6)
+    text = " ".join("ab cd" if rng.random() < 0.67 else rng.choice(["ab cx", "xb cd", "ab  c", "abcd"]) for _ in range(36_000))
+    bench = [(1, "ab cd " * 250), (2, "ha " * 400), (3, "ab cd ab cx " * 30), (4, "ab cd")]
+    docs = spark.createDataFrame([(1, text), (2, "ha " * 70_000), (3, "ab cd ab cx " * 20_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["td_id"]: {h["item"]: h["distance"] for h in r["hits"]} for r in decontaminate.contamination(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert time.perf_counter() - began < 30
+    assert got[2] == {2: 0} and got[3][3] == 0 and 4 in got[1]
+    short = text[:3000]
+    assert decontaminate.Matcher([(3, decontaminate.normal(bench[2][1]))], 0.06).find(decontaminate.normal(short)) == brute_hits([bench[2]], short)
 
 
 def test_decontamination_edge_rows(spark, edge, empty, clashing):

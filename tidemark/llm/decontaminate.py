@@ -2,7 +2,7 @@
 
 An item within k edits of some stretch of a document, cut into k + 1 pieces, has at least one piece
 there unchanged. Each task finds all piece hits of a whole text with one automaton and verifies
-them with Myers' bit-parallel edit distance around the place that the hit implies. The benchmark
+them with Myers' bit-parallel edit distance over the stretches that the hits imply. The benchmark
 is the query set: it is broadcast in blocks of a bounded number of characters, one at a time, and
 every block passes over every document.
 """
@@ -10,6 +10,7 @@ every block passes over every document.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -64,61 +65,73 @@ def best_match(item: str, text: str, budget: int) -> tuple[int, int]:
 
 
 class Matcher:
-    """Finds the items of one block in normalised texts: long ones within their budgets, short ones as whole words, letter by letter."""
+    """Finds the items of one block in normalised texts: within their budgets, and those without a budget letter by letter between word borders.
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int):
-        self.items = [(i, t, int(len(t) * error_rate)) for i, t in items if len(t) >= min_chars]
-        found: dict[str, list[tuple[int, int]]] = {}
+    The hits of an item's pieces name stretches of the text where it may be. Stretches that touch are
+    one, so an item's distance is computed over no place of a text twice, however often its pieces recur.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+        self.items = [(i, t, int(len(t) * error_rate)) for i, t in items]
+        #: piece: {item: (least, largest offset of the piece in the item)}
+        found: dict[str, dict[int, tuple[int, int]]] = {}
         for k, (_, t, budget) in enumerate(self.items):
-            for at, piece in pieces(t, budget):
-                found.setdefault(piece, []).append((k, at))
-        self.automaton = self._automaton({piece: (len(piece), where) for piece, where in found.items()})
-        whole: dict[str, list[int]] = {}
-        for i, t in items:
-            if len(t) < min_chars:
-                whole.setdefault(f" {t} ", []).append(i)
-        self.short = self._automaton(whole)
-
-    @staticmethod
-    def _automaton(words: dict) -> ahocorasick.Automaton | None:
-        out = ahocorasick.Automaton()
-        for word, value in words.items():
-            out.add_word(word, value)
-        if not words:
-            return None
-        out.make_automaton()
-        return out
-
-    def find_short(self, text: str) -> list[int]:
-        return sorted({i for _, ids in self.short.iter(f" {text} ") for i in ids}) if self.short else []
+            for at, piece in pieces(t, budget) if budget else [(0, f" {t} ")]:
+                where = found.setdefault(piece, {})
+                lo, hi = where.get(k, (at, at))
+                where[k] = (min(lo, at), max(hi, at))
+        self.automaton = ahocorasick.Automaton()
+        for piece, where in found.items():
+            self.automaton.add_word(piece, (len(piece), [(k, lo, hi) for k, (lo, hi) in where.items()]))
+        if found:
+            self.automaton.make_automaton()
 
     def find(self, text: str) -> dict[int, int]:
-        """{item id: least distance} of the long items within their budgets in the normalised text."""
+        """{item id: least distance} of the items within their budgets in the normalised text."""
         hits: dict[int, int] = {}
-        if not self.automaton:
+        if not self.items or not text:
             return hits
-        seen: dict[int, int] = {}
+        text = f" {text} "
+        stretches: dict[int, list[list[int]]] = {}
         for end, (size, where) in self.automaton.iter(text):
-            for k, at in where:
+            begin = end + 1 - size
+            for k, lo, hi in where:
                 ident, item, budget = self.items[k]
-                best = hits.get(ident, budget + 1)
-                start = end + 1 - size - at
-                if not best:
-                    continue
-                if text.startswith(item, max(start, 0)) and start >= 0:
+                if not budget:
                     hits[ident] = 0
                     continue
-                # Windows around later hits of the same item overlap: one that was looked at is not looked at again.
-                if seen.get(k) == start or not budget:
-                    continue
-                seen[k] = start
-                window = text[max(0, start - budget) : start + len(item) + budget]
-                got, _ = best_match(item, window, budget)
-                if got < best:
-                    hits[ident] = got
+                first, last = begin - hi - budget, begin - lo + len(item) + budget
+                known = stretches.get(k)
+                if known is None:
+                    stretches[k] = [[first, last]]
+                elif first <= known[-1][1]:
+                    known[-1] = [min(first, known[-1][0]), max(last, known[-1][1])]
+                else:
+                    known.append([first, last])
+        for k, known in stretches.items():
+            ident, item, budget = self.items[k]
+            best = hits.get(ident, budget + 1)
+            for first, last in joined(known):
+                if not best:
+                    break
+                stretch = text[max(0, first) : last]
+                best = min(best, 0 if item in stretch else best_match(item, stretch, budget)[0])
+            if best <= budget:
+                hits[ident] = best
         return hits
 
 
+def joined(stretches: list[list[int]]) -> list[list[int]]:
+    """The same places as disjoint stretches in order."""
+    out: list[list[int]] = []
+    for first, last in sorted(stretches):
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], last)
+        else:
+            out.append([first, last])
+    return out
+
+
 def read_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's normalised items that are not empty, in blocks of about ``block_chars`` characters; the driver holds one block and one partition of the table at a time."""
     block, size = [], 0
@@ -132,56 +145,69 @@ def read_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int)
     yield sorted(set(block))
 
 
-FOUND = "hits array<struct<item:long,distance:int>>, short_hits array<long>"
+FOUND = "hits array<struct<item:long,distance:int>>"
+#: The matcher that this worker process used last, by the name of its block: tasks of one scan build it once a process.
+_KNOWN: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, shared: Broadcast, error_rate: float) -> Matcher:
+    if name not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[name] = Matcher(shared.value, error_rate)
+    return _KNOWN[name]
 
 
-def _scan(rows: DataFrame, shared: Broadcast, error_rate: float, min_chars: int) -> DataFrame:
+def _scan(rows: DataFrame, shared: Broadcast, error_rate: float) -> DataFrame:
+    name = uuid.uuid4().hex
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(shared.value, error_rate, min_chars)
+        matcher = _matcher(name, shared, error_rate)
         for b in batches:
-            texts = [normal(t) for t in b.pop("text")]
-            yield b.assign(hits=[[{"item": i, "distance": d} for i, d in sorted(matcher.find(t).items())] for t in texts], short_hits=[matcher.find_short(t) for t in texts])
+            texts = b.pop("text")
+            yield b.assign(hits=[[{"item": i, "distance": d} for i, d in sorted(matcher.find(t).items())] for t in texts])
 
     return rows.mapInPandas(scan, "td_known boolean, td_id long, td_hash long, " + FOUND)
 
 
+def _normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(text=[normal(t) for t in b["text"]])
+
+
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, min_chars: int = 24, block_chars: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, block_chars: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """td_known, td_id, td_hash (each row's key), ``hits``, array of (item, distance): items with at most ``error_rate`` x length edits somewhere in the whole text, and ``short_hits``, array of items.
+    """td_known, td_id, td_hash (each row's key) and ``hits``, array of (item, distance): items with at most ``error_rate`` x length edits, rounded down, somewhere in the whole text.
 
-    Both sides are lower-cased and reduced to letters, digits and single spaces first; items of fewer
-    than 1 / error_rate characters match exactly. Items that have fewer than ``min_chars`` characters
-    then are common words and phrases, so they are told apart: ``short_hits`` has those that the text
-    holds exactly and as whole words. Null and empty texts and an empty benchmark give no hits; items
+    Both sides are lower-cased and reduced to letters, digits and single spaces first. An item too
+    short for one edit must occur exactly and as whole words, so a benchmark should hold no items that
+    any text holds by chance. Null and empty texts and an empty benchmark give no hits; items
     without an id or a letter or digit are not searched; items with the same id count as one, by the
     best of them. One row for each input row, repeated rows included; other columns are not used.
 
-    Every block of the benchmark passes over all documents. With several blocks each is a job of its
-    own that leaves only the rows with hits, and its broadcast is destroyed before the next.
+    Every block of the benchmark passes over all documents. With several blocks the normalised texts
+    are written once, as much as the input again, and each block is a job of its own
+    that leaves only the rows with hits; its broadcast is destroyed before the next.
     """
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(*row_key(doc_id, text), F.col(text).cast("string").alias("text"))
+    rows = docs.select(*row_key(doc_id, text), F.col(text).cast("string").alias("text")).mapInPandas(_normal, "td_known boolean, td_id long, td_hash long, text string")
     blocks = read_blocks(benchmark, item_id, item_text, block_chars)
     block, after = next(blocks), next(blocks, None)
     if after is None:
-        return _scan(rows, sc.broadcast(block), error_rate, min_chars)
-    found = None
+        return _scan(rows, sc.broadcast(block), error_rate)
+    rows, found = saved(rows), None
     while block is not None:
         shared = sc.broadcast(block)
-        part = saved(_scan(rows, shared, error_rate, min_chars).filter("size(hits) > 0 or size(short_hits) > 0"))
+        part = saved(_scan(rows, shared, error_rate).filter("size(hits) > 0"))
         shared.destroy()
         found = part if found is None else found.unionByName(part)
         block, after = after, next(blocks, None)
     best = found.select(*KEY, F.explode("hits").alias("h")).groupBy(*KEY, F.col("h.item").alias("item")).agg(F.min("h.distance").alias("distance"))
-    long = best.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("item", "distance"))).alias("hits"))
-    short = found.select(*KEY, F.explode("short_hits").alias("item")).groupBy(*KEY).agg(F.sort_array(F.collect_set("item")).alias("short_hits"))
-    none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
-    keys = rows.select(*KEY).join(long, KEY, "left").join(short, KEY, "left")
-    return keys.select(*KEY, none("hits", "array<struct<item:long,distance:int>>"), none("short_hits", "array<long>"))
+    several = best.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("item", "distance"))).alias("hits"))
+    return rows.select(*KEY).join(several, KEY, "left").select(*KEY, F.coalesce("hits", F.array().cast("array<struct<item:long,distance:int>>")).alias("hits"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The input rows in which no benchmark item of ``min_chars`` characters or more is found; shorter ones occur by chance and remove nothing. Null and empty texts stay, repeated rows stay or go alike."""
+    """The input rows in which no benchmark item is found. Null and empty texts stay, repeated rows stay or go alike."""
     bad = contamination(docs, benchmark, doc_id=doc_id, text=text, **options).filter(F.size("hits") > 0).select(*KEY)
     return unpacked(packed(docs, doc_id, text).join(bad, KEY, "left_anti"), docs.columns, {})
