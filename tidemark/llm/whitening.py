@@ -21,6 +21,8 @@ from .common import saved
 
 SCALE, SHIFT, EDGE = 64, 1_000_000, float(1 << 52)
 LONG_MAX = (1 << 63) - 1
+#: Bytes of rows that a task of a pass reads at least, as it hands on a whole matrix.
+TASK_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -117,6 +119,7 @@ def fit(rows: DataFrame, k: int = 16, block: int = 64, tolerance: float = 1e-13,
     if not n or not d:
         return None
     width = min(d, max(block, k))
+    points = points.coalesce(max(1, 8 * n * d // TASK_BYTES))
     middle = partial(centred, n=n, sums=sums)
     trace = float(_summed(points, lambda x: np.array([[(middle(x) ** 2).sum()]]), (1, 1))[0, 0]) / n
     if not trace:
