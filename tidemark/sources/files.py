@@ -5,13 +5,19 @@ from __future__ import annotations
 import csv
 import io
 import json
+import uuid
 import zipfile
+from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import ranks
+
+from . import records
+
 SUFFIXES = ("csv", "tsv", "txt", "json", "jsonl", "ndjson", "xml", "parquet", "zip", "xlsx")
 BAD = "_corrupt_record"
 
@@ -76,18 +82,36 @@ def _bad_lines(whole: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, bad rows): delimiter and encoding detected, all-blank rows dropped, malformed lines in ``bad`` as text."""
+    """(rows, bad rows): delimiter and encoding detected from the head, all-blank rows dropped, malformed records in ``bad`` as text.
+
+    Rows with too few values have nulls for the rest; rows with too many are bad, and so are records
+    with bytes outside the encoding or a quote that never closes. Line breaks within quotes belong to the value.
+    Empty values are null. An empty file has no rows. One native scan counts quotes and invalid lines
+    when the frame is made; files without either are read by Spark's own parser, others record by record (``records``).
+    """
     sample = head(spark, path)
     enc = detect_encoding(sample)
-    reader = spark.read.option("header", True).option("sep", sniff_delimiter(sample, enc)).option("encoding", enc).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
-    if schema is None:
-        fields = reader.csv(path).schema.fields
-        schema = T.StructType([T.StructField(f.name.lstrip("﻿"), T.StringType()) for f in fields])
-    else:
-        schema = T._parse_datatype_string(schema)
-    whole = reader.schema(T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])).csv(path)
-    good = whole.filter(F.col(f"`{BAD}`").isNull()).drop(BAD).dropna("all")
-    return good, _bad_lines(whole, [f"`{f.name}`" for f in schema.fields])
+    sep = sniff_delimiter(sample, enc)
+    names = records.header(sample, enc, sep)
+    wanted = T._parse_datatype_string(schema) if schema else T.StructType([T.StructField(n, T.StringType()) for n in names])
+    if not names:
+        return spark.createDataFrame([], wanted), spark.createDataFrame([], "line string")
+    splits = ranks.saved(records.summed(spark, path))
+    odd = splits.agg(F.sum("quotes").alias("quotes"), F.sum("broken").alias("broken")).first()
+    if enc.startswith("UTF-16") or odd["quotes"] or (enc == "UTF-8" and odd["broken"]):
+        unit = {"UTF-16": "UTF-16BE" if sample[:2] == b"\xfe\xff" else "UTF-16LE"}.get(enc, enc)
+        good, bad = records.read_records(spark, path, records.Format(unit, sep, names), splits)
+        return records.typed(good, bad, wanted) if schema else (good, bad)
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", enc).option("quote", "").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("enforceSchema", True)
+    whole = reader.schema(T.StructType([*wanted.fields, T.StructField(BAD, T.StringType())])).csv(path)
+    # Without quotes the delimiters of a line tell its values; a short line is not a bad one.
+    text, cells = F.col(f"`{BAD}`"), [F.col(f"`{f.name}`") for f in wanted.fields]
+    found = F.size(F.split(text, "\\Q" + sep + "\\E", -1))
+    fits = [F.get(F.split(text, "\\Q" + sep + "\\E", -1), F.lit(i)).isin("") | c.isNotNull() | (found <= i) for i, c in enumerate(cells)]
+    short = text.isNotNull() & (found < len(cells)) & reduce(lambda a, b: a & b, fits)
+    blank = reduce(lambda a, b: a & b, [c.isNull() | (c.cast("string") == "") for c in cells])
+    good = whole.filter((text.isNull() | short) & ~blank).select(*cells)
+    return good, _bad_lines(whole.filter(text.isNull() | ~short), [f"`{f.name}`" for f in wanted.fields])
 
 
 def _one_document(sample: bytes) -> bool:
@@ -198,9 +222,9 @@ def unzip(spark: SparkSession, path: str, work: str) -> str:
     raise ValueError("unsupported: no member of a supported type in the archive")
 
 
-def read_zip(spark: SparkSession, path: str, work: str, **options) -> DataFrame:
-    """The first supported member of a ZIP file, unpacked into the shared folder ``work`` and read from there as any file of its type."""
-    return read_any(spark, unzip(spark, path, work), **options)
+def read_zip(spark: SparkSession, path: str, work: str | None = None, **options) -> DataFrame:
+    """The first supported member of a ZIP file, unpacked into the folder ``work`` (a new one beside the checkpoints, if none is named) and read from there as any file of its type."""
+    return read_any(spark, unzip(spark, path, work or f"{ranks.shared_folder(spark)}/unzipped-{uuid.uuid4().hex}"), **options)
 
 
 def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
