@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.versions import VERSION, Change, Table
+
 from . import finance, inventory, sales
 
 #: Spellings of conditions: fixed values.
@@ -105,3 +107,74 @@ def with_history(alerts: DataFrame, events: DataFrame) -> DataFrame:
     trail = events.groupBy("alert_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("events"))
     none = F.array().cast("array<struct<event_id:bigint,event_type:string>>")
     return alerts.join(trail, "alert_id", "left").withColumn("events", F.coalesce("events", none))
+
+
+def check_rule(name: str, metric: str, condition: str, threshold: float) -> None:
+    """ValueError for a rule without a name, or with an unknown metric, a condition that cannot be spelled out or a threshold that is no finite number."""
+    if not str(name).strip():
+        raise ValueError("a rule needs a name")
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(sorted(METRICS))}")
+    normalize_condition(condition)
+    try:
+        finite = abs(float(threshold)) < float("inf")
+    except (TypeError, ValueError):
+        finite = False
+    if not finite:
+        raise ValueError(f"the threshold of {name!r} is no finite number: {threshold!r}")
+
+
+class Ledger:
+    """Alerts as an append-only log of events in a versioned table: open, keep, resolve and acknowledge. A rule has one unresolved alert at most, with any number of observers."""
+
+    EVENT = "alert_id long, rule string, kind string, at timestamp, value double, severity string, who string"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.table = spark, Table(spark, f"{folder}/alerts", self.EVENT)
+
+    def events(self, version: int | None = None) -> DataFrame:
+        """Events with the id of their alert; an alert is named by the commit that opened it and its place there."""
+        opened = F.when(F.col("kind") == "open", F.shiftleft(VERSION, 20) + F.col("alert_id")).otherwise(F.col("alert_id"))
+        return self.table.read(version).withColumn("alert_id", opened).withColumnRenamed(VERSION, "event_id")
+
+    def alerts(self, version: int | None = None) -> DataFrame:
+        """alert_id, rule, status (open, acknowledged, resolved), severity, value (newest), opened_at, resolved_at, acknowledged_at, acknowledged_by, observations."""
+        when = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+        rows = self.events(version).groupBy("alert_id").agg(
+            F.first("rule").alias("rule"), F.max("severity").alias("severity"), F.max_by("value", F.when(F.col("value").isNotNull(), F.col("event_id"))).alias("value"), when("open", "at").alias("opened_at"),
+            when("resolve", "at").alias("resolved_at"), when("acknowledge", "at").alias("acknowledged_at"), when("acknowledge", "who").alias("acknowledged_by"), F.count_if(F.col("kind").isin("open", "keep")).alias("observations"),
+        )
+        status = F.when(F.col("resolved_at").isNotNull(), "resolved").when(F.col("acknowledged_at").isNotNull(), "acknowledged").otherwise("open")
+        return rows.withColumn("status", status)
+
+    def observe(self, evaluated: DataFrame, at: str) -> int:
+        """Takes evaluated rules (rule, fires, value, severity) at a time: opens, keeps or resolves their alerts. Returns the version; two observers at once never open two alerts for a rule."""
+
+        def plan(version: int) -> Change:
+            unresolved = self.alerts(version).filter("status <> 'resolved'").select("rule", F.col("alert_id").alias("known"))
+            j = evaluated.select("rule", "fires", F.col("value").cast("double").alias("value"), "severity").join(unresolved, "rule", "left")
+            kind = F.when(F.col("fires"), F.when(F.col("known").isNull(), "open").otherwise("keep")).when(F.col("known").isNotNull(), "resolve")
+            acts = j.withColumn("kind", kind).filter("kind is not null")
+            place = F.row_number().over(Window.orderBy("rule"))  # a row a rule that fires or is open
+            rows = acts.select(F.coalesce("known", place.cast("long")).alias("alert_id"), "rule", "kind", F.to_timestamp(F.lit(at)).alias("at"), "value", "severity", F.lit(None).cast("string").alias("who"))
+            return Change((self.table.stage(rows, partitions=1),))
+
+        return self.table.commit(plan)
+
+    def acknowledge(self, ids: list[int], at: str, by: str) -> list[int]:
+        """Acknowledges the named alerts that are open, and returns which were."""
+        done: list[int] = []
+
+        def plan(version: int) -> Change:
+            nonlocal done
+            mine = self.alerts(version).filter("status = 'open'").filter(F.col("alert_id").isin(*ids)).select("alert_id", "rule").collect()  # at most the named ones
+            done = sorted(r["alert_id"] for r in mine)
+            rows = [(r["alert_id"], r["rule"], "acknowledge", None, None, None, by) for r in mine]
+            frame = self.spark.createDataFrame(rows, self.EVENT).withColumn("at", F.to_timestamp(F.lit(at)))
+            return Change((self.table.stage(frame, partitions=1),) if rows else ())
+
+        self.table.commit(plan)
+        return done
+
+    def listing(self, status: str | None = None, rule: str | None = None, limit: int = 200) -> DataFrame:
+        return listing(self.alerts().withColumn("at", F.col("opened_at")), status, rule, limit).drop("at")

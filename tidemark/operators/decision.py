@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.versions import VERSION, Change, Table
+
 from . import customers, kpi, scenarios, timeseries
 
 #: What to do when a rule fires, the evidence that it rests on, and the scenario to try: (action, evidence kind, scenario, change).
@@ -81,18 +83,26 @@ def recommend(facts: DataFrame) -> DataFrame:
 
 
 class CaseLedger:
-    """Decision cases in a folder that all executors share: evidence and recommendations by case, replaced when a case is saved again, and audit rows that are only ever appended."""
+    """Decision cases as a versioned table in a folder that all executors share: evidence and recommendations by case, replaced together when a case is saved again, and audit rows that are only ever appended."""
 
+    CASE = "case_id long, subject string, saved_at timestamp, n_recommendations int, top_rule string, top_score double"
+    EVIDENCE = "case_id long, id string, kind string, status string, confidence double, note string"
+    ADVICE = "case_id long, rank int, rule string, score double, severity string, confidence double, action string, evidence_id string, scenario string, change double, summary string, limitations array<string>"
     AUDIT = "case_id long, actor string, action string, note string, at timestamp"
-    CASE = "subject string, saved_at timestamp, n_recommendations int, top_rule string, top_score double, case_id long"
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        spark.createDataFrame([], self.CASE).write.mode("append").partitionBy("case_id").parquet(f"{folder}/cases")
-        spark.createDataFrame([], self.AUDIT).write.mode("append").parquet(f"{folder}/audits")
+        self.spark = spark
+        self.tables = {n: Table(spark, f"{folder}/{n}", s) for n, s in (("cases", self.CASE), ("evidence", self.EVIDENCE), ("recommendations", self.ADVICE), ("audits", self.AUDIT))}
 
     def _put(self, rows: DataFrame, name: str, case_id: int) -> None:
-        rows.withColumn("case_id", F.lit(case_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id").parquet(f"{self.folder}/{name}")
+        table = self.tables[name]
+        part = table.stage(rows.withColumn("case_id", F.lit(case_id).cast("long")), partitions=1)  # a case has a few rows
+
+        def plan(version: int) -> Change:
+            old = [p for p, e in table.parts(version).items() if e["note"].get("case") == case_id]
+            return Change((part,), tuple(old), note={"case": case_id})
+
+        table.commit(plan, restage=False)
 
     def save(self, case_id: int, subject: str, facts: DataFrame, at: str) -> None:
         self._put(evidence_items(facts), "evidence", case_id)
@@ -103,14 +113,14 @@ class CaseLedger:
 
     def cases(self, limit: int = 50) -> DataFrame:
         """Newest first."""
-        return self.spark.read.schema(self.CASE).parquet(f"{self.folder}/cases").orderBy(F.desc("saved_at"), F.desc("case_id")).limit(limit)
+        return self.tables["cases"].read().drop(VERSION).orderBy(F.desc("saved_at"), F.desc("case_id")).limit(limit)
 
     def part(self, name: str, case_id: int) -> DataFrame:
         """``evidence``, ``recommendations`` or ``audits`` of a case."""
-        return self.spark.read.parquet(f"{self.folder}/{name}").filter(F.col("case_id") == case_id)
+        return self.tables[name].read(only=lambda e: e["note"].get("case") == case_id).drop(VERSION)
 
     def audit(self, case_id: int, actor: str, action: str, note: str, at: str) -> None:
-        if self.spark.read.schema(self.CASE).parquet(f"{self.folder}/cases").filter(F.col("case_id") == case_id).isEmpty():
+        if self.part("cases", case_id).isEmpty():
             raise ValueError(f"no case {case_id}")
         row = self.spark.createDataFrame([(case_id, actor, action, note)], "case_id long, actor string, action string, note string")
-        row.withColumn("at", F.to_timestamp(F.lit(at))).write.mode("append").parquet(f"{self.folder}/audits")
+        self.tables["audits"].append(row.withColumn("at", F.to_timestamp(F.lit(at))), note={"case": case_id}, partitions=1)

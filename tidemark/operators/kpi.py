@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.versions import VERSION, Table
+
 from .finance import finance_summary
 from .sales import sales_kpi
 
@@ -92,6 +94,52 @@ def history(snapshots: DataFrame, limit: int = 100) -> DataFrame:
     return snapshots.orderBy(F.desc("taken_at"), "name").limit(max(1, min(1000, limit)))
 
 
+class Store:
+    """Own KPI definitions and snapshots of values, as versioned tables in a folder that all executors share."""
+
+    DEFINITION = "name string, unit string, target double, warn double, crit double, up boolean, gone boolean"
+    SNAPSHOT = "name string, value double, status string, taken_at timestamp"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self._definitions, self._snapshots = Table(spark, f"{folder}/definitions", self.DEFINITION), Table(spark, f"{folder}/snapshots", self.SNAPSHOT)
+
+    def define(self, *definitions: Definition) -> None:
+        """Adds definitions; the newest of a name counts, and covers a built-in one."""
+        rows = [(d.name, d.unit, float(d.target), d.warn, d.crit, d.up, False) for d in definitions]
+        self._definitions.append(self.spark.createDataFrame(rows, self.DEFINITION), partitions=1)
+
+    def remove(self, name: str) -> None:
+        """Takes an own definition back; a built-in one of that name counts again."""
+        self._definitions.append(self.spark.createDataFrame([(name, None, None, None, None, None, True)], self.DEFINITION), partitions=1)
+
+    def own(self) -> tuple[Definition, ...]:
+        newest = F.max_by(F.struct("unit", "target", "warn", "crit", "up", "gone"), VERSION).alias("d")
+        rows = self._definitions.read().groupBy("name").agg(newest).select("name", "d.*").filter("not gone").orderBy("name").collect()  # a row a definition
+        return tuple(Definition(r["name"], r["unit"], r["target"], r["warn"], r["crit"], r["up"]) for r in rows)
+
+    def registry(self) -> dict[str, Definition]:
+        return registry(self.own())
+
+    def snapshot(self, values: DataFrame, at: str | None = None) -> DataFrame:
+        """Evaluates (name, value[, taken_at]) by the definitions in force, keeps the outcome, and returns what was kept. ``at`` dates values that have no date of their own."""
+        times = ["taken_at"] if "taken_at" in values.columns else []
+        told = values.select("name", "value", *times) if times else values.select("name", "value", F.to_timestamp(F.lit(at)).alias("taken_at") if at else F.current_timestamp().alias("taken_at"))
+        defs = self.spark.createDataFrame([(d.name, d.warn, d.crit, d.up) for d in self.registry().values()], "name string, warn double, crit double, up boolean")
+        s = status(F.col("value"), F.col("warn"), F.col("crit"), F.coalesce("up", F.lit(True)))
+        version = self._snapshots.append(told.join(F.broadcast(defs), "name", "left").select("name", "value", s.alias("status"), "taken_at"))
+        return self._snapshots.read(version, only=lambda e: e["version"] == version).drop(VERSION)
+
+    def history(self, limit: int = 100, name: str | None = None) -> DataFrame:
+        """Newest snapshots first, 1 to 1000, of all values or one."""
+        rows = self._snapshots.read().drop(VERSION)
+        return history(rows if name is None else rows.filter(F.col("name") == name), limit)
+
+    def trend(self) -> DataFrame:
+        """name, oldest, newest, change of every value over all its snapshots."""
+        return trend_direction(self._snapshots.read(), "name", "taken_at", "value")
+
+
 def trend_direction(scores: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """key, oldest, newest, change of a value over its history."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

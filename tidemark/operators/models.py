@@ -8,6 +8,7 @@ metrics and params (maps), path, dataset_version and features.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ranks
+from tidemark.sources.versions import VERSION, Change, Table
 
 from . import ml, timeseries
 
@@ -61,78 +63,105 @@ def production(log: DataFrame) -> DataFrame:
 
 
 class Registry:
-    """The log in a folder that all executors share; one writer at a time."""
+    """The log as a versioned table in a folder that all executors share; of two writers at once the second decides anew on what the first has left."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        spark.createDataFrame([], LOG).write.mode("append").parquet(f"{folder}/log")
+        self.table = Table(spark, f"{folder}/registry", LOG)
 
-    def log(self) -> DataFrame:
-        return self.spark.read.schema(LOG).parquet(f"{self.folder}/log")
+    def log(self, version: int | None = None) -> DataFrame:
+        """Rows with event ids that grow with every commit, as of a version of the log (default: the newest)."""
+        return self.table.read(version).withColumn("event_id", F.shiftleft(VERSION, 20) + F.col("event_id")).drop(VERSION)
 
-    def append(self, *rows: dict) -> None:
-        """Adds rows in order; all of one call appear together."""
-        last = self.log().agg(F.max("event_id").alias("n")).first()["n"] or 0
+    def _commit(self, decide: Callable[[DataFrame], list[dict]]) -> None:
+        """Appends the rows that ``decide`` makes of the log; all of one call appear together, none if it makes none or raises."""
         names = [c.split()[0] for c in LOG.split(", ")]
-        data = [tuple({"event_id": last + i, **r}.get(n) for n in names) for i, r in enumerate(rows, 1)]
-        frame = self.spark.createDataFrame(data, LOG).withColumn("at", F.coalesce("at", F.current_timestamp()))
-        frame.coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
 
-    def _states(self, model: str) -> dict[str, dict]:
-        found = {r["version"]: r.asDict() for r in states(self.log().filter(F.col("model") == model)).collect()}  # a row a version of one model
+        def plan(version: int) -> Change:
+            rows = decide(self.log(version))
+            if not rows:
+                return Change()
+            data = [tuple({"event_id": i, **r}.get(n) for n in names) for i, r in enumerate(rows, 1)]
+            frame = self.spark.createDataFrame(data, LOG).withColumn("at", F.coalesce("at", F.current_timestamp()))
+            return Change((self.table.stage(frame, partitions=1),))
+
+        self.table.commit(plan)
+
+    @staticmethod
+    def _states(log: DataFrame, model: str) -> dict[str, dict]:
+        found = {r["version"]: r.asDict() for r in states(log.filter(F.col("model") == model)).collect()}  # a row a version of one model
         if not found:
             raise KeyError(f"no model {model!r}")
         return found
 
     def create(self, model: str, path: str | None = None, metrics: dict[str, float] | None = None, params: dict[str, str] | None = None, dataset_version: str | None = None, features: list[str] | None = None) -> str:
         """A new version, v1 or one above the highest number, with its training run; VALIDATED if it has a path, else DRAFT."""
-        numbers = self.log().filter(F.col("model") == model).select(F.expr("try_cast(regexp_extract(version, '^v([0-9]+)$', 1) as int)").alias("n"))
-        version = f"v{(numbers.agg(F.max('n').alias('n')).first()['n'] or 0) + 1}"
-        row = {"model": model, "version": version}
-        run = row | {"kind": "run", "to_status": "done", "path": path, "metrics": metrics, "params": params, "dataset_version": dataset_version, "features": features}
-        self.append(row | {"kind": "lifecycle", "to_status": "VALIDATED" if path else "DRAFT"}, run)
-        return version
+        made = ""
+
+        def decide(log: DataFrame) -> list[dict]:
+            nonlocal made
+            numbers = log.filter(F.col("model") == model).select(F.expr("try_cast(regexp_extract(version, '^v([0-9]+)$', 1) as int)").alias("n"))
+            made = f"v{(numbers.agg(F.max('n').alias('n')).first()['n'] or 0) + 1}"
+            row = {"model": model, "version": made}
+            run = row | {"kind": "run", "to_status": "done", "path": path, "metrics": metrics, "params": params, "dataset_version": dataset_version, "features": features}
+            return [row | {"kind": "lifecycle", "to_status": "VALIDATED" if path else "DRAFT"}, run]
+
+        self._commit(decide)
+        return made
 
     def promote(self, model: str, version: str, to: str = "PRODUCTION") -> None:
         """Moves a version on. A version that enters production archives the one that serves. Staying is no move; an unknown version is a KeyError, a move that is not allowed a ValueError, and the log keeps as it is."""
-        now = self._states(model)
-        if version not in now:
-            raise KeyError(f"no version {version!r} of {model!r}")
-        if to not in MOVES:
-            raise ValueError(f"unknown status {to!r}")
-        at = now[version]["status"]
-        if at == to:
-            return
-        if to not in MOVES[at]:
-            raise ValueError(f"a version in {at} cannot move to {to}")
-        rows = [{"model": model, "version": version, "kind": "lifecycle", "to_status": to}]
-        if to == "PRODUCTION":
-            for old, s in now.items():
-                if s["status"] == "PRODUCTION":
-                    rows += [{"model": model, "version": old, "kind": k, "to_status": t, "note": f"superseded by {version}"} for k, t in (("lifecycle", "ARCHIVED"), ("deployment", "RETIRED"))]
-            rows.append({"model": model, "version": version, "kind": "deployment", "to_status": "SERVING"})
-        self.append(*rows)
+
+        def decide(log: DataFrame) -> list[dict]:
+            now = self._states(log, model)
+            if version not in now:
+                raise KeyError(f"no version {version!r} of {model!r}")
+            if to not in MOVES:
+                raise ValueError(f"unknown status {to!r}")
+            at = now[version]["status"]
+            if at == to:
+                return []
+            if to not in MOVES[at]:
+                raise ValueError(f"a version in {at} cannot move to {to}")
+            rows = [{"model": model, "version": version, "kind": "lifecycle", "to_status": to}]
+            if to == "PRODUCTION":
+                for old, s in now.items():
+                    if s["status"] == "PRODUCTION":
+                        rows += [{"model": model, "version": old, "kind": k, "to_status": t, "note": f"superseded by {version}"} for k, t in (("lifecycle", "ARCHIVED"), ("deployment", "RETIRED"))]
+                rows.append({"model": model, "version": version, "kind": "deployment", "to_status": "SERVING"})
+            return rows
+
+        self._commit(decide)
 
     def deploy(self, model: str, version: str, to: str) -> None:
-        now = self._states(model)
-        if version not in now:
-            raise KeyError(f"no version {version!r} of {model!r}")
-        if to not in DEPLOYMENT_MOVES[now[version]["deployment"]]:
-            raise ValueError(f"a deployment in {now[version]['deployment']} cannot move to {to}")
-        self.append({"model": model, "version": version, "kind": "deployment", "to_status": to})
+        def decide(log: DataFrame) -> list[dict]:
+            now = self._states(log, model)
+            if version not in now:
+                raise KeyError(f"no version {version!r} of {model!r}")
+            if to not in DEPLOYMENT_MOVES[now[version]["deployment"]]:
+                raise ValueError(f"a deployment in {now[version]['deployment']} cannot move to {to}")
+            return [{"model": model, "version": version, "kind": "deployment", "to_status": to}]
+
+        self._commit(decide)
 
     def rollback(self, model: str) -> str:
         """Archives the version in production and restores the newest archived one, whose name is returned; ValueError where either is missing."""
-        now = self._states(model)
-        serving = next((v for v, s in now.items() if s["status"] == "PRODUCTION"), None)
-        if serving is None:
-            raise ValueError(f"{model!r} has no version in production")
-        archived = {v: s for v, s in now.items() if s["status"] == "ARCHIVED"}
-        if not archived:
-            raise ValueError(f"{model!r} has no archived version to restore")
-        back = max(archived, key=lambda v: (archived[v]["created_at"], v))
-        rows = [(serving, "lifecycle", "ARCHIVED"), (serving, "deployment", "RETIRED"), (back, "rollback", "PRODUCTION"), (back, "deployment", "SERVING")]
-        self.append(*[{"model": model, "version": v, "kind": k, "to_status": t, "note": f"rollback {serving} to {back}"} for v, k, t in rows])
+        back = ""
+
+        def decide(log: DataFrame) -> list[dict]:
+            nonlocal back
+            now = self._states(log, model)
+            serving = next((v for v, s in now.items() if s["status"] == "PRODUCTION"), None)
+            if serving is None:
+                raise ValueError(f"{model!r} has no version in production")
+            archived = {v: s for v, s in now.items() if s["status"] == "ARCHIVED"}
+            if not archived:
+                raise ValueError(f"{model!r} has no archived version to restore")
+            back = max(archived, key=lambda v: (archived[v]["created_at"], v))
+            rows = [(serving, "lifecycle", "ARCHIVED"), (serving, "deployment", "RETIRED"), (back, "rollback", "PRODUCTION"), (back, "deployment", "SERVING")]
+            return [{"model": model, "version": v, "kind": k, "to_status": t, "note": f"rollback {serving} to {back}"} for v, k, t in rows]
+
+        self._commit(decide)
         return back
 
     def load(self, model: str, strict: bool = False) -> PipelineModel | None:
