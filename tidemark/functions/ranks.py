@@ -66,7 +66,13 @@ def quantiles(df: DataFrame, columns: list[Column], at: list[float]) -> DataFram
     all values of a column.
     """
     pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.cast("double").alias("v")) for i, c in enumerate(columns)])).alias("x")).select("x.i", "x.v")
-    hist = pairs.filter("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    rows = quantiles_of(pairs.filter("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")), at)
+    mine = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+    return rows.agg(*[x for i in range(len(columns)) for x in (mine(i, "q").alias(f"q{i}"), F.coalesce(mine(i, "total"), F.lit(0)).alias(f"k{i}"))])
+
+
+def quantiles_of(hist: DataFrame, at: list[float]) -> DataFrame:
+    """(i, total, q): for every i of a histogram (i, v, n) of distinct values, their number and the array of exact linearly interpolated quantiles."""
     ranked = running(hist, ["v"], sums={"upto": "n"}, group="i")
     totals = F.broadcast(ranked.groupBy("i").agg(F.max("upto").alias("total")))  # a row a column
     place = lambda p: F.lit(p) * (F.col("total") - 1)
@@ -75,9 +81,7 @@ def quantiles(df: DataFrame, columns: list[Column], at: list[float]) -> DataFram
     picked = [F.max(F.when(holds(f(place(p))), F.col("v"))).alias(f"{name}{j}") for j, p in enumerate(at) for name, f in (("lo", F.floor), ("hi", F.ceil))]
     rows = ranked.join(totals, "i").groupBy("i", "total").agg(*picked)
     blend = [F.col(f"lo{j}") + (F.col(f"hi{j}") - F.col(f"lo{j}")) * (place(p) - F.floor(place(p))) for j, p in enumerate(at)]
-    rows = rows.select("i", "total", F.array(*blend).alias("q"))
-    mine = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
-    return rows.agg(*[x for i in range(len(columns)) for x in (mine(i, "q").alias(f"q{i}"), F.coalesce(mine(i, "total"), F.lit(0)).alias(f"k{i}"))])
+    return rows.select("i", "total", F.array(*blend).alias("q"))
 
 
 def row_digest(columns: list[str]) -> list[Column]:

@@ -1,14 +1,15 @@
-"""Rule-based data quality: one aggregate pass for all rules that need no grouping, one more for each that does."""
+"""Rule-based data quality: two scans for any number of rules, and states of batches that add up."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ranks
+from tidemark.sources.versions import Change, Table
 
 KINDS = ("required", "nullable", "unique", "duplicate", "regex", "range", "enum", "referential", "datatype", "freshness", "completeness", "consistency", "validity", "schema_drift", "anomaly_ref")
 SEVERITIES = ("error", "warn")
@@ -83,86 +84,162 @@ def failing(rule: Rule) -> Column | None:
         if p.get("max") is not None:
             bad = bad | (v > p["max"] if p.get("inclusive", True) else v >= p["max"])
         return there & bad
-    if rule.type in ("enum", "referential") and "values" in p:
-        return there & ~text(c).isin([str(v) for v in p["values"]])
+    if rule.type in ("enum", "referential") and (listed := next((p[k] for k in ("allowed", "allowed_values", "values") if k in p), None)) is not None:
+        return there & ~text(c).isin([str(v) for v in listed])
     if rule.type == "datatype":
-        return ~blank(c) & ~of_type(c, p["type"])
+        return ~blank(c) & ~of_type(c, p.get("dtype", p.get("type")))
     if rule.type == "validity":
         bad = {"no_negative": number(c) < 0, "parse_date": day(c).isNull(), "parse_number": number(c).isNull()}[p["check"]]
         return there & F.coalesce(bad, F.lit(False))
     return None
 
 
-def evaluate(df: DataFrame, rules: list[Rule], as_of: str | None = None) -> DataFrame:
-    """rule_id, type, column, severity, failures, rows, passed, score; one row a rule.
+#: A rule's state: counts by slot (a rule's id, or the rows of a batch) and key. States of several batches are merged by adding counts up.
+STATE = "slot string, key string, value double, n long"
+ROWS = "*rows"
 
-    Conditions on single rows share one aggregate. Rules over groups or moments (unique, duplicate,
-    consistency, anomaly_ref, freshness, referential to a frame) take an aggregate each. A rule on a
-    missing column fails for every row.
-    """
-    spark = df.sparkSession
-    columns = set(df.columns)
-    simple, frames = [], []
-    n = F.count(F.lit(1))
-    limits: dict[str, float] = {}
+
+def _key(c: Column) -> Column:
+    """A value as text; long texts by their digest."""
+    t = c.cast("string")
+    return F.when(F.length(t) > 64, F.concat(F.lit("sha256:"), F.sha2(t, 256))).otherwise(t)
+
+
+def _same(df: DataFrame, c: str) -> Column:
+    """The key of a value, equal for values that are equal: a negative zero is a zero."""
+    v = F.col(f"`{c}`")
+    return _key(v + F.lit(0.0).cast(df.schema[c].dataType) if df.schema[c].dataType.typeName() in ("double", "float") else v)
+
+
+def state(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """What the rules need to know of a batch, in two scans whatever their number: one sums up conditions on single rows, one counts the values that unique, duplicate, referential, freshness, consistency and anomaly_ref look at."""
+    columns, n = set(df.columns), F.count(F.lit(1))
+    sums: list[tuple[str, Column]] = [(ROWS, n)]
+    cells: list[Column] = []
+    drift: list[tuple[str, str, None, int]] = []
+    cell = lambda slot, ok, key=None, value=None: F.when(ok, F.struct(F.lit(slot).alias("slot"), (F.lit(None) if key is None else key).cast("string").alias("key"), (F.lit(None) if value is None else value).cast("double").alias("value")))
     for r in rules:
-        limits[r.id] = 0.0
         if r.type == "schema_drift":
-            want = set(r.params["columns"])
-            frames.append(df.agg(n.alias("rows")).select(F.lit(r.id).alias("rule_id"), F.lit(len(want ^ columns)).cast("long").alias("failures"), "rows"))
+            drift += [(r.id, c, None, 1) for c in sorted(set(r.params["columns"]) ^ columns)]
         elif r.column and r.column not in columns:
-            simple.append((r.id, n))
+            sums.append((r.id, n))
         elif (bad := failing(r)) is not None:
-            simple.append((r.id, count_if(bad)))
-            limits[r.id] = r.params.get("max_null_ratio", 0.0) if r.type == "nullable" else 0.0
+            sums.append((r.id, count_if(bad)))
         elif r.type == "completeness":
             cols = [r.column] if r.column else df.columns
-            missing = sum((count_if(F.col(f"`{c}`").isNull()) for c in cols[1:]), count_if(F.col(f"`{cols[0]}`").isNull()))
-            simple.append((r.id, missing))
-            limits[r.id] = (1 - r.params.get("min_ratio", 1.0)) * len(cols)
-        elif r.type == "unique":
-            g = df.filter(F.col(f"`{r.column}`").isNotNull()).groupBy(f"`{r.column}`").agg(n.alias("_n"))
-            frames.append(_counted(df, g.agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("failures")), r.id))
+            sums.append((r.id, sum((count_if(F.col(f"`{c}`").isNull()) for c in cols[1:]), count_if(F.col(f"`{cols[0]}`").isNull()))))
         elif r.type == "duplicate":
-            cols = r.params.get("subset") or df.columns
-            frames.append(_counted(df, df.groupBy(*ranks.row_digest(cols)).agg(n.alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("failures")), r.id))
-        elif r.type == "referential":
-            ref = r.params["frame"].select(F.col(r.params["key"]).cast("string").alias("_ref")).distinct()
-            lost = df.filter(F.col(f"`{r.column}`").isNotNull()).join(ref, text(r.column) == F.col("_ref"), "left_anti")
-            frames.append(_counted(df, lost.agg(n.alias("failures")), r.id))
+            cells.append(cell(r.id, F.lit(True), F.concat_ws(":", *[F.hex(h) for h in ranks.row_digest(r.params.get("subset") or df.columns)])))
+        elif r.type in ("unique", "referential"):
+            cells.append(cell(r.id, F.col(f"`{r.column}`").isNotNull(), _same(df, r.column) if r.type == "unique" else _key(text(r.column))))
         elif r.type == "freshness":
-            ref = F.to_date(F.lit(as_of)) if as_of else F.current_date()
-            simple.append((r.id, F.when(F.max(day(r.column)) >= F.date_sub(ref, int(r.params["max_age_days"])), F.lit(0)).otherwise(count_if(day(r.column).isNull() | (day(r.column) < F.date_sub(ref, int(r.params["max_age_days"])))))))
-        elif r.type == "consistency":
-            v = number(r.column)
-            q = ranks.quantiles(df, [v], [0.25, 0.75])
-            q = q.select(F.get("q0", F.lit(0)).alias("_q1"), F.get("q0", F.lit(1)).alias("_q3"), F.col("k0").alias("_k"))
-            spread = F.col("_q3") - F.col("_q1")
-            out = (F.col("_k") >= 8) & (spread != 0) & ((v < F.col("_q1") - 1.5 * spread) | (v > F.col("_q3") + 1.5 * spread))
-            frames.append(df.crossJoin(F.broadcast(q)).agg(count_if(out).alias("failures"), n.alias("rows")).select(F.lit(r.id).alias("rule_id"), "failures", "rows"))
-            limits[r.id] = r.params.get("max_ratio", 0.05)
-        elif r.type == "anomaly_ref":
+            cells.append(cell(r.id, F.lit(True), day(r.column)))
+        else:  # consistency, anomaly_ref
             v = number(r.column)
-            m = df.agg(F.avg(v).alias("_m"), F.stddev_samp(v).alias("_s"), F.count(v).alias("_k"))
-            out = (F.col("_k") >= 3) & (F.col("_s") > 0) & (F.abs(F.try_divide(v - F.col("_m"), F.col("_s"))) > r.params.get("sensitivity", 3.0))
-            frames.append(df.crossJoin(F.broadcast(m)).agg(count_if(out).alias("failures"), n.alias("rows")).select(F.lit(r.id).alias("rule_id"), "failures", "rows"))
-            limits[r.id] = r.params.get("max_ratio", 0.05)
-    if simple:
-        row = df.agg(n.alias("rows"), *[c.cast("long").alias(f"f{i}") for i, (_, c) in enumerate(simple)])
-        pairs = ", ".join(f"'{rid}', f{i}" for i, (rid, _) in enumerate(simple))
-        frames.append(row.select("rows", F.expr(f"stack({len(simple)}, {pairs}) as (rule_id, failures)")).select("rule_id", "failures", "rows"))
-    out = frames[0]
+            cells.append(cell(r.id, v.isNotNull(), None, v))
+    pairs = ", ".join(f"'{slot}', f{i}" for i, (slot, _) in enumerate(sums))
+    out = df.agg(*[c.cast("long").alias(f"f{i}") for i, (_, c) in enumerate(sums)]).select(F.expr(f"stack({len(sums)}, {pairs}) as (slot, n)"))
+    out = out.select("slot", F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("value"), "n")
+    if cells:
+        seen = df.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
+        out = out.unionByName(seen.groupBy("slot", "key", "value").agg(n.alias("n")))
+    return out.unionByName(df.sparkSession.createDataFrame(drift, STATE)) if drift else out
+
+
+def merged(states: DataFrame) -> DataFrame:
+    return states.groupBy("slot", "key", "value").agg(F.sum("n").alias("n"))
+
+
+def _allowed(r: Rule, width: int) -> float:
+    """The share of failures with which a rule still passes."""
+    if r.type == "completeness":
+        return (1 - r.params.get("min_ratio", 1.0)) * (1 if r.column else width)
+    return float({"nullable": r.params.get("max_null_ratio", 0.0), "consistency": r.params.get("max_ratio", 0.05), "anomaly_ref": r.params.get("max_ratio", 0.05)}.get(r.type, 0.0))
+
+
+def results(known: DataFrame, rules: list[Rule], columns: int, as_of: str | None = None) -> DataFrame:
+    """Outcomes of the rules, as ``evaluate`` has them, from the merged state of all batches. The rows of the batches are not read; ``columns`` is their number of columns."""
+    spark = known.sparkSession
+    known = ranks.saved(known)
+    of = lambda *types: [r.id for r in rules if r.type in types]
+    slot, n, hits = F.col("slot"), F.col("n"), F.lit(0).cast("long")
+    ref = F.to_date(F.lit(as_of)) if as_of else F.current_date()
+    # A rule on a missing column has a count of its own instead of values.
+    plain = F.col("key").isNull() & F.col("value").isNull()
+    counted = known.filter(~slot.isin(*of("consistency", "anomaly_ref", "referential", "freshness", "schema_drift"), ROWS) | (plain & ~slot.isin(*of("freshness"), ROWS)))
+    by_kind = F.when(slot.isin(*of("unique")) & ~plain, F.when(n > 1, n).otherwise(hits)).when(slot.isin(*of("duplicate")) & ~plain, n - 1).otherwise(n)
+    frames = [counted.groupBy("slot").agg(F.sum(by_kind).alias("failures"))]
+    for r in rules:
+        if r.type == "freshness":
+            last, d = F.date_sub(ref, int(r.params["max_age_days"])), F.col("key").cast("date")
+            old = F.coalesce(F.sum(F.when(d.isNull() | (d < last), n)), hits)
+            frames.append(known.filter(slot == r.id).agg(F.when(F.max(d) >= last, hits).otherwise(old).alias("failures")).select(F.lit(r.id).alias("slot"), "failures"))
+        elif r.type == "referential" and "frame" in r.params:
+            there = r.params["frame"].select(_key(F.col(r.params["key"]).cast("string")).alias("key")).distinct()
+            frames.append(known.filter((slot == r.id) & ~plain).join(there, "key", "left_anti").groupBy("slot").agg(F.sum("n").alias("failures")))
+        elif r.type == "schema_drift":
+            frames.append(known.filter(slot == r.id).groupBy("slot").agg(F.countDistinct("key").alias("failures")))
+    values = known.filter(F.col("value").isNotNull())
+    if fences := of("consistency"):
+        hist = values.filter(slot.isin(*fences)).select(slot.alias("i"), F.col("value").alias("v"), "n")
+        q = ranks.quantiles_of(hist, [0.25, 0.75]).select("i", "total", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
+        spread = F.col("q3") - F.col("q1")
+        out = (F.col("total") >= 8) & (spread != 0) & ((F.col("v") < F.col("q1") - 1.5 * spread) | (F.col("v") > F.col("q3") + 1.5 * spread))
+        frames.append(hist.join(F.broadcast(q), "i").groupBy(F.col("i").alias("slot")).agg(F.sum(F.when(out, n).otherwise(hits)).alias("failures")))  # q has a row a rule
+    if moments := of("anomaly_ref"):
+        hist = values.filter(slot.isin(*moments))
+        sense = F.create_map(*[F.lit(x) for r in rules if r.type == "anomaly_ref" for x in (r.id, float(r.params.get("sensitivity", 3.0)))])
+        mean = F.broadcast(hist.groupBy("slot").agg((F.sum(F.col("value") * n) / F.sum("n")).alias("m"), F.sum("n").alias("k")))
+        far = hist.join(mean, "slot")
+        sd = F.broadcast(far.groupBy("slot").agg(F.sqrt(F.try_divide(F.sum(n * (F.col("value") - F.col("m")) ** 2), F.max("k") - 1)).alias("sd")))
+        out = (F.col("k") >= 3) & (F.col("sd") > 0) & (F.abs(F.try_divide(F.col("value") - F.col("m"), F.col("sd"))) > sense[slot])
+        frames.append(far.join(sd, "slot").groupBy("slot").agg(F.sum(F.when(out, n).otherwise(hits)).alias("failures")))
+    found = frames[0]
     for f in frames[1:]:
-        out = out.unionByName(f)
-    meta = spark.createDataFrame([(r.id, r.type, r.column, r.severity, float(limits[r.id])) for r in rules], "rule_id string, type string, column string, severity string, allowed double")
+        found = found.unionByName(f)
+    found = found.groupBy(F.col("slot").alias("rule_id")).agg(F.sum("failures").alias("failures"))
+    meta = spark.createDataFrame([(r.id, r.type, r.column, r.severity, _allowed(r, columns)) for r in rules], "rule_id string, type string, column string, severity string, allowed double")
+    rows = known.filter(slot == ROWS).agg(F.coalesce(F.sum("n"), hits).alias("rows"))
+    whole = meta.join(F.broadcast(found), "rule_id", "left").crossJoin(F.broadcast(rows)).withColumn("failures", F.coalesce("failures", hits))  # a row a rule
     ratio = F.col("failures") / F.greatest("rows", F.lit(1))
-    passed = F.when(F.col("type") == "schema_drift", F.col("failures") == 0).otherwise(ratio <= F.col("allowed"))
-    score = F.when(F.col("rows") == 0, 0.0).when(F.col("type") == "schema_drift", (F.col("failures") == 0).cast("double")).otherwise(F.greatest(F.lit(0.0), 1 - ratio))
-    return out.join(F.broadcast(meta), "rule_id").select("rule_id", "type", "column", "severity", F.col("failures").cast("long").alias("failures"), F.col("rows").cast("long").alias("rows"), passed.alias("passed"), F.round(score, 6).alias("score"))
+    drift = F.col("type") == "schema_drift"
+    passed = F.when(drift, F.col("failures") == 0).otherwise(ratio <= F.col("allowed"))
+    score = F.when(F.col("rows") == 0, 0.0).when(drift, (F.col("failures") == 0).cast("double")).otherwise(F.greatest(F.lit(0.0), 1 - ratio))
+    return whole.select("rule_id", "type", "column", "severity", F.col("failures").cast("long").alias("failures"), F.col("rows").cast("long").alias("rows"), passed.alias("passed"), F.round(score, 6).alias("score"))
+
+
+def evaluate(df: DataFrame, rules: list[Rule], as_of: str | None = None) -> DataFrame:
+    """rule_id, type, column, severity, failures, rows, passed, score; one row a rule.
+
+    The rows are read twice, whatever the number of rules; everything else comes from their ``state``. A rule on a
+    missing column fails for every row.
+    """
+    return results(state(df, rules), rules, len(df.columns), as_of)
+
+
+class Incremental:
+    """Quality of a table that grows by batches: each batch's state is kept in a versioned table, and outcomes come from the merged states without reading old rows."""
 
+    def __init__(self, spark: SparkSession, folder: str, rules: list[Rule]):
+        self.rules, self.table = rules, Table(spark, folder, STATE + ", columns int")
 
-def _counted(df: DataFrame, failures: DataFrame, rule_id: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("rows")).crossJoin(failures).select(F.lit(rule_id).alias("rule_id"), "failures", "rows")
+    def add(self, batch: DataFrame) -> int:
+        return self.table.append(state(batch, self.rules).withColumn("columns", F.lit(len(batch.columns))))
+
+    def results(self, as_of: str | None = None, version: int | None = None) -> DataFrame:
+        rows = self.table.read(version)
+        width = rows.agg(F.max("columns")).first()[0] or 0
+        return results(merged(rows), self.rules, width, as_of)
+
+    def compact(self) -> int:
+        """One merged state in place of those of all batches."""
+
+        def plan(version: int) -> Change:
+            rows = self.table.read(version)
+            whole = merged(rows).crossJoin(F.broadcast(rows.agg(F.max("columns").alias("columns"))))
+            return Change((self.table.stage(whole),), tuple(self.table.parts(version)))
+
+        return self.table.commit(plan)
 
 
 def verdict(results: DataFrame) -> DataFrame:
@@ -171,15 +248,32 @@ def verdict(results: DataFrame) -> DataFrame:
     return results.agg(F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("score"), F.when(bad("error"), "fail").when(bad("warn"), "warn").otherwise("pass").alias("verdict"))
 
 
-#: Built-in rule sets: fixed values.
+#: Built-in rule sets: fixed values (ids, columns, types, parameters, severities).
 PROFILES = {
     "sales_strict": [
-        Rule("transaction_date_required", "required", "transaction_date"), Rule("product_required", "required", "product_name"), Rule("quantity_positive", "range", "quantity", {"min": 0}),
-        Rule("revenue_not_negative", "validity", "revenue", {"check": "no_negative"}), Rule("no_duplicate_rows", "duplicate", None, {}, "warn"),
+        Rule("customer_required", "required", "customer", {}, "error"),
+        Rule("product_required", "required", "product", {}, "error"),
+        Rule("quantity_valid", "validity", "quantity", {"check": "no_negative"}, "error"),
+        Rule("price_valid", "validity", "price", {"check": "parse_number"}, "error"),
+        Rule("date_fresh", "freshness", "date", {"max_age_days": 90}, "warn"),
+        Rule("no_exact_duplicates", "duplicate", None, {}, "warn"),
+        Rule("branch_known", "referential", "branch", {"allowed_values": ["Jakarta", "Bandung", "Surabaya"]}, "warn"),
     ],
-    "inventory_standard": [Rule("product_required", "required", "product_name"), Rule("stock_not_negative", "validity", "stock_qty", {"check": "no_negative"}), Rule("date_parses", "validity", "snapshot_date", {"check": "parse_date"})],
-    "customers_pii_aware": [Rule("name_required", "required", "customer_name"), Rule("code_unique", "unique", "customer_code"), Rule("complete", "completeness", None, {"min_ratio": 0.9}, "warn")],
-}
+    "inventory_standard": [
+        Rule("product_required", "required", "product", {}, "error"),
+        Rule("warehouse_required", "required", "warehouse", {}, "error"),
+        Rule("stock_valid", "validity", "stock_qty", {"check": "no_negative"}, "error"),
+        Rule("stock_range", "range", "stock_qty", {"min": 0, "max": 1000000}, "warn"),
+        Rule("no_exact_duplicates", "duplicate", None, {}, "error"),
+    ],
+    "customers_pii_aware": [
+        Rule("customer_required", "required", "customer", {}, "error"),
+        Rule("email_format", "regex", "email", {"pattern": r"^[^@\s]+@[^@\s]+\.[^@\s]+$"}, "error"),
+        Rule("phone_type", "datatype", "phone", {"dtype": "string"}, "warn"),
+        Rule("segment_known", "enum", "segment", {"allowed": ["new", "regular", "vip", "churned"]}, "warn"),
+        Rule("customer_unique", "unique", "customer", {}, "error"),
+    ],
+}
 
 
 def import_score(df: DataFrame) -> DataFrame:
