@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.versions import VERSION, Change, Table
 
-from . import finance, inventory, sales
+from .rollup import Rollup
 
 #: Spellings of conditions: fixed values.
 CONDITIONS = {">": ">", "gt": ">", "above": ">", ">=": ">=", "gte": ">=", "<": "<", "lt": "<", "below": "<", "<=": "<=", "lte": "<=", "==": "==", "=": "==", "eq": "==", "!=": "!=", "ne": "!="}
@@ -42,13 +42,13 @@ def trailing(frame: DataFrame, days: int = 1, today: str | None = None) -> DataF
 
 
 def metric_values(frame: DataFrame, stock: DataFrame | None = None) -> DataFrame:
-    """(metric, value) of every metric over a sales frame, which the caller has cut to the window, and the newest stock; without stock its counts are 0."""
-    kpi = sales.sales_kpi(frame)
-    branches = sales.branch_kpi(frame).agg(F.coalesce(F.max("revenue"), F.lit(0.0)).alias("top"), F.count(F.lit(1)).cast("double").alias("branches"))
-    money = finance.finance_summary(frame).select("net_profit", F.col("margin_pct").alias("net_margin"))
-    row = kpi.crossJoin(branches).crossJoin(money)  # one row each
+    """(metric, value) of every metric over a sales frame, which the caller has cut to the window, and the newest stock; without stock its counts are 0. The frame is rolled up once."""
+    known = Rollup.of(frame)
+    branches = known.shares("branch").agg(F.coalesce(F.max("revenue"), F.lit(0.0)).alias("top"), F.count(F.lit(1)).cast("double").alias("branches"))
+    money = known.finance().select("net_profit", F.col("margin_pct").alias("net_margin"))
+    row = known.kpi().crossJoin(branches).crossJoin(money)  # one row each
     if stock is not None:
-        health = inventory.inventory_health(stock, frame)
+        health = known.inventory(stock)
         low = F.count_if(F.col("stockout_risk").isin("critical", "high")).cast("double")
         row = row.crossJoin(health.agg(low.alias("low"), F.count_if("dead_stock").cast("double").alias("dead"), F.coalesce(F.min("days_of_stock"), F.lit(0.0)).alias("least")))
     else:

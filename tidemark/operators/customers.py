@@ -40,7 +40,12 @@ def rfm(df: DataFrame, ref_date: str | None = None) -> DataFrame:
     """customer, recency_days, frequency, monetary, r_score, f_score, m_score, segment. Undated rows are left out; ``ref_date`` defaults to the last date there is."""
     d = df.filter(F.col("transaction_date").isNotNull())
     g = d.groupBy(F.col("customer_name").alias("customer")).agg(F.max("transaction_date").alias("last"), F.count(F.lit(1)).alias("frequency"), F.sum("revenue").alias("money"))
-    g = ranks.saved(g)  # a row a customer, read for each of the three scores
+    return rfm_of(g, ref_date)
+
+
+def rfm_of(g: DataFrame, ref_date: str | None = None) -> DataFrame:
+    """``rfm`` from (customer, last, frequency, money), a row a customer."""
+    g = ranks.saved(g)  # read for each of the three scores
     ref = F.broadcast(g.agg((F.to_date(F.lit(ref_date)) if ref_date else F.max("last")).alias("ref")))
     g = g.crossJoin(ref).select("customer", F.greatest(F.datediff("ref", "last"), F.lit(0)).alias("recency_days"), "frequency", "money")
     out = g

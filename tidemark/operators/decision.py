@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.versions import VERSION, Change, Table
 
-from . import customers, kpi, scenarios, timeseries
+from . import anomaly, kpi, scenarios, timeseries
+from .rollup import Rollup
 
 #: What to do when a rule fires, the evidence that it rests on, and the scenario to try: (action, evidence kind, scenario, change).
 ADVICE = {
@@ -21,23 +22,33 @@ LIMITATIONS = ("Only available evidence counts; a missing source is left out, no
 KINDS = ("kpi", "anomaly", "forecast", "ml_prediction")
 
 
-def evidence(sales: DataFrame, expenses: DataFrame | None = None, horizon: int = 14) -> DataFrame:
+def evidence(sales: DataFrame, expenses: DataFrame | None = None, horizon: int = 14, detectors: str = "all") -> DataFrame:
     """One row with the facts that ``scenarios.decisions`` reads, and four confidences (3 digits; 0: no such evidence).
 
     Confidences: KPI rows / 30, up to 1; anomalies .4 + days / 60, up to .9, from 6 days on; forecast
     .75, or .45 where its interval has no error spread to rest on; customers / 20, .3 to 1. Facts of a
     source without evidence are null. Customers at risk are those of the RFM segment of that name.
+    Anomalies come from all four detectors, or from ``deviation`` alone. The sales are rolled up once;
+    all sources of evidence read the rollup.
     """
+    return evidence_of(Rollup.of(sales), expenses, horizon, detectors)
+
+
+def evidence_of(rolled: Rollup, expenses: DataFrame | None = None, horizon: int = 14, detectors: str = "all") -> DataFrame:
+    """``evidence`` from a rollup."""
+    if detectors not in ("all", "deviation"):
+        raise ValueError("detectors is all or deviation")
     name = F.col("name")
-    values = kpi.evaluate(sales.sparkSession, kpi.kpi_values(sales, None, expenses)).agg(
+    values = kpi.evaluate(rolled.cells.sparkSession, kpi.values_of(rolled, None, expenses)).agg(
         F.max(F.when(name == "revenue", F.col("value"))).alias("revenue"), F.max(F.when(name == "growth_pct", F.col("value"))).alias("growth"), F.max(F.when(name == "margin_pct", F.col("status"))).alias("margin")
     )
-    series = timeseries.daily(sales)
-    odd = timeseries.outliers(series).agg(F.count(F.lit(1)).alias("n_points"), F.count_if("anomaly").alias("odd"), F.max(F.when(F.col("anomaly"), F.col("score"))).alias("peak"))
+    series = rolled.series()
+    seen = anomaly.detect(series) if detectors == "all" else timeseries.outliers(series)
+    odd = seen.agg(F.count(F.lit(1)).alias("n_points"), F.count_if("anomaly").alias("odd"), F.max(F.when(F.col("anomaly"), F.col("score"))).alias("peak"))
     spread = timeseries.walk_forward_errors(series).agg(F.coalesce(F.max("error") > F.min("error"), F.lit(False)).alias("spread"))
     ahead = timeseries.baseline_forecast(series, horizon).agg(F.min_by("yhat", "ds").alias("first_yhat"), F.max_by("yhat", "ds").alias("last_yhat"), F.count(F.lit(1)).alias("n_periods"))
-    people = customers.rfm(sales).agg(F.count(F.lit(1)).alias("n_customers"), F.count_if(F.col("segment") == "at_risk").alias("risky"))
-    row = sales.agg(F.count(F.lit(1)).alias("n_rows"))
+    people = rolled.rfm().agg(F.count(F.lit(1)).alias("n_customers"), F.count_if(F.col("segment") == "at_risk").alias("risky"))
+    row = rolled.days().agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_rows"))
     for part in (values, odd, spread, ahead, people):
         row = row.crossJoin(part)  # each has one row
     some, points, known = F.col("n_rows") > 0, F.col("n_points") >= 6, F.col("n_customers") > 0

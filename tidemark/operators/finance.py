@@ -65,6 +65,11 @@ def finance_summary(sales: DataFrame, purchases: DataFrame | None = None, expens
     """
     cost = line_costs(sales.columns, "cost_price", total_first=False)
     row = sales.agg(F.coalesce(F.sum(net_revenue(sales.columns)), F.lit(0).cast(WIDE)).cast(WIDE).alias("rev"), F.coalesce(F.sum(cost), F.lit(0).cast(WIDE)).cast(WIDE).alias("own"))
+    return summary_of(row, purchases, expenses)
+
+
+def summary_of(row: DataFrame, purchases: DataFrame | None = None, expenses: DataFrame | None = None) -> DataFrame:
+    """``finance_summary`` from the sums of a sales frame: one row with ``rev`` (revenue) and ``own`` (cost of its rows)."""
     zero = F.lit(0).cast(WIDE)
     bought = _one(purchases, line_costs(purchases.columns, "cost", total_first=True), "bought") if purchases is not None else None
     row = row.crossJoin(bought) if bought is not None else row.withColumn("bought", zero)

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.versions import VERSION, Table
 
-from .finance import finance_summary
-from .sales import sales_kpi
+from .rollup import Rollup
 
 VALUES = ("revenue", "orders", "units", "aov", "growth_pct", "margin_pct", "total_revenue", "total_cogs", "total_expenses", "gross_profit", "net_profit")
 
@@ -50,8 +49,13 @@ def registry(own: tuple[Definition, ...] = ()) -> dict[str, Definition]:
 
 
 def kpi_values(sales: DataFrame, purchases: DataFrame | None = None, expenses: DataFrame | None = None) -> DataFrame:
-    """(name, value) of all eleven values, as a long frame."""
-    row = sales_kpi(sales).drop("margin_pct").crossJoin(finance_summary(sales, purchases, expenses))
+    """(name, value) of all eleven values, as a long frame, from one scan of the sales and a second of one day."""
+    return values_of(Rollup.of(sales), purchases, expenses)
+
+
+def values_of(known: Rollup, purchases: DataFrame | None = None, expenses: DataFrame | None = None) -> DataFrame:
+    """``kpi_values`` from a rollup."""
+    row = known.kpi().drop("margin_pct").crossJoin(known.finance(purchases, expenses))
     return row.select(F.expr(f"stack({len(VALUES)}, {', '.join(f'{v!r}, cast({v} as double)' for v in VALUES)}) as (name, value)"))
 
 

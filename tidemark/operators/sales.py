@@ -70,35 +70,46 @@ def apply_filters(df: DataFrame, date_from: str | None = None, date_to: str | No
     return df
 
 
-def half_split(df: DataFrame) -> DataFrame:
+def day_sums(df: DataFrame) -> DataFrame:
+    """(transaction_date, n, r, q): rows, revenue and quantity of each day."""
+    q = F.sum("quantity") if "quantity" in df.columns else F.lit(None).cast("double")
+    return df.groupBy("transaction_date").agg(F.count(F.lit(1)).alias("n"), F.sum("revenue").alias("r"), q.alias("q"))
+
+
+def half_split(df: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """One row: revenue of the first floor(n/2) rows by date (nulls last; ties by order, line, revenue) and of the rest.
 
-    Only the day on which the half falls is ranked row by row, in ranges; every other day is summed whole.
+    ``days`` are the frame's ``day_sums``, which are made where they are not given. Only the day on which the half falls
+    is read again and ranked row by row, in ranges; every other day is summed whole.
     """
-    days = df.groupBy("transaction_date").agg(F.count(F.lit(1)).alias("n"), F.sum("revenue").alias("r"))
-    w = Window.orderBy(F.col("transaction_date").asc_nulls_last())
+    w = Window.orderBy(F.col("transaction_date").asc_nulls_last())  # a row a day
+    days = ranks.saved(day_sums(df)) if days is None else days
     days = days.select("transaction_date", "n", "r", (F.sum("n").over(w) - F.col("n")).alias("before"), F.floor(F.sum("n").over(Window.partitionBy()) / 2).alias("half"))
     whole = days.agg(F.sum(F.when(F.col("before") + F.col("n") <= F.col("half"), F.col("r"))).alias("whole"), F.sum("r").alias("all"))
-    cut = days.filter((F.col("before") < F.col("half")) & (F.col("before") + F.col("n") > F.col("half"))).select(F.col("transaction_date").alias("day"), (F.col("half") - F.col("before")).alias("take"))
-    part = df.join(F.broadcast(cut), F.col("transaction_date").eqNullSafe(F.col("day"))).select("order_key", "line_number", "revenue", "take")
-    part = ranks.running(part, ["order_key", "line_number", "revenue"], rank="i")
-    part = part.agg(F.sum(F.when(F.col("i") <= F.col("take"), F.col("revenue"))).alias("part"))
     zero = F.lit(0).cast("decimal(28,4)")
+    cut = days.filter((F.col("before") < F.col("half")) & (F.col("before") + F.col("n") > F.col("half"))).select("transaction_date", (F.col("half") - F.col("before")).alias("take")).first()
+    if cut is None:
+        part = whole.select(zero.alias("part")).limit(1)
+    else:
+        day = F.col("transaction_date").isNull() if cut["transaction_date"] is None else F.col("transaction_date") == F.lit(cut["transaction_date"])
+        part = ranks.running(df.filter(day).select("order_key", "line_number", "revenue"), ["order_key", "line_number", "revenue"], rank="i")
+        part = part.agg(F.sum(F.when(F.col("i") <= cut["take"], F.col("revenue"))).alias("part"))
     first = F.coalesce("whole", zero) + F.coalesce("part", zero)
     return whole.crossJoin(part).select(first.cast("double").alias("first_half"), (F.coalesce("all", zero) - first).cast("double").alias("second_half"))
 
 
-def growth(df: DataFrame) -> DataFrame:
+def growth(df: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """One row: growth_pct of the second half's revenue on the first's; 0 if the first half has none."""
-    return half_split(df).select("first_half", "second_half", pct(F.col("second_half") - F.col("first_half"), F.col("first_half")).alias("growth_pct"))
+    return half_split(df, days).select("first_half", "second_half", pct(F.col("second_half") - F.col("first_half"), F.col("first_half")).alias("growth_pct"))
 
 
-def sales_kpi(df: DataFrame) -> DataFrame:
-    """One row: revenue, orders (rows), units, aov, growth_pct, margin_pct (0: the frame has no costs here)."""
-    n = F.count(F.lit(1))
-    aov = F.when(n > 0, F.round(F.sum("revenue").cast("double") / n, 2)).otherwise(F.lit(0.0))
-    base = df.agg(total(F.col("revenue")).alias("revenue"), n.alias("orders"), F.coalesce(F.round(F.sum("quantity"), 2), F.lit(0.0)).alias("units"), aov.alias("aov"))
-    return base.crossJoin(growth(df).select("growth_pct")).withColumn("margin_pct", F.lit(0.0))
+def sales_kpi(df: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """One row: revenue, orders (rows), units, aov, growth_pct, margin_pct (0: the frame has no costs here), from the frame's ``day_sums``."""
+    days = ranks.saved(day_sums(df)) if days is None else days
+    n = F.coalesce(F.sum("n"), F.lit(0).cast("long"))
+    aov = F.when(n > 0, F.round(F.sum("r").cast("double") / n, 2)).otherwise(F.lit(0.0))
+    base = days.agg(total(F.col("r")).alias("revenue"), n.alias("orders"), F.coalesce(F.round(F.sum("q"), 2), F.lit(0.0)).alias("units"), aov.alias("aov"))
+    return base.crossJoin(growth(df, days).select("growth_pct")).withColumn("margin_pct", F.lit(0.0))
 
 
 def period(granularity: str) -> Column:

@@ -19,7 +19,7 @@ conf AS (SELECT *, round(least(1, n_rows / 30.0), 3)::DOUBLE AS kc, round(least(
 
 
 def facts(spark, sf_dir):
-    return decision.evidence(star.sales(spark, sf_dir), star.expenses(spark, sf_dir), 28)
+    return decision.evidence(star.sales(spark, sf_dir), star.expenses(spark, sf_dir), 28, detectors="deviation")
 
 
 @register(
