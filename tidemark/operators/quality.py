@@ -94,33 +94,38 @@ def failing(rule: Rule) -> Column | None:
     return None
 
 
-#: A rule's state: counts by slot (a rule's id, or the rows of a batch) and key. States of several batches are merged by adding counts up.
-STATE = "slot string, key string, value double, n long"
+#: A state: counts by slot (a rule's id, ``values of`` a column, or the rows of a batch) and what was seen: a digest, a text or a number. States of several batches are merged by adding counts up.
+STATE = "slot string, h1 long, h2 long, key string, value double, n long"
+SEEN = ("slot", "h1", "h2", "key", "value")
 ROWS = "*rows"
 
 
-def _key(c: Column) -> Column:
-    """A value as text; long texts by their digest."""
-    t = c.cast("string")
-    return F.when(F.length(t) > 64, F.concat(F.lit("sha256:"), F.sha2(t, 256))).otherwise(t)
+def _values(column: str) -> str:
+    return f"values of {column}"
 
 
-def _same(df: DataFrame, c: str) -> Column:
-    """The key of a value, equal for values that are equal: a negative zero is a zero."""
-    v = F.col(f"`{c}`")
-    return _key(v + F.lit(0.0).cast(df.schema[c].dataType) if df.schema[c].dataType.typeName() in ("double", "float") else v)
+def _digest(df: DataFrame, columns: list[str]) -> list[Column]:
+    """128 bits of the values in columns; a negative zero is a zero."""
+    fine = {c: F.col(f"`{c}`") + F.lit(0.0).cast(df.schema[c].dataType) if df.schema[c].dataType.typeName() in ("double", "float") else F.col(f"`{c}`") for c in columns}
+    values = [x for v in fine.values() for x in (v, v.isNull())]
+    return [F.xxhash64(*values), F.xxhash64(F.lit("second"), *values)]
 
 
 def state(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """What the rules need to know of a batch, in two scans whatever their number: one sums up conditions on single rows, one counts the values that unique, duplicate, referential, freshness, consistency and anomaly_ref look at."""
+    """What the rules need to know of a batch, in two scans whatever their number: one sums up conditions on single rows, one counts what unique, duplicate, referential, freshness, consistency and anomaly_ref look at. Equal values are told by 128-bit digests."""
     columns, n = set(df.columns), F.count(F.lit(1))
     sums: list[tuple[str, Column]] = [(ROWS, n)]
-    cells: list[Column] = []
-    drift: list[tuple[str, str, None, int]] = []
-    cell = lambda slot, ok, key=None, value=None: F.when(ok, F.struct(F.lit(slot).alias("slot"), (F.lit(None) if key is None else key).cast("string").alias("key"), (F.lit(None) if value is None else value).cast("double").alias("value")))
+    drift: list[tuple] = []
+    slots: dict[str, Column] = {}
+    kinds = (("h1", "long"), ("h2", "long"), ("key", "string"), ("value", "double"))
+
+    def seen(slot: str, ok: Column, **what: Column) -> None:
+        if slot not in slots:
+            slots[slot] = F.when(ok, F.struct(F.lit(len(slots)).alias("i"), *[what.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds]))
+
     for r in rules:
         if r.type == "schema_drift":
-            drift += [(r.id, c, None, 1) for c in sorted(set(r.params["columns"]) ^ columns)]
+            drift += [(r.id, None, None, c, None, 1) for c in sorted(set(r.params["columns"]) ^ columns)]
         elif r.column and r.column not in columns:
             sums.append((r.id, n))
         elif (bad := failing(r)) is not None:
@@ -128,26 +133,28 @@ def state(df: DataFrame, rules: list[Rule]) -> DataFrame:
         elif r.type == "completeness":
             cols = [r.column] if r.column else df.columns
             sums.append((r.id, sum((count_if(F.col(f"`{c}`").isNull()) for c in cols[1:]), count_if(F.col(f"`{cols[0]}`").isNull()))))
-        elif r.type == "duplicate":
-            cells.append(cell(r.id, F.lit(True), F.concat_ws(":", *[F.hex(h) for h in ranks.row_digest(r.params.get("subset") or df.columns)])))
-        elif r.type in ("unique", "referential"):
-            cells.append(cell(r.id, F.col(f"`{r.column}`").isNotNull(), _same(df, r.column) if r.type == "unique" else _key(text(r.column))))
+        elif r.type in ("duplicate", "unique"):
+            one, two = _digest(df, [r.column] if r.type == "unique" else r.params.get("subset") or df.columns)
+            seen(r.id, F.col(f"`{r.column}`").isNotNull() if r.type == "unique" else F.lit(True), h1=one, h2=two)
+        elif r.type == "referential":
+            t = text(r.column)
+            seen(r.id, t.isNotNull(), h1=F.xxhash64(t), h2=F.xxhash64(F.lit("second"), t))
         elif r.type == "freshness":
-            cells.append(cell(r.id, F.lit(True), day(r.column)))
+            seen(r.id, F.lit(True), key=day(r.column))
         else:  # consistency, anomaly_ref
             v = number(r.column)
-            cells.append(cell(r.id, v.isNotNull(), None, v))
+            seen(_values(r.column), v.isNotNull(), value=v)
     pairs = ", ".join(f"'{slot}', f{i}" for i, (slot, _) in enumerate(sums))
     out = df.agg(*[c.cast("long").alias(f"f{i}") for i, (_, c) in enumerate(sums)]).select(F.expr(f"stack({len(sums)}, {pairs}) as (slot, n)"))
-    out = out.select("slot", F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("value"), "n")
-    if cells:
-        seen = df.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
-        out = out.unionByName(seen.groupBy("slot", "key", "value").agg(n.alias("n")))
+    out = out.select("slot", *[F.lit(None).cast(t).alias(c) for c, t in kinds], "n")
+    if slots:
+        rows = df.select(F.explode(F.array_compact(F.array(*slots.values()))).alias("x")).select("x.*").groupBy("i", *[c for c, _ in kinds]).agg(n.alias("n"))
+        out = out.unionByName(rows.select(F.get(F.array(*[F.lit(s) for s in slots]), F.col("i")).alias("slot"), *[c for c, _ in kinds], "n"))
     return out.unionByName(df.sparkSession.createDataFrame(drift, STATE)) if drift else out
 
 
 def merged(states: DataFrame) -> DataFrame:
-    return states.groupBy("slot", "key", "value").agg(F.sum("n").alias("n"))
+    return states.groupBy(*SEEN).agg(F.sum("n").alias("n"))
 
 
 def _allowed(r: Rule, width: int) -> float:
@@ -161,46 +168,45 @@ def results(known: DataFrame, rules: list[Rule], columns: int, as_of: str | None
     """Outcomes of the rules, as ``evaluate`` has them, from the merged state of all batches. The rows of the batches are not read; ``columns`` is their number of columns."""
     spark = known.sparkSession
     known = ranks.saved(known)
+    slot, n, zero = F.col("slot"), F.col("n"), F.lit(0).cast("long")
     of = lambda *types: [r.id for r in rules if r.type in types]
-    slot, n, hits = F.col("slot"), F.col("n"), F.lit(0).cast("long")
-    ref = F.to_date(F.lit(as_of)) if as_of else F.current_date()
-    # A rule on a missing column has a count of its own instead of values.
-    plain = F.col("key").isNull() & F.col("value").isNull()
-    counted = known.filter(~slot.isin(*of("consistency", "anomaly_ref", "referential", "freshness", "schema_drift"), ROWS) | (plain & ~slot.isin(*of("freshness"), ROWS)))
-    by_kind = F.when(slot.isin(*of("unique")) & ~plain, F.when(n > 1, n).otherwise(hits)).when(slot.isin(*of("duplicate")) & ~plain, n - 1).otherwise(n)
-    frames = [counted.groupBy("slot").agg(F.sum(by_kind).alias("failures"))]
+    # A rule on a missing column has a count of its own instead of what was seen.
+    told, d = F.col("h1").isNotNull(), F.col("key").cast("date")
+    ages = F.create_map(*[F.lit(x) for r in rules if r.type == "freshness" for x in (r.id, int(r.params["max_age_days"]))]) if of("freshness") else None
+    last = F.date_sub(F.to_date(F.lit(as_of)) if as_of else F.current_date(), ages[slot]) if ages is not None else F.lit(None).cast("date")
+    fails = F.when(slot.isin(*of("unique")) & told, F.when(n > 1, n).otherwise(zero)).when(slot.isin(*of("duplicate")) & told, n - 1).when(slot.isin(*of("schema_drift")), 1)
+    fails = fails.when(slot.isin(*of("freshness")) & (d >= last), zero).when(slot.isin(*of("referential")) & told, zero).otherwise(n)
+    fresh = F.max(F.when(slot.isin(*of("freshness")) & (d >= last), 1))
+    frames = [known.filter("value is null").groupBy("slot").agg(F.when(fresh == 1, zero).otherwise(F.sum(fails)).alias("failures"))]
     for r in rules:
-        if r.type == "freshness":
-            last, d = F.date_sub(ref, int(r.params["max_age_days"])), F.col("key").cast("date")
-            old = F.coalesce(F.sum(F.when(d.isNull() | (d < last), n)), hits)
-            frames.append(known.filter(slot == r.id).agg(F.when(F.max(d) >= last, hits).otherwise(old).alias("failures")).select(F.lit(r.id).alias("slot"), "failures"))
-        elif r.type == "referential" and "frame" in r.params:
-            there = r.params["frame"].select(_key(F.col(r.params["key"]).cast("string")).alias("key")).distinct()
-            frames.append(known.filter((slot == r.id) & ~plain).join(there, "key", "left_anti").groupBy("slot").agg(F.sum("n").alias("failures")))
-        elif r.type == "schema_drift":
-            frames.append(known.filter(slot == r.id).groupBy("slot").agg(F.countDistinct("key").alias("failures")))
-    values = known.filter(F.col("value").isNotNull())
-    if fences := of("consistency"):
-        hist = values.filter(slot.isin(*fences)).select(slot.alias("i"), F.col("value").alias("v"), "n")
-        q = ranks.quantiles_of(hist, [0.25, 0.75]).select("i", "total", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
+        if r.type == "referential" and "frame" in r.params:
+            t = F.col(r.params["key"]).cast("string")
+            there = r.params["frame"].select(F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("second"), t).alias("h2")).distinct()
+            frames.append(known.filter((slot == r.id) & told).join(there, ["h1", "h2"], "left_anti").groupBy("slot").agg(F.sum("n").alias("failures")))
+    measured = sorted({r.column for r in rules if r.type in ("consistency", "anomaly_ref")})
+    if measured:
+        hist = ranks.saved(known.filter(F.col("value").isNotNull()).select(slot.alias("i"), F.col("value").alias("v"), "n"))
+        fences = [_values(r.column) for r in rules if r.type == "consistency"]
+        q = ranks.quantiles_of(hist.filter(F.col("i").isin(*fences)), [0.25, 0.75]).select("i", "total", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3")) if fences else spark.createDataFrame([], "i string, total long, q1 double, q3 double")
+        m = hist.groupBy("i").agg((F.sum(F.col("v") * n) / F.sum("n")).alias("m"), F.sum("n").alias("k"))
+        far = hist.join(F.broadcast(m), "i")  # a row a column
+        sd = far.groupBy("i").agg(F.sqrt(F.try_divide(F.sum(n * (F.col("v") - F.col("m")) ** 2), F.max("k") - 1)).alias("sd"))
         spread = F.col("q3") - F.col("q1")
         out = (F.col("total") >= 8) & (spread != 0) & ((F.col("v") < F.col("q1") - 1.5 * spread) | (F.col("v") > F.col("q3") + 1.5 * spread))
-        frames.append(hist.join(F.broadcast(q), "i").groupBy(F.col("i").alias("slot")).agg(F.sum(F.when(out, n).otherwise(hits)).alias("failures")))  # q has a row a rule
-    if moments := of("anomaly_ref"):
-        hist = values.filter(slot.isin(*moments))
-        sense = F.create_map(*[F.lit(x) for r in rules if r.type == "anomaly_ref" for x in (r.id, float(r.params.get("sensitivity", 3.0)))])
-        mean = F.broadcast(hist.groupBy("slot").agg((F.sum(F.col("value") * n) / F.sum("n")).alias("m"), F.sum("n").alias("k")))
-        far = hist.join(mean, "slot")
-        sd = F.broadcast(far.groupBy("slot").agg(F.sqrt(F.try_divide(F.sum(n * (F.col("value") - F.col("m")) ** 2), F.max("k") - 1)).alias("sd")))
-        out = (F.col("k") >= 3) & (F.col("sd") > 0) & (F.abs(F.try_divide(F.col("value") - F.col("m"), F.col("sd"))) > sense[slot])
-        frames.append(far.join(sd, "slot").groupBy("slot").agg(F.sum(F.when(out, n).otherwise(hits)).alias("failures")))
+        off = (F.col("k") >= 3) & (F.col("sd") > 0)
+        asked = [(r.id, _values(r.column), r.type == "consistency", float(r.params.get("sensitivity", 3.0))) for r in rules if r.type in ("consistency", "anomaly_ref")]
+        each = [F.sum(F.when(F.col("i") == i, F.when(out if fence else off & (F.abs(F.try_divide(F.col("v") - F.col("m"), F.col("sd"))) > sense), n))).alias(f"f{j}") for j, (_, i, fence, sense) in enumerate(asked)]
+        row = far.join(F.broadcast(sd), "i").join(F.broadcast(q), "i", "left").agg(*each)
+        pairs = ", ".join(f"'{rid}', f{j}" for j, (rid, *_) in enumerate(asked))
+        frames.append(row.select(F.expr(f"stack({len(asked)}, {pairs}) as (slot, failures)")))
     found = frames[0]
     for f in frames[1:]:
         found = found.unionByName(f)
-    found = found.groupBy(F.col("slot").alias("rule_id")).agg(F.sum("failures").alias("failures"))
+    found = found.groupBy(F.col("slot").alias("rule_id")).agg(F.sum("failures").alias("failures"), F.max(F.when(slot == ROWS, F.col("failures"))).alias("rows"))
     meta = spark.createDataFrame([(r.id, r.type, r.column, r.severity, _allowed(r, columns)) for r in rules], "rule_id string, type string, column string, severity string, allowed double")
-    rows = known.filter(slot == ROWS).agg(F.coalesce(F.sum("n"), hits).alias("rows"))
-    whole = meta.join(F.broadcast(found), "rule_id", "left").crossJoin(F.broadcast(rows)).withColumn("failures", F.coalesce("failures", hits))  # a row a rule
+    found = ranks.saved(found)  # a row a rule
+    rows = found.agg(F.coalesce(F.max("rows"), zero).alias("rows"))
+    whole = meta.join(F.broadcast(found.drop("rows")), "rule_id", "left").crossJoin(F.broadcast(rows)).withColumn("failures", F.coalesce("failures", zero))
     ratio = F.col("failures") / F.greatest("rows", F.lit(1))
     drift = F.col("type") == "schema_drift"
     passed = F.when(drift, F.col("failures") == 0).otherwise(ratio <= F.col("allowed"))
