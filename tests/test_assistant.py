@@ -89,7 +89,7 @@ def test_quality_runs_and_rules(spark):
     df = spark.createDataFrame([("a", "1", None), (None, "2", "x")], "customer_name string, customer_code string, city string")
     run, findings = catalog.record_run(quality.evaluate(df, rules), "d", 3, "2025-01-01 00:00:00")
     detail = catalog.run_detail(run, findings, 3).first()
-    assert detail["verdict"] == "fail" and {"own", "name_required"} <= {f["rule_id"] for f in detail["findings"]}
+    assert detail["verdict"] == "fail" and {"own", "customer_required"} <= {f["rule_id"] for f in detail["findings"]}
     assert catalog.run_detail(run, findings, 4).count() == 0
     one = spark.createDataFrame([("d", 1, 0.5)], "dataset string, run_id long, score double")
     assert catalog.trend(one).first()["direction"] == "stable"
