@@ -127,7 +127,7 @@ def domain_forecast_demand(spark, sf_dir):
 
 @register(
     "domain_forecast_unsupported",
-    "SELECT 'inventory' AS domain, 'unsupported_shape' AS method, 'no column for inventory (looked for stock_qty/stock/inventory/quantity/y/value)' AS reason, 0 AS periods FROM information_schema.columns WHERE table_name = 'customer' AND column_name = 'c_custkey'",
+    "SELECT 'inventory' AS domain, 'unsupported_shape' AS method, 'no column for inventory (looked for stock_qty/stock/inventory/quantity/y/value); the frame has ' || string_agg(column_name, ', ' ORDER BY column_name) AS reason, 0 AS periods FROM information_schema.columns WHERE table_name = 'customer'",
 )
 def domain_forecast_unsupported(spark, sf_dir):
     row = timeseries.domain_forecast(table(spark, sf_dir, "customer"), "inventory", 14)
