@@ -224,6 +224,19 @@ def test_guard_limits(spark, sql, limit, limited):
         assert v.sql.endswith(f"LIMIT {limit}") and guard.check(spark, v.sql, GUARD).limit == limit
 
 
+def test_guard_lets_only_known_functions_pass(spark):
+    spark.udf.register("own_function", lambda x: x)
+    table = sorted(GUARD)[0]
+    ok = lambda call: guard.check(spark, f"SELECT {call} FROM {table}", GUARD).reason
+    assert ok("count(*), upper(trim(both ' ' from cast(1 as string))), coalesce(null, date_add(current_date(), 1)), row_number() over (order by 1)") == "ok"
+    assert ok("own_function(1)") == ok("read_files('/x')") == ok("spark_catalog.default.f(1)") == "refused:blocked_function"
+    other = spark.newSession()
+    other.udf.register("soundex", lambda x: x)  # in the place of a built-in one
+    assert guard.check(other, f"SELECT soundex('a') FROM {table}", GUARD).reason == "refused:blocked_function" and ok("soundex('a')") == "ok"
+    assert guard.check(spark, f"SELECT e FROM {table} LATERAL VIEW explode(array(1, 2)) t AS e", GUARD).allowed
+    assert guard.check(spark, f"SELECT e FROM {table} LATERAL VIEW own_function(array(1, 2)) t AS e", GUARD).reason == "refused:blocked_function"
+
+
 def test_guarded_statements_run_with_their_limits(spark):
     spark.range(6000).createOrReplaceTempView("guarded_numbers")
     count = lambda sql: guard.run(spark, sql, {"guarded_numbers"}).count()

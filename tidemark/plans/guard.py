@@ -8,8 +8,9 @@ be harmless. Nothing is decided on the text but the first word and the code of a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
@@ -78,19 +79,29 @@ def _single(spark: SparkSession, sql: str) -> tuple[str, JavaObject]:
     return sql, plan
 
 
-def _names(expression: JavaObject) -> None:
-    """Refuses an expression that calls or names what is blocked."""
+def harmless(spark: SparkSession, name: str) -> bool:
+    """Whether a name is one of Spark's own functions, without those that run any code and those in whose place a session has put its own."""
+    found = spark._jsparkSession.sessionState().functionRegistry().lookupFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+    return name not in CALLS and found.isDefined() and found.get().getSource() == "built-in"
+
+
+def _names(expression: JavaObject, functions: Callable[[str], bool]) -> None:
+    """Refuses an expression that names what is blocked or calls what is not known to be harmless."""
     kind = _kind(expression)
     if kind in ("UnresolvedFunction", "UnresolvedAttribute"):
-        parts = {p.lower() for p in _each(expression.nameParts())}
-        if parts & (WRITES | CALLS if kind == "UnresolvedFunction" else WRITES):
+        parts = [p.lower() for p in _each(expression.nameParts())]
+        if set(parts) & (WRITES | CALLS if kind == "UnresolvedFunction" else WRITES):
             raise Refused("blocked_keyword")
+        if kind == "UnresolvedFunction" and (len(parts) > 1 or not functions(parts[0])):
+            raise Refused("blocked_function")
+    elif kind == "UnresolvedGenerator" and not functions(expression.name().unquotedString().lower()):
+        raise Refused("blocked_function")
     for child in _each(expression.children()):
-        _names(child)
+        _names(child, functions)
 
 
-def _relations(plan: JavaObject, known: frozenset[str]) -> Iterator[str]:
-    """Names of the tables that a plan reads; ``known`` are the common table expressions in scope."""
+def _relations(plan: JavaObject, known: frozenset[str], functions: Callable[[str], bool]) -> Iterator[str]:
+    """Names of the tables that a plan reads; ``known`` are the common table expressions in scope, ``functions`` what may be called."""
     kind = _kind(plan)
     if kind == "UnresolvedRelation":
         parts = [p.lower() for p in _each(plan.multipartIdentifier())]
@@ -99,14 +110,14 @@ def _relations(plan: JavaObject, known: frozenset[str]) -> Iterator[str]:
     elif kind not in READS:
         raise Refused("blocked_node")
     for e in _each(plan.expressions()):
-        _names(e)
+        _names(e, functions)
     if kind == "UnresolvedWith":
         # Each expression sees those before it, the statement sees all.
         for cte in _each(plan.innerChildren()):
-            yield from _relations(cte, known | {cte.alias().lower()} if plan.allowRecursion() else known)
+            yield from _relations(cte, known | {cte.alias().lower()} if plan.allowRecursion() else known, functions)
             known |= {cte.alias().lower()}
     for inner in (*_each(plan.children()), *_each(plan.subqueries())):
-        yield from _relations(inner, known)
+        yield from _relations(inner, known, functions)
 
 
 def _outer_limit(plan: JavaObject) -> tuple[int | None, bool]:
@@ -136,7 +147,7 @@ def check(spark: SparkSession, sql: str | None, tables: set[str]) -> Verdict:
         if not re.match(r"(?:\s|\(|--[^\n]*\n|/\*.*?\*/)*(?:select|with)\b", sql, re.I | re.S):
             raise Refused("not_select")
         statement, plan = _single(spark, sql.strip())
-        found = list(dict.fromkeys(_relations(plan, frozenset())))
+        found = list(dict.fromkeys(_relations(plan, frozenset(), partial(harmless, spark))))
         if not found:
             raise Refused("no_table")
         if not tables.issuperset(found):
