@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import customers, finance, inventory, kpi, recommend, sales, scenarios
+from tidemark.operators import customers, finance, inventory, kpi, likeness, recommend, sales, scenarios
 from tidemark.registry import register
 from tidemark.sources import star
 from tidemark.sources.star import EXPENSES_SQL, SALES_SQL, STOCK_SQL
@@ -321,3 +321,17 @@ def scenario_inventory(spark, sf_dir):
 )
 def scenario_churn(spark, sf_dir):
     return scenarios.churn_rise(star.sales(spark, sf_dir), 2.0)
+
+
+@register(
+    "product_neighbours",
+    """WITH prods AS (SELECT p_partkey AS product, regexp_extract_all(lower(concat_ws(' ', p_name, p_type, p_brand)), '[a-z0-9]+') AS words FROM part), terms AS (SELECT product, unnest(list_filter(words, lambda x: length(x) > 1)) AS term FROM prods),
+    tf AS (SELECT product, term, count(*) AS tf FROM terms GROUP BY 1, 2), idf AS (SELECT term, ln((1 + (SELECT count(DISTINCT product) FROM tf)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1), w0 AS (SELECT product, tf.term, tf * idf AS w FROM tf JOIN idf ON tf.term = idf.term),
+    w AS (SELECT product, term, w / sqrt(sum(w * w) OVER (PARTITION BY product)) AS w FROM w0),
+    c AS (SELECT a.product AS product, b.product AS neighbour, round(sum(a.w * b.w), 9) AS cosine FROM w a JOIN w b ON a.term = b.term AND a.product <> b.product GROUP BY 1, 2)
+    SELECT product, row_number() OVER (PARTITION BY product ORDER BY cosine DESC, neighbour) AS rank, neighbour, cosine FROM c QUALIFY rank <= 5""",
+)
+def product_neighbours(spark, sf_dir):
+    """The five nearest products of every product by the TF-IDF cosine of name, type and brand."""
+    text = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    return likeness.nearest(star.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product"), text.alias("text")), "product", "text")
