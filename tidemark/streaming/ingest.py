@@ -12,6 +12,7 @@ from tidemark.functions.ranks import saved
 from tidemark.sources.clean import deduplicate, row_hash, split_valid
 from tidemark.sources.files import append_job
 from tidemark.sources.records import lines_of
+from tidemark.sources.row_keys import RowKeys
 from tidemark.sources.versions import Change, Table
 
 BAD = "_corrupt_record"
@@ -86,13 +87,14 @@ class Manifest:
         return new
 
 
-def load_checked(rows: DataFrame, folder: str, required: list[str], cancelled: Callable[[], bool] = lambda: False, source: str | None = None) -> StreamingQuery:
+def load_checked(rows: DataFrame, folder: str, required: list[str], cancelled: Callable[[], bool] = lambda: False, source: str | None = None, keys: RowKeys | None = None) -> StreamingQuery:
     """Loads a stream batch by batch into ``folder``: ``table`` for good rows, ``dead_letters`` for lines that did not parse and rows without a required value (as JSON, with the reason), ``metrics`` with a row of counts; each batch is a partition of all three.
 
     A batch that is replayed after a failure replaces its partitions, so a restart goes on where the
     last committed batch ended. ``cancelled`` is asked before each batch. With ``source``, the path of the stream's files, a
     start is bound to what those files held when they were first loaded (``Manifest``). The counts are observed while
-    the rows are written: the batch is read once, and kept for the dead letters.
+    the rows are written: the batch is read once, and kept for the dead letters. With ``keys`` (of this stream alone, as
+    its batches are numbered from 0), rows that an earlier batch has brought are duplicates too.
     """
     if source is not None:
         Manifest(rows.sparkSession, folder).bind(source)
@@ -110,7 +112,15 @@ def load_checked(rows: DataFrame, folder: str, required: list[str], cancelled: C
             seen, kept = Observation(), Observation()
             counts = [F.count(F.lit(1)).alias("rows"), F.count_if(lost).alias("malformed"), F.count_if(~lost & gap).alias("incomplete")]
             good, _ = split_valid(batch.observe(seen, *counts).filter(~lost).select(*columns), required)
-            append_job(deduplicate(good).observe(kept, F.count(F.lit(1)).alias("written")), f"{folder}/table", number)
+            if keys is None:
+                fresh = deduplicate(good)
+            else:
+                plain, _ = split_valid(batch.filter(~lost).select(*columns), required)  # not observed: looked up before the write
+                known = keys.known_of(plain, number)
+                fresh = keys.unseen(good, number, known)
+            append_job(fresh.observe(kept, F.count(F.lit(1)).alias("written")), f"{folder}/table", number)
+            if keys is not None:
+                keys.add(keys.unseen(plain, number, known), number)
             _, incomplete = split_valid(batch.filter(~lost).select(*columns), required)
             letters = incomplete.select("row", F.concat(F.lit("missing: "), "missing").alias("reason"))
             if BAD in batch.columns:
