@@ -33,7 +33,7 @@ def civil_days(events: DataFrame, zone: str, late: str) -> DataFrame:
     """
     local = F.from_utc_timestamp("ts", zone)
     rows = events.filter("ts is not null and rule is not null").select("rule", local.alias("local"), F.col("value").cast("decimal(28,6)").alias("value"))
-    days = rows.withWatermark("local", late).groupBy("rule", F.window("local", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("double").alias("total"))
+    days = rows.withWatermark("local", late).groupBy("rule", F.window("local", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("decimal(38,6)").alias("total"))
     return days.select("rule", "w", "n", "total")
 
 
@@ -45,14 +45,14 @@ class Rules(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.days = handle.getMapState("days", "day int", "n long, total double")
+        self.days = handle.getMapState("days", "day int", "n long, total decimal(38,6)")
         self.alert = handle.getValueState("alert", "is_open boolean, next_day int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for frame in rows:
             for day, n, total in zip(frame["day"], frame["n"], frame["total"], strict=True):
-                self.days.updateValue((int(day),), (int(n), None if pd.isna(total) else float(total)))
+                self.days.updateValue((int(day),), (int(n), None if pd.isna(total) else total))
                 first = int(day) if first is None else min(first, int(day))
         if first is not None and not self.alert.exists():
             self._await(False, first)
@@ -76,7 +76,7 @@ class Rules(StatefulProcessor):
                 continue
             mine = [held[d] for d in range(day - self.trailing, day + 1) if d in held]
             known = [total for _, total in mine if total is not None]
-            value = sum(known) if known else None
+            value = float(sum(known)) if known else None  # decimals, so days add up exactly
             fires = value is not None and COMPARE[condition](value, threshold)
             action = "keep" if fires and is_open else "open" if fires else "resolve" if is_open else "none"
             out.append((key[0], dt.date(1970, 1, 1) + dt.timedelta(days=day), sum(n for n, _ in mine), value, bool(fires), action))
