@@ -26,6 +26,50 @@ def line_cost(quantity: str, cost: str) -> Column:
 LINE_TOTALS = ("cogs", "cost_of_goods_sold", "total_cost", "line_total", "total")
 
 
+#: Column names of each fact that mean the same, in order of priority: fixed values.
+NAMES = {
+    "sales": {
+        "revenue": ("revenue", "omzet", "nilai", "total", "subtotal"),
+        "quantity": ("quantity", "qty", "jumlah", "jml", "volume"),
+        "selling_price": ("selling_price", "harga jual", "price"),
+        "discount": ("discount", "diskon", "disc"),
+        "cost_price": ("cost_price", "unit_cost", "cost", "harga beli", "harga pokok"),
+        "transaction_date": ("transaction_date", "tanggal transaksi", "tgl", "date", "order date"),
+    },
+    "purchases": {
+        "quantity": ("quantity", "qty", "jumlah", "jml", "volume"),
+        "cost": ("cost_price", "unit_cost", "cost", "harga beli", "harga pokok"),
+    },
+    "expenses": {"amount": ("amount", "nominal", "biaya", "pengeluaran")},
+}
+
+
+def resolved(df: DataFrame, fact: str) -> DataFrame:
+    """A frame of sales, purchases or expenses under the names that ``finance_summary`` reads: for each, the first of its names that a column has, blanks and case aside, whatever the order of columns.
+
+    One column can serve two names (a total is revenue where nothing else is, and a line total). Measures become decimals and dates dates; what is none is
+    null. Columns that serve no name stay, of equal labels the first. An unknown fact is a ValueError.
+    """
+    if fact not in NAMES:
+        raise ValueError(f"unknown fact {fact!r}; known: {', '.join(NAMES)}")
+    labels: dict[str, int] = {}
+    for i, c in enumerate(df.columns):
+        labels.setdefault(c.strip().lower(), i)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    out, served = [], set(NAMES[fact])
+    for target, names in NAMES[fact].items():
+        if hit := next((n for n in names if n in labels), None):
+            served.add(hit)
+            text = f"cast(c{labels[hit]} as string)"
+            out.append(F.expr(f"cast(try_to_timestamp({text}) as date)" if target.endswith("_date") else f"try_cast({text} as decimal(28,6))").alias(target))
+    for label, i in labels.items():
+        if label in LINE_TOTALS:
+            out.append(F.expr(f"try_cast(cast(c{i} as string) as decimal(28,6))").alias(label))
+        elif label not in served:
+            out.append(F.col(f"c{i}").alias(df.columns[i].strip()))
+    return plain.select(*out)
+
+
 def net_revenue(columns: list[str]) -> Column:
     """Revenue of a row: as stated, else quantity x price - discount; not below 0."""
     n = lambda c, t: F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)) if c in columns else F.lit(0).cast(t)
