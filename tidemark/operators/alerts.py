@@ -34,11 +34,15 @@ METRICS = {
 
 
 def trailing(frame: DataFrame, days: int = 1, today: str | None = None) -> DataFrame:
-    """Rows of the civil days from ``days`` before today to today, both included; ``today`` defaults to the frame's last date."""
+    """Rows of the civil days from ``days`` before today to today, both included; ``today`` defaults to the frame's last date.
+
+    The last date is read first, so that it is a value in the filter: Spark then drops other days before it joins a
+    frame's dimensions to its facts. Distinct dates need none of the dimensions that give no date.
+    """
     if today is not None:
         return frame.filter(F.col("transaction_date").between(F.date_sub(F.to_date(F.lit(today)), days), F.to_date(F.lit(today))))
-    last = F.broadcast(frame.agg(F.max("transaction_date").alias("_last")))
-    return frame.crossJoin(last).filter(F.col("transaction_date") >= F.date_sub("_last", days)).drop("_last")
+    last = frame.select("transaction_date").distinct().agg(F.max("transaction_date").alias("last")).first()["last"]
+    return frame.filter(F.col("transaction_date") >= F.date_sub(F.lit(last).cast("date"), days))
 
 
 def metric_values(frame: DataFrame, stock: DataFrame | None = None) -> DataFrame:

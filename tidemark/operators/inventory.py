@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import ranks
+
 #: Days of the demand window, of lead time, and the cover of a product without demand: fixed values.
 WINDOW_DAYS, LEAD_DAYS, NO_DEMAND = 30, 7, 999.0
 
 
 def latest_snapshot(stock: DataFrame) -> DataFrame:
-    """Rows of each product's newest snapshot date, over all warehouses that report on it."""
-    newest = stock.groupBy("product_name").agg(F.max("snapshot_date").alias("newest"))
-    return stock.join(newest, "product_name").filter(F.col("snapshot_date") == F.col("newest")).drop("newest")
+    """Rows of each product's newest snapshot date, over all warehouses that report on it. No row is older than the earliest of the newest dates, which is read first, so that older rows go before they are grouped or joined."""
+    newest = ranks.saved(stock.filter(F.col("product_name").isNotNull()).groupBy("product_name").agg(F.max("snapshot_date").alias("newest")))
+    oldest = newest.agg(F.min("newest").alias("d")).first()["d"]
+    kind = dict(stock.dtypes)["snapshot_date"]
+    return stock.filter(F.col("snapshot_date") >= F.lit(oldest).cast(kind)).join(newest, "product_name").filter(F.col("snapshot_date") == F.col("newest")).drop("newest")
 
 
 def demand_rate(sales: DataFrame) -> DataFrame:
