@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts, inventory
+from tidemark.operators import alerts, inventory, recommend
 from tidemark.sources import star
 
 
@@ -29,3 +29,7 @@ def test_older_snapshots_go_before_they_are_grouped(spark, sf):
     want = sorted((r["product_name"], r["snapshot_date"], r["warehouse"], r["stock_qty"]) for r in stock.collect() if newest[r["product_name"]] == r["snapshot_date"])
     assert sorted((r["product_name"], r["snapshot_date"], r["warehouse"], r["stock_qty"]) for r in got.collect()) == want
     assert inventory.latest_snapshot(stock.limit(0)).count() == 0
+
+
+def test_baskets_of_one_product_read_the_sales_once(spark, sf):
+    assert plan(recommend.bought_with(star.sales(spark, sf), "Brand#23")).count("Relation [") == 6  # the tables of the star

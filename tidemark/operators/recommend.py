@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import ranks
 from tidemark.functions.text import tokens
 
 
@@ -29,15 +30,15 @@ def cooccurrence(df: DataFrame) -> DataFrame:
 
 
 def bought_with(df: DataFrame, product: str) -> DataFrame:
-    """(product, n): customers who bought it together with one product."""
-    b = _baskets(df)
-    buyers = b.filter(F.col("product_name") == product).select("customer_name")
-    return b.join(buyers, "customer_name", "left_semi").filter(F.col("product_name") != product).groupBy(F.col("product_name").alias("product")).agg(F.count(F.lit(1)).alias("n"))
+    """(product, n): customers who bought it together with one product. The rows are read once; a customer's distinct products are bounded by the catalogue."""
+    sets = df.filter(F.col("customer_name").isNotNull()).groupBy("customer_name").agg(F.collect_set("product_name").alias("p"))
+    with_it = sets.filter(F.array_contains("p", product)).select(F.explode("p").alias("product"))
+    return with_it.filter(F.col("product") != product).groupBy("product").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tfidf(df: DataFrame) -> DataFrame:
     """(product, term, weight): smoothed TF-IDF of product name and category, of unit length."""
-    docs = df.groupBy(F.col("product_name").alias("product")).agg(F.min("category").alias("category"))
+    docs = ranks.saved(df.groupBy(F.col("product_name").alias("product")).agg(F.min("category").alias("category")))  # a row a product, read for terms and their number
     t = docs.select("product", F.explode(F.filter(tokens(F.concat_ws(" ", "product", "category")), lambda w: F.length(w) > 1)).alias("term"))
     tf = t.groupBy("product", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
@@ -49,7 +50,7 @@ def tfidf(df: DataFrame) -> DataFrame:
 
 def similar(df: DataFrame, product: str) -> DataFrame:
     """(product, cosine) of the texts of other products to one product's."""
-    w = tfidf(df)
+    w = ranks.saved(tfidf(df))
     q = w.filter(F.col("product") == product).select("term", F.col("weight").alias("q"))
     return w.filter(F.col("product") != product).join(F.broadcast(q), "term").groupBy("product").agg(F.sum(F.col("weight") * F.col("q")).alias("cosine"))
 
@@ -71,7 +72,7 @@ def recommend(df: DataFrame, customer: str | None = None, product: str | None =
         scores = p if scores is None else scores.unionByName(p)
     if scores is not None:
         scores = scores.groupBy("product").agg(F.sum("s").alias("s"))
-        scores = scores.join(own, "product", "left_anti") if own is not None else scores
+        scores = ranks.saved(scores.join(own, "product", "left_anti") if own is not None else scores)  # a row a product, read to see whether there are any
     if scores is None or scores.isEmpty():
         scores = popularity(df).filter(F.col("product_name") != F.lit(product or "")).select(F.col("product_name").alias("product"), (F.col("n") * 0.1).alias("s"))
     return scores.select("product", F.round("s", 3).alias("score")).orderBy(F.desc("score"), "product").limit(k)
