@@ -1,10 +1,14 @@
 """What keeps shuffles, memory and repeated reads from growing faster than the input."""
 
 import datetime as dt
+import tracemalloc
+
+import numpy as np
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts, inventory, recommend
+from tidemark.functions import best
+from tidemark.operators import alerts, inventory, recommend, retrieval
 from tidemark.sources import star
 
 
@@ -32,4 +36,23 @@ def test_older_snapshots_go_before_they_are_grouped(spark, sf):
 
 
 def test_baskets_of_one_product_read_the_sales_once(spark, sf):
-    assert plan(recommend.bought_with(star.sales(spark, sf), "Brand#23")).count("Relation [") == 6  # the tables of the star
+    got = plan(recommend.bought_with(star.sales(spark, sf), "Brand#23"))
+    assert got.count("l_orderkey") and len([x for x in got.splitlines() if "Relation" in x and "l_orderkey" in x]) == 1, got
+
+
+def test_cosines_of_many_queries_take_bounded_memory():
+    rng = np.random.default_rng(5)
+    queries, rows, names = rng.normal(size=(4096, 8)), rng.normal(size=(1024, 8)), np.arange(1024)
+    found = best.Best(4096, 3)
+    tracemalloc.start()
+    for j in range(3):
+        retrieval.offer_cosines(found, np.arange(4096), queries, rows + j, names + 1024 * j)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # all pairs at once: 34 MB a matrix, and several of them
+    at, cosine, got = found.rows()
+    whole = np.concatenate([rows, rows + 1, rows + 2])
+    exact = np.round((queries @ whole.T) / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(whole, axis=1)), 6) + 0.0
+    for q in range(0, 4096, 97):
+        order = np.lexsort((np.arange(len(whole)), -exact[q]))[:3]
+        assert got[at == q].tolist() == order.tolist() and cosine[at == q].tolist() == exact[q][order].tolist()
