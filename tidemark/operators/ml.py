@@ -11,6 +11,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import ranks
+
 FEATURES = ("total_orders", "total_spending", "recency", "frequency", "monetary", "aov", "tenure")
 #: Names of segments from the highest spending to the lowest: fixed values.
 NAMES = ("high_value", "loyal", "regular", "low_value")
@@ -83,10 +85,12 @@ def split_by_time(series: DataFrame, train: float = 0.7, validate: float = 0.15)
 def gbt_forecast(series: DataFrame, horizon: int = 14, seed: int = 42) -> DataFrame:
     """(ds, yhat): boosted trees over calendar and lag features, one step after another; needs 14 days, else no rows.
 
-    The series is one row a day; each step scores one row, whose lags come from the days before it.
+    The series is one row a day; each step scores one row, whose lags come from the days before it. It is
+    saved, as training reads it again and again.
     """
     from .timeseries import features
 
+    series = ranks.saved(series)
     if series.limit(14).count() < 14:
         return series.sparkSession.createDataFrame([], "ds date, yhat double")
     cols = ["dow", "month", "day", "is_weekend", "lag_1", "lag_7", "lag_14"]
