@@ -115,15 +115,15 @@ def fit_sample(sample: list[tuple[str, str]], n_docs: int, df: np.ndarray, epoch
     dims, k = len(idf), len(labels)
     model = LanguageModel(labels, idf, np.zeros((dims, k)), np.zeros(k), common=df >= COMMON * n_docs)
     place = {y: i for i, y in enumerate(labels)}
-    counts = [(c, place[y]) for t, y in sorted(sample) if (c := gram_counts(t, dims)) is not None]
-    rows = [(model.vector(c), y) for c, y in counts]
-    order = np.random.default_rng(seed).permutation(len(rows))
+    # Only counts are kept, in narrow numbers; a row's vector is made when it is used, so the driver holds no second copy.
+    counts = [((c[0].astype(np.int32), c[1].astype(np.int32)), place[y]) for t, y in sorted(sample) if (c := gram_counts(t, dims)) is not None]
+    order = np.random.default_rng(seed).permutation(len(counts))
     held, used = order[: len(order) // 5], order[len(order) // 5 :]
     learner = Ftrl(dims + 1, k, alpha, beta, l1, l2)
     rng = np.random.default_rng(seed + 1)
     for _ in range(epochs):
         for i in rng.permutation(used):
-            (at, v), y = rows[i]
+            (at, v), y = model.vector(counts[i][0]), counts[i][1]
             at, v = np.append(at, dims), np.append(v, 1.0)
             w = learner.weights(at)
             g = softmax(v @ w)
@@ -132,8 +132,8 @@ def fit_sample(sample: list[tuple[str, str]], n_docs: int, df: np.ndarray, epoch
     w = learner.weights()
     model.weights, model.bias = w[:dims], w[dims]
     if len(held):
-        logits = np.array([rows[i][0][1] @ model.weights[rows[i][0][0]] + model.bias for i in held])
-        model.heat = temperature(logits, np.array([rows[i][1] for i in held]))
+        logits = np.array([v @ model.weights[at] + model.bias for at, v in (model.vector(counts[i][0]) for i in held)])
+        model.heat = temperature(logits, np.array([counts[i][1] for i in held]))
         shares = [c[1][model.common[c[0]]].sum() / c[1].sum() for c in (counts[i][0] for i in held) if c[1].sum() >= LONG]
         model.usual = float(np.quantile(shares, 0.01)) if shares else 0.0
     return model
